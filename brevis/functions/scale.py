@@ -91,8 +91,12 @@ def spread_join(facts: DataFrame, keyed: DataFrame, on: list, how: str = "inner"
 
 
 def by_document(df: DataFrame, key: str = "id") -> DataFrame:
-    """Shuffle whole rows once by their key, so later per-document steps need no exchange."""
-    return df.repartition(key)
+    """Shuffle whole rows once by their key, so later per-document steps need no exchange.
+
+    The null filter is what an equi-join on the key would add anyway; stating it here keeps both
+    sides of such a join identical below the exchange, so the shuffle is written once and reused.
+    """
+    return df.where(F.col(key).isNotNull()).repartition(key)
 
 
 def bounded_list(df: DataFrame, column: Column | str) -> Column:

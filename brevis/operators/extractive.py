@@ -159,24 +159,31 @@ SCORERS = {"luhn": luhn_scores, "lsa": lsa_scores, "textrank": textrank_scores}
 
 def target_sentences(df: DataFrame, budget: int, combo: bool = False) -> DataFrame:
     """How many sentences fit: floor(budget / (tokens / sentences)), in whole numbers."""
-    return df.withColumn("n_sentences", _wanted(F.col("document"), F.lit(budget), combo))
+    document = F.col("document")
+    return df.withColumn("n_sentences", _wanted(_marks(document, combo), T.token_count(document), F.lit(budget)))
+
+
+def _marks(document: Column, combo: bool) -> Column:
+    return T.period_sentences(document) if combo else T.newline_sentences(document)
 
 
-def _wanted(document: Column, budget: Column, combo: bool) -> Column:
-    count = T.period_sentences(document) if combo else T.newline_sentences(document)
-    return F.floor(budget * count / T.token_count(document)).cast("int")
+def _wanted(marks: Column, size: Column, budget: Column) -> Column:
+    return F.floor(budget * marks / size).cast("int")
 
 
-def _laid_out(df: DataFrame, scores: DataFrame) -> DataFrame:
-    """Each document with its sentences ranked: array of (neg, pos, len, text), best first."""
+def _laid_out(df: DataFrame, scores: DataFrame, combo: bool) -> DataFrame:
+    """Each document with its sentences ranked, array of (neg, pos, len, text), and its two counts."""
     listed = scores.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("_scores"))
     score = lambda i: F.coalesce(F.try_element_at("_scores", i), F.lit(0.0))
     entry = lambda s, i: F.struct(
         (-score(i)).alias("neg"), i.alias("pos"), F.regexp_count(s, F.lit(r"\S+")).alias("len"), s.alias("text")
     )
-    return df.join(listed, "id", "left").withColumn(
-        "_ranked", F.array_sort(F.transform(T.sentences(F.col("document")), entry))
-    ).drop("_scores")
+    document = F.col("document")
+    return df.join(listed, "id", "left").withColumns({
+        "_ranked": F.sort_array(F.transform(T.sentences(document), entry)),
+        "_marks": _marks(document, combo),
+        "_size": T.token_count(document),
+    }).drop("_scores")
 
 
 def _cut(ranked: Column, wanted: Column, budget: Column, pick: str) -> Column:
@@ -194,7 +201,7 @@ def _cut(ranked: Column, wanted: Column, budget: Column, pick: str) -> Column:
 
 def _assembled(ranked: Column, k: Column) -> Column:
     best = F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["pos"].alias("pos"), r["text"].alias("text")))
-    return F.array_join(F.transform(F.array_sort(best), lambda b: b["text"]), " ")
+    return F.array_join(F.transform(F.sort_array(best), lambda b: b["text"]), " ")
 
 
 def pick_sentences(
@@ -209,10 +216,9 @@ def pick_sentences(
         raise ValueError(f"unknown pick rule {pick!r}")
     pairs = F.array(*[F.struct(F.lit(q).alias("quantity"), F.lit(b).alias("budget")) for q, b in budgets.items()])
     own = df.columns
-    laid = _laid_out(df, scores).select(*own, "_ranked", F.inline(pairs))
-    cut = laid.withColumn(
-        "_cut", _cut(F.col("_ranked"), _wanted(F.col("document"), F.col("budget"), combo), F.col("budget"), pick)
-    )
+    laid = _laid_out(df, scores, combo).select(*own, "_ranked", "_marks", "_size", F.inline(pairs))
+    wanted = _wanted(F.col("_marks"), F.col("_size"), F.col("budget"))
+    cut = laid.withColumn("_cut", _cut(F.col("_ranked"), wanted, F.col("budget"), pick))
     return cut.select(
         *own, "quantity",
         F.when(F.size("_ranked") > 0, _assembled(F.col("_ranked"), F.col("_cut.k"))).otherwise("").alias("shortened_document"),
@@ -235,7 +241,7 @@ def topk_sentences(df: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("id").orderBy(F.desc("score"), "pos")
     top = scores.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
     chosen = top.join(sentence_rows(df), ["id", "pos"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "sentence")))
     return chosen.groupBy("id").agg(
         F.count("*").alias("n_kept"),
         F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ").alias("shortened_document"),
@@ -285,7 +291,7 @@ def shorten_centroid(df: DataFrame, budget: int) -> DataFrame:
     """Keep the sentences nearest to cluster centres; the cut rule is that of the ranked strategies."""
     document = F.col("document")
     offered = df.withColumn("_s", T.sentences(document)).withColumn(
-        "_offers", _centroid_offers(word_lines(document), _wanted(document, F.lit(budget), False))
+        "_offers", _centroid_offers(word_lines(document), _wanted(_marks(document, False), T.token_count(document), F.lit(budget)))
     )
 
     def weigh(picks: Column) -> Column:

@@ -106,7 +106,7 @@ def mask_words(df: DataFrame, mask: DataFrame, column: str = "document") -> Data
     exploded = df.select("id", F.posexplode(toks).alias("_pos", "term"))
     listed_terms = mask.select("term").distinct().withColumn("_hit", F.lit(1))
     kept = spread_join(exploded, listed_terms, ["term"], "left").where(F.col("_hit").isNull())
-    texts = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_pos", "term"))).alias("_kept"))
+    texts = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_pos", "term"))).alias("_kept"))
     joined = F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<struct<_pos:int,term:string>>")), lambda x: x["term"]), " ")
     return df.join(texts, "id", "left").withColumn(column, joined).drop("_kept")
 

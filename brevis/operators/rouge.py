@@ -18,7 +18,7 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def _sides(df: DataFrame, stem: bool) -> DataFrame:
-    toks = usable(df).select(
+    toks = df.select(
         "id",
         T.rouge_tokens(F.col("reference")).alias("ref"),
         T.rouge_tokens(F.col("hypothesis")).alias("hyp"),
@@ -41,14 +41,17 @@ def rouge_n(df: DataFrame, orders=(1, 2), stem: bool = False) -> DataFrame:
     The texts are shuffled once by id. Counting grams per (id, gram) and summing per id both group
     by keys that begin with id, so neither needs a further exchange, and both combine early.
     """
-    rows = _sides(by_document(usable(df)), stem)
+    rows = _sides(by_document(df), stem)
 
     def tagged(side: str, n: int, is_ref: int):
         tag = lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_ref).alias("is_ref"))
         return F.transform(T.ngrams(F.col(side), n), tag)
 
-    every = F.concat(*[tagged(side, n, is_ref) for n in orders for side, is_ref in (("ref", 1), ("hyp", 0))])
-    grams = rows.select("id", F.explode_outer(every).alias("g"))
+    # The placeholder keeps rows without any gram; a null text makes the whole array null, which drops
+    # the row here. A null filter up front would evaluate the text expressions twice.
+    keep = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("is_ref")))
+    every = F.concat(keep, *[tagged(side, n, is_ref) for n in orders for side, is_ref in (("ref", 1), ("hyp", 0))])
+    grams = rows.select("id", F.explode(every).alias("g"))
     counts = grams.groupBy("id", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
         F.count_if(F.col("g.is_ref") == 1).alias("in_ref"), F.count_if(F.col("g.is_ref") == 0).alias("in_hyp")
     )
@@ -104,7 +107,7 @@ def common_length(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 def rouge_l(df: DataFrame, stem: bool = False) -> DataFrame:
     """id, rougeL: longest-common-subsequence F1 over the whole texts; nothing is shuffled unstemmed."""
-    rows = _sides(df, stem)
+    rows = _sides(usable(df), stem)
     hits = common_length(F.array_join("ref", " "), F.array_join("hyp", " "))
     sized = rows.select("id", hits.alias("_hits"), F.size("ref").alias("_r"), F.size("hyp").alias("_h"))
     return sized.select("id", T.f1(F.col("_hits"), F.col("_h"), F.col("_r")).alias("rougeL"))
