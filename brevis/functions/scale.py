@@ -80,10 +80,15 @@ def spread_join(facts: DataFrame, keyed: DataFrame, on: list, how: str = "inner"
     """Equi-join of many facts with a side that has one row per key.
 
     The keyed side is repeated once per salt and the facts take a salt from their own content, so
-    a key holding a large share of the facts is cut into that many tasks. When the keyed side turns
-    out small at run time, AQE still turns this into a broadcast join.
+    a key holding a large share of the facts is cut into that many tasks. The number of salts grows
+    with the shuffle width (``brevis.salts`` overrides it); what is still uneven after that is split
+    by AQE's skew join, and a keyed side that turns out small at run time is broadcast by AQE.
     """
-    salts = int(facts.sparkSession.conf.get("brevis.salts", "8"))
+    conf = facts.sparkSession.conf
+    width = int(conf.get("spark.sql.shuffle.partitions"))
+    salts = int(conf.get("brevis.salts", str(max(1, width // 64))))
+    if salts == 1:
+        return facts.join(keyed, on, how)
     others = [c for c in facts.columns if c not in on] or on
     salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
     copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -99,9 +104,32 @@ def by_document(df: DataFrame, key: str = "id") -> DataFrame:
     return df.where(F.col(key).isNotNull()).repartition(key)
 
 
-def bounded_list(df: DataFrame, column: Column | str) -> Column:
-    """A one-row scalar subquery holding a list whose length the caller has bounded."""
-    return df.agg(F.collect_list(column)).scalar()
+def spread_rows(df: DataFrame, key: str = "id") -> DataFrame:
+    """Give row-wise but costly work at least one task per core.
+
+    A scan with fewer splits than cores (one big file, one row group) is shuffled by key; a scan
+    that already has enough splits is left alone, so a large corpus is not moved at all. Meant for
+    plans that only scan and project.
+    """
+    if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return by_document(df, key)
+
+
+def unfold(df: DataFrame, keep: list, values: Column, pos: str, value: str) -> DataFrame:
+    """One row per array entry with its 0-based place.
+
+    The inner form of posexplode makes the optimiser add size(array) > 0 below the projection,
+    which evaluates a costly array (a regex pass, a Python call) a second time. The outer form
+    does not; its filler rows are dropped by the place, which is a plain column.
+    """
+    rows = df.select(*keep, F.posexplode_outer(values).alias(pos, value))
+    return rows.where(F.col(pos).isNotNull())
+
+
+def values_of(df: DataFrame, keep: list, values: Column, name: str) -> DataFrame:
+    """One row per non-null array entry, without the repeated evaluation described above."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
 def exact_quantiles(df: DataFrame, value: str, tie: str, probs: dict, by: tuple = ()) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from brevis.functions.scale import spread_join
+from brevis.functions.scale import spread_join, values_of
 
 RESULT = StructType([StructField(n, DoubleType()) for n in ("precision", "recall", "f1")])
 
@@ -19,7 +19,7 @@ def token_bags(pairs: DataFrame, ref_tokens: str, hyp_tokens: str, lookup: DataF
         F.struct(F.lit("ref").alias("side"), F.col(ref_tokens).alias("toks")),
         F.struct(F.lit("hyp").alias("side"), F.col(hyp_tokens).alias("toks")),
     )
-    toks = pairs.select("id", F.inline(sides)).select("id", "side", F.explode("toks").alias("token"))
+    toks = values_of(pairs.select("id", F.inline(sides)), ["id", "side"], F.col("toks"), "token")
     counted = toks.groupBy("id", "side", "token").agg(F.count("*").alias("n"))
     found = spread_join(counted, lookup, ["token"])
     entry = F.struct("token", "n", "vector")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as Y
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import by_document
+from brevis.functions.scale import by_document, unfold
 
 DOUBLES = Y.ArrayType(Y.DoubleType())
 SCORE_PLACES = 9  # float sums depend on their order; ranks must not
@@ -19,12 +19,12 @@ SCORE_PLACES = 9  # float sums depend on their order; ranks must not
 
 def sentence_rows(df: DataFrame) -> DataFrame:
     """(id, pos, sentence), positions from 0 in document order."""
-    return df.select("id", F.posexplode(T.sentences(F.col("document"))).alias("pos", "sentence"))
+    return unfold(df, ["id"], T.sentences(F.col("document")), "pos", "sentence")
 
 
 def ranked_words(df: DataFrame) -> DataFrame:
     """(id, pos, wpos, word): the lower-cased alphabetic words of every sentence."""
-    return sentence_rows(df).select("id", "pos", F.posexplode(T.rank_words(F.col("sentence"))).alias("wpos", "word"))
+    return unfold(sentence_rows(df), ["id", "pos"], T.rank_words(F.col("sentence")), "wpos", "word")
 
 
 def luhn_scores(df: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def lsa_scores(df: DataFrame) -> DataFrame:
     size of the document.
     """
     keyed = df.withColumn("_vocab", F.size(F.array_distinct(T.rank_words(F.col("document")))))
-    lines = keyed.select("id", "_vocab", F.posexplode(T.sentences(F.col("document"))).alias("pos", "sentence"))
+    lines = unfold(keyed, ["id", "_vocab"], T.sentences(F.col("document")), "pos", "sentence")
     counted = (
         lines.select("id", "_vocab", "pos", F.explode_outer(T.rank_words(F.col("sentence"))).alias("word"))
         .groupBy("id", "_vocab", "pos", "word")
@@ -76,31 +76,37 @@ def _overlap_ranks(lines: list[str], damping: float, rounds: int) -> np.ndarray:
     """Damped ranks over the word-overlap graph, without building the graph.
 
     The weight of two sentences is (shared word pairs) / (ln a + ln b). The denominator depends on
-    the two lengths only, so each round sums the ranks per word and sentence length and reads them
-    back: work grows with words x distinct lengths, not with sentence pairs.
+    the two lengths only, so a round first sums the ranks per (word, sentence length) slot, then
+    every sentence reads the slots of its own words: work grows with words x distinct lengths, not
+    with sentence pairs.
     """
-    split = [line.split(" ") if line else [] for line in lines]
-    sizes = np.array([len(s) for s in split])
-    total = len(split)
+    total = len(lines)
     ranks = np.full(total, 1.0 / total)
-    if sizes.sum() == 0:  # no edges: every round only keeps the undamped share
+    codes: dict[str, int] = {}
+    split = [[codes.setdefault(w, len(codes)) for w in line.split()] for line in lines]
+    word = np.array([c for row in split for c in row], dtype=np.int64)
+    if word.size == 0:  # no edges: every round only keeps the undamped share
         return ranks * (1 - damping) ** rounds
-    _, word = np.unique(np.array([w for s in split for w in s]), return_inverse=True)
+    sizes = np.array([len(row) for row in split])
     owner = np.repeat(np.arange(total), sizes)
     lengths, kind = np.unique(sizes, return_inverse=True)
     logs = np.log(np.maximum(lengths, 1))
     norm = logs[:, None] + logs[None, :]
     norm[norm == 0] = 1.0
-    slot = word * len(lengths) + kind[owner]
-    table_size = (word.max() + 1) * len(lengths)
+    slots, slot = np.unique(word * len(lengths) + kind[owner], return_inverse=True)
+    # Slots are sorted by word, so the slots of one word are a run: first[w] .. first[w] + many[w].
+    slot_word, slot_kind = np.divmod(slots, len(lengths))
+    many = np.bincount(slot_word, minlength=len(codes))
+    first = np.cumsum(many) - many
+    reads = many[word]
+    reader = np.repeat(owner, reads)
+    step = np.arange(reads.sum()) - np.repeat(np.cumsum(reads) - reads, reads)
+    source = np.repeat(first[word], reads) + step
+    weight = 1.0 / norm[kind[reader], slot_kind[source]]
 
     def spread(values: np.ndarray) -> np.ndarray:
-        table = np.bincount(slot, weights=values[owner], minlength=table_size).reshape(-1, len(lengths))
-        per_length = np.zeros((total, len(lengths)))
-        filled = np.flatnonzero(sizes)
-        firsts = np.concatenate(([0], np.cumsum(sizes[filled])[:-1]))
-        per_length[filled] = np.add.reduceat(table[word], firsts, axis=0)
-        return (per_length / norm[kind]).sum(axis=1)
+        held = np.bincount(slot, weights=values[owner], minlength=len(slots))
+        return np.bincount(reader, weights=weight * held[source], minlength=total)
 
     out = spread(np.ones(total))
     out[out == 0] = 1.0
@@ -119,12 +125,14 @@ def word_lines(document: Column) -> Column:
     return F.transform(T.sentences(document), lambda s: F.array_join(T.rank_words(s), " "))
 
 
+def textrank_array(document: Column) -> Column:
+    """The rank of every sentence, in sentence order."""
+    return F.transform(_textrank(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
+
+
 def textrank_scores(df: DataFrame) -> DataFrame:
     """(id, pos, score): damped ranks after a fixed number of rounds; one Arrow batch of rows at a time."""
-    scored = df.select("id", _textrank(word_lines(F.col("document"))).alias("_ranks"))
-    return scored.select("id", F.posexplode("_ranks").alias("pos", "_rank")).select(
-        "id", "pos", F.round("_rank", SCORE_PLACES).alias("score")
-    )
+    return unfold(df, ["id"], textrank_array(F.col("document")), "pos", "score")
 
 
 def _reduced(lines: list[str], keep: int) -> np.ndarray:
@@ -150,11 +158,32 @@ def lsa_reduced_scores(df: DataFrame, keep: int = 3) -> DataFrame:
     def salience(lines: pd.Series) -> pd.Series:
         return lines.map(lambda rows: _reduced(list(rows), keep) if len(rows) else [])
 
-    scored = df.select("id", salience(word_lines(F.col("document"))).alias("_s"))
-    return scored.select("id", F.posexplode("_s").alias("pos", "score"))
+    return unfold(df, ["id"], salience(word_lines(F.col("document"))), "pos", "score")
+
+
+def _with_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scores as a position -> score map next to each document; both sides are already placed by id."""
+    listed = scores.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("_scores"))
+    return df.join(listed, "id", "left")
+
 
+def rank_luhn(df: DataFrame) -> DataFrame:
+    return _with_scores(df, luhn_scores(df))
 
-SCORERS = {"luhn": luhn_scores, "lsa": lsa_scores, "textrank": textrank_scores}
+
+def rank_lsa(df: DataFrame) -> DataFrame:
+    return _with_scores(df, lsa_scores(df))
+
+
+def rank_textrank(df: DataFrame) -> DataFrame:
+    """Scored inside the row: nothing is exploded, shuffled or joined."""
+    ranks = df.withColumn("_ranks", textrank_array(F.col("document")))
+    numbered = F.transform("_ranks", lambda r, i: F.struct(i.alias("pos"), r.alias("score")))
+    return ranks.withColumn("_scores", F.map_from_entries(numbered)).drop("_ranks")
+
+
+# Each takes documents and adds ``_scores``: a map from sentence position to score.
+RANKINGS = {"luhn": rank_luhn, "lsa": rank_lsa, "textrank": rank_textrank}
 
 
 def target_sentences(df: DataFrame, budget: int, combo: bool = False) -> DataFrame:
@@ -171,15 +200,14 @@ def _wanted(marks: Column, size: Column, budget: Column) -> Column:
     return F.floor(budget * marks / size).cast("int")
 
 
-def _laid_out(df: DataFrame, scores: DataFrame, combo: bool) -> DataFrame:
+def _laid_out(df: DataFrame, combo: bool) -> DataFrame:
     """Each document with its sentences ranked, array of (neg, pos, len, text), and its two counts."""
-    listed = scores.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("_scores"))
     score = lambda i: F.coalesce(F.try_element_at("_scores", i), F.lit(0.0))
     entry = lambda s, i: F.struct(
         (-score(i)).alias("neg"), i.alias("pos"), F.regexp_count(s, F.lit(r"\S+")).alias("len"), s.alias("text")
     )
     document = F.col("document")
-    return df.join(listed, "id", "left").withColumns({
+    return df.withColumns({
         "_ranked": F.sort_array(F.transform(T.sentences(document), entry)),
         "_marks": _marks(document, combo),
         "_size": T.token_count(document),
@@ -204,10 +232,8 @@ def _assembled(ranked: Column, k: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(best), lambda b: b["text"]), " ")
 
 
-def pick_sentences(
-    df: DataFrame, scores: DataFrame, budgets: dict, pick: str = "mod", combo: bool = False
-) -> DataFrame:
-    """Shorten by ranked sentences for several budgets at once (one row per budget).
+def pick_sentences(df: DataFrame, budgets: dict, pick: str = "mod", combo: bool = False) -> DataFrame:
+    """Shorten ranked documents (id, document, _scores) for several budgets, one row per budget.
 
     ``pick='mod'`` takes the candidate with the smallest token count modulo the budget, fewest
     sentences on ties; ``pick='closest'`` the one nearest to the budget.
@@ -215,8 +241,8 @@ def pick_sentences(
     if pick not in ("mod", "closest"):
         raise ValueError(f"unknown pick rule {pick!r}")
     pairs = F.array(*[F.struct(F.lit(q).alias("quantity"), F.lit(b).alias("budget")) for q, b in budgets.items()])
-    own = df.columns
-    laid = _laid_out(df, scores, combo).select(*own, "_ranked", "_marks", "_size", F.inline(pairs))
+    own = [c for c in df.columns if c != "_scores"]
+    laid = _laid_out(df, combo).select(*own, "_ranked", "_marks", "_size", F.inline(pairs))
     wanted = _wanted(F.col("_marks"), F.col("_size"), F.col("budget"))
     cut = laid.withColumn("_cut", _cut(F.col("_ranked"), wanted, F.col("budget"), pick))
     return cut.select(
@@ -230,10 +256,11 @@ def shorten_ranked(
     df: DataFrame, method: str, budgets: dict, pick: str = "mod", combo: bool = False
 ) -> DataFrame:
     """One of the ranking strategies by name."""
-    if method not in SCORERS:
-        raise ValueError(f"unknown ranking {method!r}; known: {sorted(SCORERS)}")
-    base = by_document(df)
-    return pick_sentences(base, SCORERS[method](base), budgets, pick, combo)
+    if method not in RANKINGS:
+        raise ValueError(f"unknown ranking {method!r}; known: {sorted(RANKINGS)}")
+    # The word-level rankings group by id; the in-row one moves nothing.
+    base = df if method == "textrank" else by_document(df)
+    return pick_sentences(RANKINGS[method](base), budgets, pick, combo)
 
 
 def topk_sentences(df: DataFrame, scores: DataFrame, k: int) -> DataFrame:

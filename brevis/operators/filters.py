@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import number_by_digest, number_rows, spread_join
+from brevis.functions.scale import number_by_digest, number_rows, spread_join, unfold, values_of
 
 METHODS = (
     "full", "head", "tail", "headtail0.2", "headtail0.5", "stopwords", "stopwords_neg",
@@ -103,7 +103,7 @@ def mask_words(df: DataFrame, mask: DataFrame, column: str = "document") -> Data
     toks = T.tokens(F.col(column))
     if len(listed) <= MASK_INLINE_LIMIT:
         return df.withColumn(column, F.array_join(F.filter(toks, lambda t: ~t.isin(listed)), " "))
-    exploded = df.select("id", F.posexplode(toks).alias("_pos", "term"))
+    exploded = unfold(df, ["id"], toks, "_pos", "term")
     listed_terms = mask.select("term").distinct().withColumn("_hit", F.lit(1))
     kept = spread_join(exploded, listed_terms, ["term"], "left").where(F.col("_hit").isNull())
     texts = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_pos", "term"))).alias("_kept"))
@@ -120,7 +120,7 @@ def keyword_topics(df: DataFrame, column: str, patterns: dict = K.TOPIC_PATTERNS
     """One row per (row, matching topic); a row may match several topics or none."""
     lowered = F.lower(F.col(column))
     hits = F.array_compact(F.array(*[F.when(lowered.rlike(p), F.lit(n)) for n, p in patterns.items()]))
-    return df.withColumn("topic", F.explode(hits))
+    return values_of(df, df.columns, hits, "topic")
 
 
 def topic_counts(df: DataFrame) -> DataFrame:

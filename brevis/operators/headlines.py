@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
+from brevis.functions.scale import unfold
 from brevis.operators.filters import blacklist_filter
 
 
@@ -15,17 +16,17 @@ def _inner(html, tag: str, css_class: str | None):
 
 def extract_headlines(pages: DataFrame, tag: str = "h3") -> DataFrame:
     """page_id, pos, headline: the text of every such element, in page order."""
-    return pages.select("page_id", F.posexplode(_inner(F.col("html"), tag, None)).alias("pos", "headline"))
+    return unfold(pages, ["page_id"], _inner(F.col("html"), tag, None), "pos", "headline")
 
 
 def extract_timestamps(pages: DataFrame, tag: str = "span", css_class: str = "article__timestamp") -> DataFrame:
-    return pages.select("page_id", F.posexplode(_inner(F.col("html"), tag, css_class)).alias("pos", "stamp"))
+    return unfold(pages, ["page_id"], _inner(F.col("html"), tag, css_class), "pos", "stamp")
 
 
 def zip_columns(pages: DataFrame, first: str, second: str) -> DataFrame:
     """Two element lists of a page paired by place."""
     both = F.arrays_zip(_inner(F.col("html"), first, None).alias("first"), _inner(F.col("html"), second, None).alias("second"))
-    paired = pages.select("page_id", F.posexplode(both).alias("pos", "_p"))
+    paired = unfold(pages, ["page_id"], both, "pos", "_p")
     return paired.select("page_id", "pos", F.col("_p.first").alias("first"), F.col("_p.second").alias("second"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from brevis.functions.scale import exact_quantiles, spread_join
+from brevis.functions.scale import exact_quantiles, spread_join, values_of
 
 
 def split_counts(before: DataFrame, low: int = 485, high: int = 512, target: int = 36) -> DataFrame:
@@ -77,7 +77,7 @@ def quantile_tails(df: DataFrame, value: str, tie: str = "id") -> DataFrame:
     sides = F.array_compact(F.array(
         F.when(F.col(value) <= low, F.lit("bad")), F.when(F.col(value) >= high, F.lit("good"))
     ))
-    return df.withColumn("tail", F.explode(sides))
+    return values_of(df, df.columns, sides, "tail")
 
 
 def tail_profile(tails: DataFrame, lengths: DataFrame) -> DataFrame:

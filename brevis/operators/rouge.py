@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
 from brevis.functions import text as T
-from brevis.functions.scale import by_document, exact_quantiles
+from brevis.functions.scale import by_document, exact_quantiles, values_of
 from brevis.operators.tokens import stem_map
 
 
@@ -29,7 +29,7 @@ def _sides(df: DataFrame, stem: bool) -> DataFrame:
 def _stemmed(toks: DataFrame) -> DataFrame:
     """Stem each distinct token of a pair and put the stems back in place."""
     kinds = F.array_union("ref", "hyp")
-    pairs = stem_map(toks.select("id", F.explode(kinds).alias("word")))
+    pairs = stem_map(values_of(toks, ["id"], kinds, "word"))
     held = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("_stems"))
     swap = lambda c: F.transform(c, lambda w: F.element_at("_stems", w))
     return toks.join(held, "id", "left").select("id", swap("ref").alias("ref"), swap("hyp").alias("hyp"))
@@ -51,7 +51,7 @@ def rouge_n(df: DataFrame, orders=(1, 2), stem: bool = False) -> DataFrame:
     # the row here. A null filter up front would evaluate the text expressions twice.
     keep = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("is_ref")))
     every = F.concat(keep, *[tagged(side, n, is_ref) for n in orders for side, is_ref in (("ref", 1), ("hyp", 0))])
-    grams = rows.select("id", F.explode(every).alias("g"))
+    grams = values_of(rows, ["id"], every, "g")
     counts = grams.groupBy("id", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
         F.count_if(F.col("g.is_ref") == 1).alias("in_ref"), F.count_if(F.col("g.is_ref") == 0).alias("in_hyp")
     )

@@ -6,16 +6,12 @@ from pyspark.sql.types import StringType
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import number_rows, spread_join
-
-
-def exploded(df: DataFrame, toks: Column) -> DataFrame:
-    return df.select("id", F.posexplode(toks).alias("pos", "term"))
+from brevis.functions.scale import number_rows, spread_join, values_of
 
 
 def build_vocab(df: DataFrame, toks: Column) -> DataFrame:
     """term, freq, and its place in ascending and descending term order (from 0)."""
-    counted = df.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    counted = values_of(df, [], toks, "term").groupBy("term").agg(F.count("*").alias("freq"))
     placed = number_rows(counted, ["term"], "place")
     size = placed.agg(F.count("*")).scalar()
     return placed.withColumn("place_desc", size - 1 - F.col("place"))
@@ -23,7 +19,7 @@ def build_vocab(df: DataFrame, toks: Column) -> DataFrame:
 
 def id_vocab(df: DataFrame, toks: Column) -> DataFrame:
     """term -> word_id from 2 by falling frequency, then term."""
-    counted = df.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    counted = values_of(df, [], toks, "term").groupBy("term").agg(F.count("*").alias("freq"))
     ranked = number_rows(counted.withColumn("_neg", -F.col("freq")), ["_neg", "term"], "word_id")
     return ranked.select("term", "freq", (F.col("word_id") + K.FIRST_WORD_ID).cast("int").alias("word_id"))
 
@@ -35,7 +31,7 @@ def encode_ids(df: DataFrame, vocab: DataFrame, column: str = "document", limit:
     stays in the document's row.
     """
     toks = df.select("id", F.slice(T.tokens(F.col(column)), 1, limit - 1).alias("_toks"))
-    kinds = toks.select("id", F.explode(F.array_distinct("_toks")).alias("term"))
+    kinds = values_of(toks, ["id"], F.array_distinct("_toks"), "term")
     known = spread_join(kinds, vocab.select("term", "word_id"), ["term"])
     maps = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "word_id"))).alias("_m"))
     looked = F.transform("_toks", lambda t: F.try_element_at("_m", t))
@@ -45,7 +41,7 @@ def encode_ids(df: DataFrame, vocab: DataFrame, column: str = "document", limit:
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """id, text: ids back to words, special ids skipped."""
-    kinds = encoded.select("id", F.explode(F.array_distinct("ids")).alias("word_id"))
+    kinds = values_of(encoded, ["id"], F.array_distinct("ids"), "word_id")
     known = spread_join(kinds, vocab.select("word_id", "term"), ["word_id"])
     maps = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word_id", "term"))).alias("_m"))
     words = F.array_compact(F.transform("ids", lambda i: F.try_element_at("_m", i)))
@@ -216,4 +212,4 @@ def stem_map(words: DataFrame) -> DataFrame:
 
 def stem_vocab(df: DataFrame, toks: Column) -> DataFrame:
     """word, stem for the distinct words of a corpus."""
-    return df.select(F.explode(toks).alias("word")).distinct().withColumn("stem", _stems("word"))
+    return values_of(df, [], toks, "word").distinct().withColumn("stem", _stems("word"))

@@ -17,7 +17,9 @@ OUTPUT = ("id", "method", "quantity", "shortened_document", "shortened_len", "do
 def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn", "lsa")) -> DataFrame:
     """One table of every strategy and budget. Row-wise strategies share a single pass."""
     budgets = budgets or BUDGETS
-    slim = pairs.select("id", "document").withColumn("document_len", T.token_count(F.col("document")).cast("int"))
+    # Every strategy reads this one shuffle: identical exchanges are written once and reused.
+    slim = by_document(pairs.select("id", "document"))
+    slim = slim.withColumn("document_len", T.token_count(F.col("document")).cast("int"))
     parts = [shorten.token_grid(slim, budgets).select(*OUTPUT)]
     full = shorten.shorten_full(slim).withColumns({"method": F.lit("full"), "quantity": F.lit("512")})
     parts.append(full.select(*OUTPUT))
@@ -26,9 +28,8 @@ def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn",
             {"method": F.lit(method), "quantity": F.lit(quantity)}
         )
         parts.append(made.select(*OUTPUT))
-    base = by_document(slim)
     for method in rankings:
-        picked = extractive.pick_sentences(base, extractive.SCORERS[method](base), budgets)
+        picked = extractive.pick_sentences(extractive.RANKINGS[method](slim), budgets)
         parts.append(picked.withColumn("method", F.lit(method)).select(*OUTPUT))
     return reduce(DataFrame.unionByName, parts)
 

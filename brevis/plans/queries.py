@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import by_document, fresh_dir, number_rows
+from brevis.functions.scale import by_document, fresh_dir, spread_rows, values_of
 from brevis.operators import (
     embedding, extractive, filters, headlines, mining, quality, rouge, runlog, shorten, tokens, topics,
 )
@@ -35,6 +35,15 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"))
 
 
+def spread_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs for row-wise operators: a one-split file is first spread over the cores."""
+    return spread_rows(pairs(spark, sf))
+
+
+def spread_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread_rows(texts(spark, sf))
+
+
 def chats(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.replies(table(spark, sf, "conversations"))
 
@@ -74,7 +83,7 @@ def split_assign(spark, sf):
 
 @query
 def length_profile(spark, sf):
-    return longs(tables.length_profile(pairs(spark, sf)), "doc_len", "sum_len")
+    return longs(tables.length_profile(spread_pairs(spark, sf)), "doc_len", "sum_len")
 
 
 @query
@@ -272,7 +281,7 @@ def row_fraction(spark, sf):
 
 @query
 def mask_words(spark, sf):
-    return filters.mask_words(texts(spark, sf), mining.mask_list(texts(spark, sf)))
+    return filters.mask_words(spread_texts(spark, sf), mining.mask_list(spread_texts(spark, sf)))
 
 
 @query
@@ -321,11 +330,11 @@ def token_count(spark, sf):
 
 @query
 def build_vocab(spark, sf):
-    return tokens.build_vocab(texts(spark, sf), T.terms(F.col("document")))
+    return tokens.build_vocab(spread_texts(spark, sf), T.terms(F.col("document")))
 
 
 def _encoded(spark, sf):
-    t = texts(spark, sf)
+    t = spread_texts(spark, sf)
     vocab = tokens.id_vocab(t, T.tokens(F.col("document")))
     return vocab, tokens.encode_ids(t, vocab)
 
@@ -396,7 +405,7 @@ def simple_preprocess(spark, sf):
 
 @query
 def stem_vocab(spark, sf):
-    return tokens.stem_vocab(texts(spark, sf), tokens.simple_preprocess(F.col("document")))
+    return tokens.stem_vocab(spread_texts(spark, sf), tokens.simple_preprocess(F.col("document")))
 
 
 @query
@@ -449,22 +458,22 @@ def shorten_headtail_half(spark, sf):
 
 @query
 def shorten_stopwords(spark, sf):
-    return _short(shorten.shorten_stopwords(pairs(spark, sf)))
+    return _short(shorten.shorten_stopwords(spread_pairs(spark, sf)))
 
 
 @query
 def removed_words(spark, sf):
-    return longs(shorten.shorten_stopwords(pairs(spark, sf)).select("id", "removed_words"), "removed_words")
+    return longs(shorten.shorten_stopwords(spread_pairs(spark, sf)).select("id", "removed_words"), "removed_words")
 
 
 @query
 def shorten_stopwords_neg(spark, sf):
-    return _short(shorten.shorten_stopwords(pairs(spark, sf), keep_negations=True))
+    return _short(shorten.shorten_stopwords(spread_pairs(spark, sf), keep_negations=True))
 
 
 @query
 def punct_respace(spark, sf):
-    return shorten.punct_respace(texts(spark, sf))
+    return shorten.punct_respace(spread_texts(spark, sf))
 
 
 @query
@@ -487,12 +496,12 @@ def shorten_lsa(spark, sf):
 
 @query
 def shorten_textrank(spark, sf):
-    return _short(extractive.shorten_ranked(pairs(spark, sf), "textrank", grid.BUDGETS))
+    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "textrank", grid.BUDGETS))
 
 
 @query
 def textrank_scores(spark, sf):
-    return longs(extractive.textrank_scores(pairs(spark, sf)), "pos")
+    return longs(extractive.textrank_scores(spread_pairs(spark, sf)), "pos")
 
 
 @query
@@ -507,38 +516,37 @@ def lsa_scores(spark, sf):
 
 @query
 def lsa_reduced(spark, sf):
-    return rounded(longs(extractive.lsa_reduced_scores(pairs(spark, sf)), "pos"), "score")
+    return rounded(longs(extractive.lsa_reduced_scores(spread_pairs(spark, sf)), "pos"), "score")
 
 
 @query
 def shorten_centroid(spark, sf):
-    return _short(extractive.shorten_centroid(pairs(spark, sf), 373))
+    return _short(extractive.shorten_centroid(spread_pairs(spark, sf), 373))
 
 
 @query
 def candidate_pick(spark, sf):
-    base = by_document(pairs(spark, sf))
-    return _short(extractive.pick_sentences(base, extractive.luhn_scores(base), {"45": 273}, pick="closest"))
+    return _short(extractive.shorten_ranked(pairs(spark, sf), "luhn", {"45": 273}, pick="closest"))
 
 
 @query
 def combo_shorten(spark, sf):
-    return _short(grid.combo_shorten(pairs(spark, sf), "luhn", grid.BUDGETS))
+    return _short(grid.combo_shorten(spread_pairs(spark, sf), "luhn", grid.BUDGETS))
 
 
 @query
 def combo_lsa(spark, sf):
-    return _short(grid.combo_shorten(pairs(spark, sf), "lsa", grid.BUDGETS))
+    return _short(grid.combo_shorten(spread_pairs(spark, sf), "lsa", grid.BUDGETS))
 
 
 @query
 def combo_textrank(spark, sf):
-    return _short(grid.combo_shorten(pairs(spark, sf), "textrank", grid.BUDGETS))
+    return _short(grid.combo_shorten(spread_pairs(spark, sf), "textrank", grid.BUDGETS))
 
 
 @query
 def combo_headtail(spark, sf):
-    return _short(grid.combo_headtail(pairs(spark, sf), 373, 2))
+    return _short(grid.combo_headtail(spread_pairs(spark, sf), 373, 2))
 
 
 @query
@@ -671,7 +679,7 @@ def embedding_score(spark, sf):
     c = chats(spark, sf).select(
         "id", T.rouge_tokens(F.col("reference")).alias("ref"), T.rouge_tokens(F.col("hypothesis")).alias("hyp")
     )
-    kinds = c.select(F.explode(F.array_union("ref", "hyp")).alias("token")).distinct().withColumn("_n", n_vectors)
+    kinds = values_of(c, [], F.array_union("ref", "hyp"), "token").distinct().withColumn("_n", n_vectors)
     bound = kinds.select("token", corpus.vectors_for_tokens(F.col("_n"), F.col("token")))
     lookup = bound.join(vectors, "vec_id").select("token", "vector")
     scored = embedding.embedding_score(embedding.token_bags(c, "ref", "hyp", lookup), baseline=0.1)
@@ -883,7 +891,7 @@ def mask_list(spark, sf):
 @query
 def tag_buckets(spark, sf):
     """Tags are derived from the vocabulary itself, as no tagger is part of the engine."""
-    vocab = texts(spark, sf).select(F.explode(T.terms(F.col("document"))).alias("term")).distinct()
+    vocab = values_of(spread_texts(spark, sf), [], T.terms(F.col("document")), "term").distinct()
     names = F.array(*[F.lit(t) for t in ("NNS", "VBD", "JJ", "RBR", "CD", "XX", "DT")])
     return mining.tag_buckets(vocab.withColumn("tag", F.element_at(names, F.length("term") % 7 + 1)))
 
@@ -1029,4 +1037,4 @@ def stream_metrics(spark, sf):
 
 @query
 def flagship(spark, sf):
-    return grid.flagship(pairs(spark, sf))
+    return grid.flagship(spread_pairs(spark, sf))

@@ -43,13 +43,11 @@ def split_assign(df: DataFrame) -> DataFrame:
 
 def pairs_from_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """First sentence as summary, the remaining raw text as document."""
-    first = F.regexp_extract(text_col, K.SENTENCE, 0)
-    raw = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("_t"), first.alias("_f"))
-    rest = F.expr("substring(_t, instr(_t, _f) + length(_f))")
-    return raw.select(
-        "id",
-        F.trim(F.when(F.col("_f") == "", F.col("_t")).otherwise(rest)).alias("document"),
-        F.trim("_f").alias("summary"),
+    # Two independent single-pass expressions: a filter on one of them repeats no other.
+    return df.select(
+        F.col(id_col).cast("string").alias("id"),
+        F.trim(F.regexp_replace(text_col, r"^[.!?\n]*" + K.SENTENCE, "")).alias("document"),
+        F.trim(F.regexp_extract(text_col, K.SENTENCE, 0)).alias("summary"),
     )
 
 
