@@ -7,6 +7,44 @@ from pyspark.sql import Column, functions as F
 from brevis import constants as K
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it as a variable.
+
+    A column referenced only inside a lambda may be inlined there and run once per element; binding
+    it as the lambda variable of a one-entry transform rules that out.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs(values: Column) -> Column:
+    """Distinct values with their counts, array of (word, n), by sorting: n log n at any length."""
+
+    def of_sorted(s: Column) -> Column:
+        first = lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)
+        length = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+        return let(
+            F.array_compact(F.transform(s, first)),
+            lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("word"), (length(at, k) - a).alias("n"))),
+        )
+
+    return let(F.sort_array(values), of_sorted)
+
+
+def overlap(left: Column, right: Column) -> Column:
+    """Size of the multiset intersection of two token arrays.
+
+    The k-th copy of a token becomes token#k on both sides, so a hashed set intersection counts
+    copies; "#" cannot occur in the tokens.
+    """
+    def numbered(values: Column) -> Column:
+        copies = lambda r: F.transform(
+            F.sequence(F.lit(1), r["n"]), lambda c: F.concat(r["word"], F.lit("#"), c.cast("string"))
+        )
+        return F.flatten(F.transform(runs(values), copies))
+
+    return F.size(F.array_intersect(numbered(left), numbered(right)))
+
+
 def squash(text: Column) -> Column:
     """Collapse every whitespace run to one space and drop the outer ones."""
     return F.trim(F.regexp_replace(text, K.SPACES, " "))

@@ -1,17 +1,16 @@
 """Extractive shortening: rank sentences inside each document, keep the best ones in order.
 
-Every strategy shuffles each document once by id; the word-level steps that follow are grouped by
-keys that begin with the id, so they run where the document already is. A document is one row of
-the corpus, hence no group here is larger than one text.
+Ranking the sentences of a document needs nothing outside its row, so every ranking here is a column
+expression over the document: no word is exploded and no text is shuffled, whatever the corpus size.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as Y
+from pyspark.sql import Column, DataFrame, functions as F, types as Y
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import by_document, unfold
+from brevis.functions.scale import unfold
 
 DOUBLES = Y.ArrayType(Y.DoubleType())
 SCORE_PLACES = 9  # float sums depend on their order; ranks must not
@@ -22,54 +21,70 @@ def sentence_rows(df: DataFrame) -> DataFrame:
     return unfold(df, ["id"], T.sentences(F.col("document")), "pos", "sentence")
 
 
-def ranked_words(df: DataFrame) -> DataFrame:
-    """(id, pos, wpos, word): the lower-cased alphabetic words of every sentence."""
-    return unfold(sentence_rows(df), ["id", "pos"], T.rank_words(F.col("sentence")), "wpos", "word")
+def _word_arrays(document: Column) -> Column:
+    """The ranking words of every sentence: array of arrays."""
+    return F.transform(T.sentences(document), T.rank_words)
 
 
-def luhn_scores(df: DataFrame) -> DataFrame:
-    """(id, pos, score): best cluster of words that occur more than once in the document."""
-    seen = ranked_words(df).withColumn("_tf", F.count("*").over(Window.partitionBy("id", "word")))
-    line = Window.partitionBy("id", "pos").orderBy("wpos")
-    opened = (
-        seen.where(F.col("_tf") > 1)
-        .select("id", "pos", "wpos")
-        # A cluster ends once LUHN_GAP words in a row are insignificant.
-        .withColumn("_new", F.coalesce((F.col("wpos") - F.lag("wpos").over(line) > K.LUHN_GAP).cast("int"), F.lit(1)))
-        .withColumn("_cluster", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    clusters = opened.groupBy("id", "pos", "_cluster").agg(
-        F.count("*").alias("_hits"), (F.max("wpos") - F.min("wpos") + 1).alias("_span")
-    )
-    value = F.when(F.col("_hits") > 1, F.col("_hits") * F.col("_hits") / F.col("_span")).otherwise(0.0)
-    return clusters.groupBy("id", "pos").agg(F.round(F.max(value), SCORE_PLACES).alias("score"))
+def luhn_array(document: Column) -> Column:
+    """Each sentence's best cluster of words that occur more than once in the document.
+
+    A cluster runs on until LUHN_GAP words in a row are insignificant; its value is hits^2 / length.
+    """
+    def closed(state: Column) -> Column:
+        value = state["hits"] * state["hits"] / (state["last"] - state["start"] + 1)
+        return F.greatest(state["best"], F.when(state["hits"] > 1, value).otherwise(0.0))
+
+    def state(start, last, hits, best) -> Column:
+        return F.struct(
+            start.cast("int").alias("start"), last.cast("int").alias("last"),
+            hits.cast("int").alias("hits"), best.cast("double").alias("best"),
+        )
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.when(p - acc["last"] > K.LUHN_GAP, state(p, p, F.lit(1), closed(acc))).otherwise(
+            state(acc["start"], p, acc["hits"] + 1, acc["best"])
+        )
 
+    def best(row_words: Column, often: Column) -> Column:
+        marked = T.let(
+            F.array_intersect(row_words, often),
+            lambda held: F.array_compact(F.transform(row_words, lambda w, i: F.when(F.array_contains(held, w), i))),
+        )
+        nothing = state(F.lit(0), F.lit(-K.LUHN_GAP - 1), F.lit(0), F.lit(0.0))
+        return F.round(F.aggregate(marked, nothing, step, closed), SCORE_PLACES)
 
-def lsa_scores(df: DataFrame) -> DataFrame:
-    """(id, pos, score): salience with all dimensions kept.
+    def of_words(rows: Column) -> Column:
+        repeated = F.transform(F.filter(T.runs(F.flatten(rows)), lambda r: r["n"] > 1), lambda r: r["word"])
+        return T.let(repeated, lambda often: F.transform(rows, lambda row_words: best(row_words, often)))
+
+    return T.let(_word_arrays(document), of_words)
+
+
+def lsa_array(document: Column) -> Column:
+    """Salience of each sentence with all latent dimensions kept.
 
     With every singular value kept, sqrt(sum sigma^2 v^2) is the length of the sentence's column in
-    the smoothed term-frequency matrix, which needs only four sums per sentence and the vocabulary
+    the smoothed term-frequency matrix, which needs only three sums per sentence and the vocabulary
     size of the document.
     """
-    keyed = df.withColumn("_vocab", F.size(F.array_distinct(T.rank_words(F.col("document")))))
-    lines = unfold(keyed, ["id", "_vocab"], T.sentences(F.col("document")), "pos", "sentence")
-    counted = (
-        lines.select("id", "_vocab", "pos", F.explode_outer(T.rank_words(F.col("sentence"))).alias("word"))
-        .groupBy("id", "_vocab", "pos", "word")
-        .agg(F.count("word").alias("_f"))
-    )
-    sums = counted.groupBy("id", "_vocab", "pos").agg(
-        F.count("word").alias("_present"), F.sum("_f").alias("_f1"),
-        F.sum(F.col("_f") * F.col("_f")).alias("_f2"), F.greatest(F.max("_f"), F.lit(1)).alias("_top"),
-    )
     low, high = K.LSA_SMOOTH, 1 - K.LSA_SMOOTH
-    squared = (
-        F.lit(low * low) * F.col("_vocab")
-        + F.lit(2 * low * high) * F.col("_f1") / F.col("_top")
-        + F.lit(high * high) * F.col("_f2") / (F.col("_top") * F.col("_top"))
-    )
-    return sums.select("id", "pos", F.round(F.sqrt(squared), SCORE_PLACES).alias("score"))
+
+    def salience(counts: Column, vocab: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
+        top = F.greatest(F.array_max(counts), F.lit(1))
+        value = F.lit(low * low) * vocab + F.lit(2 * low * high) * total / top + F.lit(high * high) * squares / (top * top)
+        return F.round(F.sqrt(value), SCORE_PLACES)
+
+    def of_words(rows: Column) -> Column:
+        counts = lambda ws: F.transform(T.runs(ws), lambda r: r["n"])
+        return T.let(
+            F.size(F.array_distinct(F.flatten(rows))),
+            lambda vocab: F.transform(rows, lambda ws: T.let(counts(ws), lambda c: salience(c, vocab))),
+        )
+
+    return T.let(_word_arrays(document), of_words)
 
 
 def _overlap_ranks(lines: list[str], damping: float, rounds: int) -> np.ndarray:
@@ -130,11 +145,6 @@ def textrank_array(document: Column) -> Column:
     return F.transform(_textrank(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
 
 
-def textrank_scores(df: DataFrame) -> DataFrame:
-    """(id, pos, score): damped ranks after a fixed number of rounds; one Arrow batch of rows at a time."""
-    return unfold(df, ["id"], textrank_array(F.col("document")), "pos", "score")
-
-
 def _reduced(lines: list[str], keep: int) -> np.ndarray:
     split = [line.split(" ") if line else [] for line in lines]
     vocab = {w: i for i, w in enumerate(sorted({w for s in split for w in s}))}
@@ -151,48 +161,32 @@ def _reduced(lines: list[str], keep: int) -> np.ndarray:
     return np.sqrt(((sigma[:, None] * right) ** 2).sum(axis=0))
 
 
-def lsa_reduced_scores(df: DataFrame, keep: int = 3) -> DataFrame:
-    """(id, pos, score) from the ``keep`` strongest latent topics of each document."""
+def lsa_reduced_array(keep: int = 3):
+    """A ranking from the ``keep`` strongest latent topics of each document."""
 
     @F.pandas_udf(DOUBLES)
     def salience(lines: pd.Series) -> pd.Series:
         return lines.map(lambda rows: _reduced(list(rows), keep) if len(rows) else [])
 
-    return unfold(df, ["id"], salience(word_lines(F.col("document"))), "pos", "score")
-
-
-def _with_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores as a position -> score map next to each document; both sides are already placed by id."""
-    listed = scores.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "score"))).alias("_scores"))
-    return df.join(listed, "id", "left")
-
-
-def rank_luhn(df: DataFrame) -> DataFrame:
-    return _with_scores(df, luhn_scores(df))
-
+    return lambda document: F.transform(salience(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
 
-def rank_lsa(df: DataFrame) -> DataFrame:
-    return _with_scores(df, lsa_scores(df))
 
+# Document column -> array with the score of every sentence, in sentence order.
+RANKINGS = {"luhn": luhn_array, "lsa": lsa_array, "textrank": textrank_array}
 
-def rank_textrank(df: DataFrame) -> DataFrame:
-    """Scored inside the row: nothing is exploded, shuffled or joined."""
-    ranks = df.withColumn("_ranks", textrank_array(F.col("document")))
-    numbered = F.transform("_ranks", lambda r, i: F.struct(i.alias("pos"), r.alias("score")))
-    return ranks.withColumn("_scores", F.map_from_entries(numbered)).drop("_ranks")
 
-
-# Each takes documents and adds ``_scores``: a map from sentence position to score.
-RANKINGS = {"luhn": rank_luhn, "lsa": rank_lsa, "textrank": rank_textrank}
+def sentence_scores(df: DataFrame, ranking) -> DataFrame:
+    """(id, pos, score) rows of a ranking."""
+    return unfold(df, ["id"], ranking(F.col("document")), "pos", "score")
 
 
 def target_sentences(df: DataFrame, budget: int, combo: bool = False) -> DataFrame:
     """How many sentences fit: floor(budget / (tokens / sentences)), in whole numbers."""
     document = F.col("document")
-    return df.withColumn("n_sentences", _wanted(_marks(document, combo), T.token_count(document), F.lit(budget)))
+    return df.withColumn("n_sentences", _wanted(marks(document, combo), T.token_count(document), F.lit(budget)))
 
 
-def _marks(document: Column, combo: bool) -> Column:
+def marks(document: Column, combo: bool) -> Column:
     return T.period_sentences(document) if combo else T.newline_sentences(document)
 
 
@@ -200,18 +194,14 @@ def _wanted(marks: Column, size: Column, budget: Column) -> Column:
     return F.floor(budget * marks / size).cast("int")
 
 
-def _laid_out(df: DataFrame, combo: bool) -> DataFrame:
-    """Each document with its sentences ranked, array of (neg, pos, len, text), and its two counts."""
-    score = lambda i: F.coalesce(F.try_element_at("_scores", i), F.lit(0.0))
-    entry = lambda s, i: F.struct(
-        (-score(i)).alias("neg"), i.alias("pos"), F.regexp_count(s, F.lit(r"\S+")).alias("len"), s.alias("text")
-    )
-    document = F.col("document")
-    return df.withColumns({
-        "_ranked": F.sort_array(F.transform(T.sentences(document), entry)),
-        "_marks": _marks(document, combo),
-        "_size": T.token_count(document),
-    }).drop("_scores")
+def laid_out(document: Column, scores: Column) -> Column:
+    """The sentences best first: array of (neg, pos, len, text)."""
+    def entry(held: Column):
+        return lambda s, i: F.struct(
+            (-F.get(held, i)).alias("neg"), i.alias("pos"), F.regexp_count(s, F.lit(r"\S+")).alias("len"), s.alias("text")
+        )
+
+    return T.let(scores, lambda held: F.sort_array(F.transform(T.sentences(document), entry(held))))
 
 
 def _cut(ranked: Column, wanted: Column, budget: Column, pick: str) -> Column:
@@ -232,46 +222,50 @@ def _assembled(ranked: Column, k: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(best), lambda b: b["text"]), " ")
 
 
-def pick_sentences(df: DataFrame, budgets: dict, pick: str = "mod", combo: bool = False) -> DataFrame:
-    """Shorten ranked documents (id, document, _scores) for several budgets, one row per budget.
-
-    ``pick='mod'`` takes the candidate with the smallest token count modulo the budget, fewest
-    sentences on ties; ``pick='closest'`` the one nearest to the budget.
-    """
-    if pick not in ("mod", "closest"):
-        raise ValueError(f"unknown pick rule {pick!r}")
-    pairs = F.array(*[F.struct(F.lit(q).alias("quantity"), F.lit(b).alias("budget")) for q, b in budgets.items()])
-    own = [c for c in df.columns if c != "_scores"]
-    laid = _laid_out(df, combo).select(*own, "_ranked", "_marks", "_size", F.inline(pairs))
-    wanted = _wanted(F.col("_marks"), F.col("_size"), F.col("budget"))
-    cut = laid.withColumn("_cut", _cut(F.col("_ranked"), wanted, F.col("budget"), pick))
-    return cut.select(
-        *own, "quantity",
-        F.when(F.size("_ranked") > 0, _assembled(F.col("_ranked"), F.col("_cut.k"))).otherwise("").alias("shortened_document"),
-        F.when(F.size("_ranked") > 0, F.col("_cut.size")).otherwise(1).cast("int").alias("shortened_len"),
-    )
+def chosen(ranked: Column, marks: Column, size: Column, budget: int, pick: str) -> Column:
+    """(text, size) of the sentences kept for one budget; an empty document stays empty."""
+    whole = lambda cut: F.struct(_assembled(ranked, cut["k"]).alias("text"), cut["size"].cast("int").alias("size"))
+    nothing = F.struct(F.lit("").alias("text"), F.lit(1).alias("size"))
+    cut = _cut(ranked, _wanted(marks, size, F.lit(budget)), F.lit(budget), pick)
+    return F.when(F.size(ranked) > 0, T.let(cut, whole)).otherwise(nothing)
 
 
 def shorten_ranked(
     df: DataFrame, method: str, budgets: dict, pick: str = "mod", combo: bool = False
 ) -> DataFrame:
-    """One of the ranking strategies by name."""
+    """Shorten by one of the rankings, one row per budget.
+
+    ``pick='mod'`` takes the candidate with the smallest token count modulo the budget, fewest
+    sentences on ties; ``pick='closest'`` the one nearest to the budget.
+    """
     if method not in RANKINGS:
         raise ValueError(f"unknown ranking {method!r}; known: {sorted(RANKINGS)}")
-    # The word-level rankings group by id; the in-row one moves nothing.
-    base = df if method == "textrank" else by_document(df)
-    return pick_sentences(RANKINGS[method](base), budgets, pick, combo)
+    if pick not in ("mod", "closest"):
+        raise ValueError(f"unknown pick rule {pick!r}")
+    document = F.col("document")
+    laid = df.withColumns({
+        "_ranked": laid_out(document, RANKINGS[method](document)),
+        "_marks": marks(document, combo),
+        "_size": T.token_count(document),
+    })
+    made = F.array(*[
+        F.struct(F.lit(q).alias("quantity"), chosen(F.col("_ranked"), F.col("_marks"), F.col("_size"), b, pick).alias("made"))
+        for q, b in budgets.items()
+    ])
+    # The outer form keeps the optimiser from testing the array, and so building it, a second time.
+    rows = laid.select(*df.columns, F.explode_outer(made).alias("_m"))
+    return rows.select(
+        *df.columns, F.col("_m.quantity").alias("quantity"), F.col("_m.made.text").alias("shortened_document"),
+        F.col("_m.made.size").alias("shortened_len"),
+    )
 
 
-def topk_sentences(df: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+def topk_sentences(df: DataFrame, ranking, k: int) -> DataFrame:
     """The k best sentences of each document in document order."""
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "pos")
-    top = scores.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
-    chosen = top.join(sentence_rows(df), ["id", "pos"])
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "sentence")))
-    return chosen.groupBy("id").agg(
-        F.count("*").alias("n_kept"),
-        F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ").alias("shortened_document"),
+    laid = df.withColumn("_best", F.slice(laid_out(F.col("document"), ranking(F.col("document"))), 1, k))
+    kept = laid.where(F.size("_best") > 0)
+    return kept.select(
+        "id", F.size("_best").cast("long").alias("n_kept"), _assembled(F.col("_best"), F.lit(k)).alias("shortened_document")
     )
 
 
@@ -318,7 +312,7 @@ def shorten_centroid(df: DataFrame, budget: int) -> DataFrame:
     """Keep the sentences nearest to cluster centres; the cut rule is that of the ranked strategies."""
     document = F.col("document")
     offered = df.withColumn("_s", T.sentences(document)).withColumn(
-        "_offers", _centroid_offers(word_lines(document), _wanted(_marks(document, False), T.token_count(document), F.lit(budget)))
+        "_offers", _centroid_offers(word_lines(document), _wanted(marks(document, False), T.token_count(document), F.lit(budget)))
     )
 
     def weigh(picks: Column) -> Column:

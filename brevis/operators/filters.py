@@ -37,7 +37,8 @@ def length_band(df: DataFrame, low: int | None = None, high: int | None = 512, t
     if high is None:
         return df
     low = band_floor(high) if low is None else low
-    return df.where(F.col("doc_len").between(low, high) & (F.col("sum_len") <= target))
+    # SQL BETWEEN evaluates its operand once even where doc_len is an expression, not a stored column.
+    return df.where(F.expr(f"doc_len BETWEEN {low} AND {high} AND sum_len <= {target}"))
 
 
 def band_violations(df: DataFrame, low: int = 485, high: int = 512, target: int = K.TARGET_LIMIT) -> DataFrame:

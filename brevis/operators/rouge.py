@@ -5,21 +5,23 @@ Input everywhere: id, reference, hypothesis. Rows with a null text are dropped.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
 from brevis.functions import text as T
-from brevis.functions.scale import by_document, exact_quantiles, values_of
+from brevis.functions.scale import exact_quantiles, values_of
 from brevis.operators.tokens import stem_map
 
 
 def usable(df: DataFrame) -> DataFrame:
+    """Rows with both texts. Stored columns prune at the scan; the filter is cheap on them."""
     return df.where(F.col("reference").isNotNull() & F.col("hypothesis").isNotNull())
 
 
-def _sides(df: DataFrame, stem: bool) -> DataFrame:
-    toks = df.select(
+def _sides(df: DataFrame, stem: bool, keep: tuple = ()) -> DataFrame:
+    toks = usable(df).select(
         "id",
+        *keep,
         T.rouge_tokens(F.col("reference")).alias("ref"),
         T.rouge_tokens(F.col("hypothesis")).alias("hyp"),
     )
@@ -32,40 +34,23 @@ def _stemmed(toks: DataFrame) -> DataFrame:
     pairs = stem_map(values_of(toks, ["id"], kinds, "word"))
     held = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("_stems"))
     swap = lambda c: F.transform(c, lambda w: F.element_at("_stems", w))
-    return toks.join(held, "id", "left").select("id", swap("ref").alias("ref"), swap("hyp").alias("hyp"))
+    others = [c for c in toks.columns if c not in ("ref", "hyp")]
+    return toks.join(held, "id", "left").select(*others, swap("ref").alias("ref"), swap("hyp").alias("hyp"))
 
 
-def rouge_n(df: DataFrame, orders=(1, 2), stem: bool = False) -> DataFrame:
-    """id plus rouge<n> for every n asked for, all from one pass.
+def rouge_n(df: DataFrame, orders=(1, 2), stem: bool = False, keep: tuple = ()) -> DataFrame:
+    """id plus rouge<n> for every n asked for; a row's score needs nothing outside the row.
 
-    The texts are shuffled once by id. Counting grams per (id, gram) and summing per id both group
-    by keys that begin with id, so neither needs a further exchange, and both combine early.
+    Without stemming this is a projection: no text is exploded or shuffled at any corpus size.
     """
-    rows = _sides(by_document(df), stem)
-
-    def tagged(side: str, n: int, is_ref: int):
-        tag = lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_ref).alias("is_ref"))
-        return F.transform(T.ngrams(F.col(side), n), tag)
-
-    # The placeholder keeps rows without any gram; a null text makes the whole array null, which drops
-    # the row here. A null filter up front would evaluate the text expressions twice.
-    keep = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("is_ref")))
-    every = F.concat(keep, *[tagged(side, n, is_ref) for n in orders for side, is_ref in (("ref", 1), ("hyp", 0))])
-    grams = values_of(rows, ["id"], every, "g")
-    counts = grams.groupBy("id", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        F.count_if(F.col("g.is_ref") == 1).alias("in_ref"), F.count_if(F.col("g.is_ref") == 0).alias("in_hyp")
-    )
-    return counts.groupBy("id").agg(*[
-        F.coalesce(
-            T.f1(
-                F.sum(F.when(F.col("n") == n, F.least("in_ref", "in_hyp"))),
-                F.sum(F.when(F.col("n") == n, F.col("in_hyp"))),
-                F.sum(F.when(F.col("n") == n, F.col("in_ref"))),
-            ),
-            F.lit(0.0),
-        ).alias(f"rouge{n}")
-        for n in orders
-    ])
+    rows = _sides(df, stem, keep)
+
+    def score(n: int) -> Column:
+        return T.let(T.ngrams(F.col("ref"), n), lambda r: T.let(T.ngrams(F.col("hyp"), n), lambda h: T.f1(
+            T.overlap(r, h), F.size(h), F.size(r)
+        )))
+
+    return rows.select("id", *keep, *[score(n).alias(f"rouge{n}") for n in orders])
 
 
 def _common_rows(ref: list[str], hyp: list[str]) -> list[int]:
@@ -107,7 +92,7 @@ def common_length(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 def rouge_l(df: DataFrame, stem: bool = False) -> DataFrame:
     """id, rougeL: longest-common-subsequence F1 over the whole texts; nothing is shuffled unstemmed."""
-    rows = _sides(usable(df), stem)
+    rows = _sides(df, stem)
     hits = common_length(F.array_join("ref", " "), F.array_join("hyp", " "))
     sized = rows.select("id", hits.alias("_hits"), F.size("ref").alias("_r"), F.size("hyp").alias("_h"))
     return sized.select("id", T.f1(F.col("_hits"), F.col("_h"), F.col("_r")).alias("rougeL"))

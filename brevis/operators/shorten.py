@@ -72,41 +72,59 @@ def stop_list(keep_negations: bool = False) -> list[str]:
     return [w for w in K.STOPWORDS if w not in kept]
 
 
+def without_stopwords(document: Column, keep_negations: bool = False) -> Column:
+    """(text, removed): stop words dropped, punctuation re-spaced, and how many words went."""
+    entries = stop_list(keep_negations)
+    return T.let(T.words(document), lambda found: T.let(T.without(found, entries), lambda kept: F.struct(
+        T.respace(_joined(kept)).alias("text"), (F.size(found) - F.size(kept)).alias("removed")
+    )))
+
+
 def shorten_stopwords(df: DataFrame, keep_negations: bool = False) -> DataFrame:
-    """Drop stop words, re-space punctuation; also how many words were dropped."""
-    parts = df.withColumn("_words", T.words(F.col("document")))
-    parts = parts.withColumn("_kept", T.without(F.col("_words"), stop_list(keep_negations)))
-    parts = parts.withColumn(RESULT[0], T.respace(_joined(F.col("_kept"))))
-    return parts.withColumns({
-        RESULT[1]: T.token_count(F.col(RESULT[0])).cast("int"),
-        "removed_words": F.size("_words") - F.size("_kept"),
-    }).drop("_words", "_kept")
+    made = df.withColumn("_made", without_stopwords(F.col("document"), keep_negations))
+    return made.withColumns({
+        RESULT[0]: F.col("_made.text"),
+        RESULT[1]: T.token_count(F.col("_made.text")).cast("int"),
+        "removed_words": F.col("_made.removed"),
+    }).drop("_made")
 
 
 def punct_respace(df: DataFrame, column: str = "document") -> DataFrame:
     return df.withColumn(column, T.respace(_joined(T.words(F.col(column)))))
 
 
-def token_grid(df: DataFrame, budgets: dict | None = None) -> DataFrame:
+def variant(method: str, quantity: str, text: Column, size: Column) -> Column:
+    return F.struct(
+        F.lit(method).alias("method"), F.lit(quantity).alias("quantity"),
+        text.alias(RESULT[0]), size.cast("int").alias(RESULT[1]),
+    )
+
+
+TOKEN_METHODS = {
+    "head": head,
+    "tail": tail,
+    "headtail0.2": lambda toks, budget: headtail(toks, budget, 2),
+    "headtail0.5": lambda toks, budget: headtail(toks, budget, 5),
+}
+
+
+def token_variants(toks: Column, budgets: dict, methods=tuple(TOKEN_METHODS)) -> list[Column]:
+    return [variant(m, q, *TOKEN_METHODS[m](toks, b)) for q, b in budgets.items() for m in methods]
+
+
+def one_row_each(df: DataFrame, keep: list, variants: list[Column]) -> DataFrame:
+    """One output row per variant of a document, all from the same pass.
+
+    The outer form keeps the optimiser from building the array a second time to test its size.
+    """
+    rows = df.select(*keep, F.explode_outer(F.array(*variants)).alias("_v"))
+    return rows.select(*keep, "_v.method", "_v.quantity", "_v." + RESULT[0], "_v." + RESULT[1])
+
+
+def token_grid(df: DataFrame, budgets: dict | None = None, methods=tuple(TOKEN_METHODS)) -> DataFrame:
     """Head, tail and both head+tail mixes for every budget from one pass over the documents."""
     budgets = budgets or {q: K.QUANTITY_BUDGET[q] for q in ("25", "35", "45")}
-    toks = F.col("_toks")
-    variants = []
-    for quantity, budget in budgets.items():
-        for method, made in (
-            ("head", head(toks, budget)),
-            ("tail", tail(toks, budget)),
-            ("headtail0.2", headtail(toks, budget, 2)),
-            ("headtail0.5", headtail(toks, budget, 5)),
-        ):
-            variants.append(F.struct(
-                F.lit(method).alias("method"),
-                F.lit(quantity).alias("quantity"),
-                made[0].alias(RESULT[0]),
-                made[1].cast("int").alias(RESULT[1]),
-            ))
-    others = [c for c in df.columns]
-    return _tokenised(df).select(*others, F.inline(F.array(*variants)))
+    return one_row_each(_tokenised(df), df.columns, token_variants(F.col("_toks"), budgets, methods))
 
 
 def compression_stats(shortened: DataFrame) -> DataFrame:

@@ -1,37 +1,39 @@
 """Whole jobs: every strategy at every budget, and the flagship comparison."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import by_document
 from brevis.operators import extractive, filters, rouge, shorten
 from brevis.sources import corpus
 
 BUDGETS = {q: K.QUANTITY_BUDGET[q] for q in ("25", "35", "45")}
-OUTPUT = ("id", "method", "quantity", "shortened_document", "shortened_len", "document_len")
 
 
-def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn", "lsa")) -> DataFrame:
-    """One table of every strategy and budget. Row-wise strategies share a single pass."""
+def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn", "lsa"), keep=()) -> DataFrame:
+    """Every strategy and budget from one scan: a projection and one explode, no shuffle."""
     budgets = budgets or BUDGETS
-    # Every strategy reads this one shuffle: identical exchanges are written once and reused.
-    slim = by_document(pairs.select("id", "document"))
-    slim = slim.withColumn("document_len", T.token_count(F.col("document")).cast("int"))
-    parts = [shorten.token_grid(slim, budgets).select(*OUTPUT)]
-    full = shorten.shorten_full(slim).withColumns({"method": F.lit("full"), "quantity": F.lit("512")})
-    parts.append(full.select(*OUTPUT))
-    for method, negated, quantity in (("stopwords", False, "all"), ("stopwords_neg", True, "neg")):
-        made = shorten.shorten_stopwords(slim, negated).withColumns(
-            {"method": F.lit(method), "quantity": F.lit(quantity)}
-        )
-        parts.append(made.select(*OUTPUT))
-    for method in rankings:
-        picked = extractive.pick_sentences(extractive.RANKINGS[method](slim), budgets)
-        parts.append(picked.withColumn("method", F.lit(method)).select(*OUTPUT))
-    return reduce(DataFrame.unionByName, parts)
+    document = F.col("document")
+    made = pairs.select("id", "document", *keep).withColumns({
+        "document_len": T.token_count(document).cast("int"),
+        "_toks": T.tokens(document),
+        "_marks": extractive.marks(document, False),
+        "_stop": shorten.without_stopwords(document),
+        "_neg": shorten.without_stopwords(document, keep_negations=True),
+        **{f"_{m}": extractive.laid_out(document, extractive.RANKINGS[m](document)) for m in rankings},
+    })
+    variants = shorten.token_variants(F.col("_toks"), budgets)
+    variants.append(shorten.variant("full", "512", *shorten.head(F.col("_toks"), 512)))
+    for method, column, quantity in (("stopwords", "_stop", "all"), ("stopwords_neg", "_neg", "neg")):
+        text = F.col(f"{column}.text")
+        variants.append(shorten.variant(method, quantity, text, T.token_count(text)))
+    picked = {}
+    for m in rankings:
+        for q, b in budgets.items():
+            name = f"_{m}_{q}"
+            picked[name] = extractive.chosen(F.col(f"_{m}"), F.col("_marks"), F.col("document_len"), b, "mod")
+            variants.append(shorten.variant(m, q, F.col(f"{name}.text"), F.col(f"{name}.size")))
+    return shorten.one_row_each(made.withColumns(picked), ["id", "document_len", *keep], variants)
 
 
 def combo_shorten(pairs: DataFrame, method: str, budgets: dict, keep_negations: bool = False) -> DataFrame:
@@ -48,24 +50,26 @@ def combo_headtail(pairs: DataFrame, budget: int, tenths: int) -> DataFrame:
 
 
 def flagship(pairs: DataFrame, low: int = 256, high: int = 512) -> DataFrame:
-    """Band -> head at three budgets -> 36-token summary -> ROUGE-1/2 means per budget."""
+    """Band -> head at three budgets -> 36-token summary -> ROUGE-1/2 means per budget.
+
+    Everything up to the means is one narrow stage; only partial means are shuffled.
+    """
     banded = filters.length_band(corpus.add_lengths(pairs), low, high)
-    made = shorten.token_grid(banded.select("id", "document", "summary"))
-    heads = shorten.lead_summary(made.where(F.col("method") == "head"))
-    scored = rouge.rouge_n(heads.select(
-        F.concat_ws("/", "quantity", "id").alias("id"),
-        F.col("summary").alias("reference"), F.col("generated_summary").alias("hypothesis"),
-    ))
-    return scored.groupBy(F.split("id", "/")[0].alias("quantity")).agg(
+    heads = shorten.token_grid(banded.select("id", "document", "summary"), methods=("head",))
+    scored = rouge.rouge_n(_as_pairs(heads), keep=("quantity",))
+    return scored.groupBy("quantity").agg(
         F.count("*").alias("n_rows"), F.round(F.avg("rouge1"), 6).alias("rouge1"), F.round(F.avg("rouge2"), 6).alias("rouge2")
     )
 
 
+def _as_pairs(shortened: DataFrame) -> DataFrame:
+    """Baseline summary of each shortened text against the document's own summary."""
+    made = shorten.lead_summary(shortened)
+    return made.withColumnsRenamed({"summary": "reference", "generated_summary": "hypothesis"})
+
+
 def grid_scores(pairs: DataFrame, rankings=("luhn", "lsa")) -> DataFrame:
     """method, quantity, score (ROUGE-1 of the baseline summary) for every row of the full grid."""
-    made = shorten.lead_summary(shorten_all(pairs, rankings=rankings))
-    keyed = made.select(F.concat_ws("/", "method", "quantity", "id").alias("id"), F.col("generated_summary").alias("hypothesis"), F.col("id").alias("_doc"))
-    refs = pairs.select(F.col("id").alias("_doc"), F.col("summary").alias("reference"))
-    scored = rouge.rouge_n(keyed.join(refs, "_doc").drop("_doc"), (1,))
-    parts = F.split("id", "/")
-    return scored.select(parts[0].alias("method"), parts[1].alias("quantity"), F.col("rouge1").alias("score"))
+    made = shorten_all(pairs, rankings=rankings, keep=("summary",))
+    scored = rouge.rouge_n(_as_pairs(made), (1,), keep=("method", "quantity"))
+    return scored.select("method", "quantity", F.col("rouge1").alias("score"))

@@ -400,7 +400,8 @@ def statements() -> dict[str, str]:
     q["shorten_lsa"] = ranked(lsa_sql)
     q["shorten_textrank"] = ranked(textrank_sql)
     for name, scorer in (("luhn_scores", luhn_sql), ("lsa_scores", lsa_sql), ("textrank_scores", textrank_sql)):
-        q[name] = f"WITH {PAIRS}, {scorer('pairs')} SELECT id, pos, score FROM ranks"
+        q[name] = f"""WITH {PAIRS}, {scorer('pairs')} SELECT id, pos, coalesce(score, 0) AS score
+          FROM lines LEFT JOIN ranks USING (id, pos)"""
     q["candidate_pick"] = ranked(luhn_sql, {"45": 273}, "closest")
     q["combo_shorten"] = ranked(luhn_sql, combo=True)
     q["combo_lsa"] = ranked(lsa_sql, combo=True)

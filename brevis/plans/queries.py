@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import by_document, fresh_dir, spread_rows, values_of
+from brevis.functions.scale import fresh_dir, spread_rows, values_of
 from brevis.operators import (
     embedding, extractive, filters, headlines, mining, quality, rouge, runlog, shorten, tokens, topics,
 )
@@ -486,12 +486,12 @@ def target_sentences(spark, sf):
 
 @query
 def shorten_luhn(spark, sf):
-    return _short(extractive.shorten_ranked(pairs(spark, sf), "luhn", grid.BUDGETS))
+    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "luhn", grid.BUDGETS))
 
 
 @query
 def shorten_lsa(spark, sf):
-    return _short(extractive.shorten_ranked(pairs(spark, sf), "lsa", grid.BUDGETS))
+    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "lsa", grid.BUDGETS))
 
 
 @query
@@ -501,22 +501,22 @@ def shorten_textrank(spark, sf):
 
 @query
 def textrank_scores(spark, sf):
-    return longs(extractive.textrank_scores(spread_pairs(spark, sf)), "pos")
+    return longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.textrank_array), "pos")
 
 
 @query
 def luhn_scores(spark, sf):
-    return longs(extractive.luhn_scores(by_document(pairs(spark, sf))), "pos")
+    return longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.luhn_array), "pos")
 
 
 @query
 def lsa_scores(spark, sf):
-    return longs(extractive.lsa_scores(by_document(pairs(spark, sf))), "pos")
+    return longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.lsa_array), "pos")
 
 
 @query
 def lsa_reduced(spark, sf):
-    return rounded(longs(extractive.lsa_reduced_scores(spread_pairs(spark, sf)), "pos"), "score")
+    return rounded(longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.lsa_reduced_array()), "pos"), "score")
 
 
 @query
@@ -526,7 +526,7 @@ def shorten_centroid(spark, sf):
 
 @query
 def candidate_pick(spark, sf):
-    return _short(extractive.shorten_ranked(pairs(spark, sf), "luhn", {"45": 273}, pick="closest"))
+    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "luhn", {"45": 273}, pick="closest"))
 
 
 @query
@@ -551,12 +551,12 @@ def combo_headtail(spark, sf):
 
 @query
 def shorten_all(spark, sf):
-    return longs(grid.shorten_all(pairs(spark, sf)), "shortened_len", "document_len")
+    return longs(grid.shorten_all(spread_pairs(spark, sf)), "shortened_len", "document_len")
 
 
 @query
 def compression_stats(spark, sf):
-    stats = shorten.compression_stats(grid.shorten_all(pairs(spark, sf)))
+    stats = shorten.compression_stats(grid.shorten_all(spread_pairs(spark, sf)))
     return rounded(longs(stats, "min_shortened_len", "max_shortened_len"), "avg_document_len", "avg_shortened_len", "ratio")
 
 
@@ -794,7 +794,7 @@ def strategy_best(spark, sf):
 
 @query
 def strategy_grid(spark, sf):
-    out = runlog.strategy_grid(grid.grid_scores(pairs(spark, sf)))
+    out = runlog.strategy_grid(grid.grid_scores(spread_pairs(spark, sf)))
     return rounded(out, *[c for c in out.columns if c != "method"])
 
 
@@ -852,8 +852,7 @@ def topk_per_topic(spark, sf):
 
 @query
 def topk_sentences(spark, sf):
-    base = by_document(pairs(spark, sf))
-    return extractive.topk_sentences(base, extractive.lsa_scores(base), 3)
+    return extractive.topk_sentences(spread_pairs(spark, sf), extractive.lsa_array, 3)
 
 
 @query
