@@ -52,7 +52,12 @@ def squash(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens; an empty text has none."""
-    return F.filter(F.split(squash(text), " "), lambda t: t != "")
+    return F.array_remove(F.split(text, K.SPACES), "")
+
+
+def lead(text: Column, limit: int) -> Column:
+    """The first ``limit`` tokens joined by spaces, read without scanning the rest of the text."""
+    return squash(F.regexp_extract(text, rf"^\s*(?:\S+\s+){{0,{limit - 1}}}\S+", 0))
 
 
 def token_count(text: Column) -> Column:
@@ -80,8 +85,7 @@ def terms(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    found = F.transform(matches(text, K.SENTENCE), lambda s: F.trim(s))
-    return F.filter(found, lambda s: s != "")
+    return F.array_remove(F.transform(matches(text, K.SENTENCE), lambda s: F.trim(s)), "")
 
 
 def newline_sentences(text: Column) -> Column:
@@ -94,7 +98,7 @@ def period_sentences(text: Column) -> Column:
 
 def rouge_tokens(text: Column) -> Column:
     spaced = F.regexp_replace(F.lower(text), K.NOT_ROUGE, " ")
-    return F.filter(F.split(spaced, " "), lambda t: t != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def ngrams(toks: Column, n: int) -> Column:
@@ -121,8 +125,10 @@ def respace(text: Column) -> Column:
 
     def cut_and_join(current: Column, rule) -> Column:
         mark, glue = rule
-        parts = F.split(current, "\\Q" + mark + "\\E")
-        return F.array_join(F.transform(parts, lambda p: F.trim(p)), glue)
+        # An escaped single character splits without compiling a pattern per row.
+        pattern = "\\" + mark if len(mark) == 1 else "\\Q" + mark + "\\E"
+        joined = lambda v: F.array_join(F.transform(F.split(v, pattern), lambda p: F.trim(p)), glue)
+        return let(current, lambda v: F.when(F.contains(v, F.lit(mark)), joined(v)).otherwise(F.trim(v)))
 
     spaced = reduce(cut_and_join, K.RESPACE, text)
     return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), K.RESPACE_TAIL, spaced)

@@ -72,16 +72,17 @@ def stop_list(keep_negations: bool = False) -> list[str]:
     return [w for w in K.STOPWORDS if w not in kept]
 
 
-def without_stopwords(document: Column, keep_negations: bool = False) -> Column:
-    """(text, removed): stop words dropped, punctuation re-spaced, and how many words went."""
+def without_stopwords(found: Column, keep_negations: bool = False) -> Column:
+    """(text, removed) from a word array: stop words dropped, punctuation re-spaced, how many words went."""
     entries = stop_list(keep_negations)
-    return T.let(T.words(document), lambda found: T.let(T.without(found, entries), lambda kept: F.struct(
+    return T.let(T.without(found, entries), lambda kept: F.struct(
         T.respace(_joined(kept)).alias("text"), (F.size(found) - F.size(kept)).alias("removed")
-    )))
+    ))
 
 
 def shorten_stopwords(df: DataFrame, keep_negations: bool = False) -> DataFrame:
-    made = df.withColumn("_made", without_stopwords(F.col("document"), keep_negations))
+    bound = T.let(T.words(F.col("document")), lambda found: without_stopwords(found, keep_negations))
+    made = df.withColumn("_made", bound)
     return made.withColumns({
         RESULT[0]: F.col("_made.text"),
         RESULT[1]: T.token_count(F.col("_made.text")).cast("int"),
@@ -141,7 +142,7 @@ def compression_stats(shortened: DataFrame) -> DataFrame:
 
 def lead_summary(df: DataFrame, column: str = "shortened_document", limit: int = K.TARGET_LIMIT) -> DataFrame:
     """Baseline summariser: the first ``limit`` tokens."""
-    return df.withColumn("generated_summary", _joined(F.slice(T.tokens(F.col(column)), 1, limit)))
+    return df.withColumn("generated_summary", T.lead(F.col(column), limit))
 
 
 def generate_summaries(

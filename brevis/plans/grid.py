@@ -18,10 +18,13 @@ def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn",
         "document_len": T.token_count(document).cast("int"),
         "_toks": T.tokens(document),
         "_marks": extractive.marks(document, False),
-        "_stop": shorten.without_stopwords(document),
-        "_neg": shorten.without_stopwords(document, keep_negations=True),
+        "_words": T.words(document),
         **{f"_{m}": extractive.laid_out(document, extractive.RANKINGS[m](document)) for m in rankings},
     })
+    made = made.withColumns({
+        "_stop": shorten.without_stopwords(F.col("_words")),
+        "_neg": shorten.without_stopwords(F.col("_words"), keep_negations=True),
+    })
     variants = shorten.token_variants(F.col("_toks"), budgets)
     variants.append(shorten.variant("full", "512", *shorten.head(F.col("_toks"), 512)))
     for method, column, quantity in (("stopwords", "_stop", "all"), ("stopwords_neg", "_neg", "neg")):
