@@ -4,6 +4,8 @@ Ranking the sentences of a document needs nothing outside its row, so every rank
 expression over the document: no word is exploded and no text is shuffled, whatever the corpus size.
 """
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as Y
@@ -269,41 +271,52 @@ def topk_sentences(df: DataFrame, ranking, k: int) -> DataFrame:
     )
 
 
-def _cluster_picks(lines: list[str], k: int, dims: int = 64, rounds: int = 10) -> list[int]:
-    """Sentence positions nearest to the centroids of a first-k seeded k-means."""
-    import zlib
-
-    split = [line.split(" ") if line else [] for line in lines]
-    held: dict[str, int] = {}
-    for row_words in split:
-        for w in set(row_words):
-            held[w] = held.get(w, 0) + 1
-    vectors = np.zeros((len(split), dims))
-    for i, row_words in enumerate(split):
-        for w in row_words:
-            vectors[i, zlib.crc32(w.encode()) % dims] += np.log((1 + len(split)) / (1 + held[w])) + 1
+def _line_vectors(lines: list[str], dims: int = 64) -> np.ndarray:
+    """Hashed tf-idf vector of every sentence, inverse frequencies taken within the document."""
+    codes: dict[str, int] = {}
+    split = [[codes.setdefault(w, len(codes)) for w in line.split()] for line in lines]
+    word = np.array([c for row in split for c in row], dtype=np.int64)
+    vectors = np.zeros((len(lines), dims))
+    if word.size == 0:
+        return vectors
+    owner = np.repeat(np.arange(len(lines)), [len(row) for row in split])
+    held = np.bincount(np.unique(word * len(lines) + owner) // len(lines), minlength=len(codes))
+    weight = np.log((1 + len(lines)) / (1 + held)) + 1
+    bucket = np.array([zlib.crc32(w.encode()) % dims for w in codes])
+    np.add.at(vectors, (owner, bucket[word]), weight[word])
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors /= np.where(length == 0, 1, length)
-    k = min(k, len(split))
-    centres = vectors[:k].copy()
+    return vectors / np.where(length == 0, 1, length)
+
+
+def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (vectors**2).sum(1)[:, None] - 2 * vectors @ centres.T + (centres**2).sum(1)
+
+
+def _cluster_picks(vectors: np.ndarray, k: int, rounds: int = 10) -> list[int]:
+    """Sentence positions nearest to the centroids of a first-k seeded k-means."""
+    k = min(k, len(vectors))
+    centres, member = vectors[:k].copy(), None
     for _ in range(rounds):
-        far = ((vectors**2).sum(1)[:, None] - 2 * vectors @ centres.T) + (centres**2).sum(1)
-        member = far.argmin(axis=1)
-        for c in range(k):
-            if (member == c).any():
-                centres[c] = vectors[member == c].mean(axis=0)
-    far = ((vectors**2).sum(1)[:, None] - 2 * vectors @ centres.T) + (centres**2).sum(1)
-    chosen: set[int] = set()
-    for c in range(k):
-        free = next(i for i in np.argsort(far[:, c], kind="stable") if i not in chosen)
-        chosen.add(int(free))
-    return sorted(chosen)
+        nearest = _distances(vectors, centres).argmin(axis=1)
+        if member is not None and (nearest == member).all():
+            break
+        member = nearest
+        sums = np.zeros_like(centres)
+        np.add.at(sums, member, vectors)
+        count = np.bincount(member, minlength=k)[:, None]
+        centres = np.where(count > 0, sums / np.maximum(count, 1), centres)
+    far = _distances(vectors, centres)
+    taken = np.zeros(len(vectors), dtype=bool)
+    for c in range(k):  # no sentence stands for two centres
+        taken[np.where(taken, np.inf, far[:, c]).argmin()] = True
+    return np.flatnonzero(taken).tolist()
 
 
 @F.pandas_udf(Y.ArrayType(Y.ArrayType(Y.IntegerType())))
 def _centroid_offers(lines: pd.Series, wanted: pd.Series) -> pd.Series:
     def offers(rows, n):
-        return [_cluster_picks(list(rows), max(n + step, 1)) for step in (-1, 0, 1)] if len(rows) else []
+        vectors = _line_vectors(list(rows))
+        return [_cluster_picks(vectors, max(n + step, 1)) for step in (-1, 0, 1)] if len(rows) else []
 
     return pd.Series([offers(rows, n) for rows, n in zip(lines, wanted)])
 
