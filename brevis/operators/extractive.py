@@ -158,9 +158,9 @@ def _reduced(lines: list[str], keep: int) -> np.ndarray:
             matrix[vocab[w], column] += 1
     top = np.maximum(matrix.max(axis=0), 1)
     smooth = K.LSA_SMOOTH + (1 - K.LSA_SMOOTH) * matrix / top
-    _, sigma, right = np.linalg.svd(smooth, full_matrices=False)
-    sigma[keep:] = 0
-    return np.sqrt(((sigma[:, None] * right) ** 2).sum(axis=0))
+    # Eigenvectors of the sentence-by-sentence product are the right singular vectors.
+    power, right = np.linalg.eigh(smooth.T @ smooth)
+    return np.sqrt((np.maximum(power[-keep:], 0) * right[:, -keep:] ** 2).sum(axis=1))
 
 
 def lsa_reduced_array(keep: int = 3):

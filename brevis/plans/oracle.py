@@ -563,6 +563,10 @@ def statements() -> dict[str, str]:
     q["stream_ranked"] = ranked(luhn_sql, {"25": 373}, extra="SELECT id, shortened_document, shortened_len FROM cut")
     q["stream_metrics"] = f"WITH {LOG} SELECT run, epoch, round(avg(value), 6) AS mean_value, count(*) AS n_rows FROM log GROUP BY run, epoch"
 
+    q["stream_windows"] = """SELECT event_type AS run, strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
+      round(avg(value), 6) AS mean_value, count(*) AS n_rows FROM events
+      WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"""
+
     q["flagship"] = f"""WITH {band}, toked AS (SELECT *, {toks('document')} AS t FROM band), made AS ({grid_sql('id, summary')}),
       sides AS (SELECT quantity || '/' || id AS id, quantity, {rtoks('summary')} AS r,
         {rtoks(joined('(' + toks('shortened_document') + ')[1:36]'))} AS h FROM made WHERE method = 'head'),

@@ -1034,6 +1034,19 @@ def stream_metrics(spark, sf):
     return rounded(longs(spark.read.parquet(path), "epoch"), "mean_value")
 
 
+@query
+def stream_windows(spark, sf):
+    """Daily means, each appended once its day is closed by the watermark."""
+    schema = table(spark, sf, "events").schema
+    source = jobs.file_stream(spark, sf, schema, "events.parquet").select(
+        F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "value"
+    )
+    path = fresh_dir(spark, "windows")
+    jobs.write_windows(jobs.windowed_means(source), path, path + "-state").awaitTermination()
+    back = spark.read.parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    return rounded(back, "mean_value")
+
+
 @query
 def flagship(spark, sf):
     return grid.flagship(spread_pairs(spark, sf))
