@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import quality_qda, secrets, url_cascade
+from brevis.llm import quality_qda, secrets, toxic_ssk, url_cascade
 from brevis.llm.common import Query, remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_toxic_ssk(spark: SparkSession, sf: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf, "documents")
+    model = toxic_ssk.train(docs, table(spark, sf, "labels"), ~held)
+    named = docs.select("doc_id", held.alias("held_out"), "text")
+    scored = toxic_ssk.apply(named, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op2_url_cascade(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
