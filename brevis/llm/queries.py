@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import quality_qda, secrets, toxic_ssk, url_cascade
+from brevis.llm import quality_qda, secrets, toxic_ssk, url_cascade, winnow
 from brevis.llm.common import Query, remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,16 @@ def op2_url_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return url_cascade.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op3_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    judged = winnow.judge(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return judged.select(
+        F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        winnow.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 @query
 def op8_quality_qda(spark: SparkSession, sf: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 4) == 2
