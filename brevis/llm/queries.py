@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import quality_qda, secrets, toxic_ssk, url_cascade, winnow
-from brevis.llm.common import Query, remainder, table
+from brevis.llm import bitplanes, quality_qda, secrets, toxic_ssk, url_cascade, winnow
+from brevis.llm.common import Query, remainder, table, tokenizer_file
 
 QUERIES: dict[str, Query] = {}
 
@@ -49,6 +49,12 @@ def op3_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op5_bit_planes(spark: SparkSession, sf: str) -> DataFrame:
+    read = bitplanes.round_trip(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
 @query
 def op8_quality_qda(spark: SparkSession, sf: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 4) == 2
