@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import bitplanes, quality_qda, secrets, toxic_ssk, url_cascade, winnow
+from brevis.llm import bitplanes, bpe_words, quality_qda, secrets, toxic_ssk, url_cascade, winnow
 from brevis.llm.common import Query, remainder, table, tokenizer_file
 
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,16 @@ def op5_bit_planes(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
+@query
+def op6_word_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    file = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = bpe_words.encode(docs, file, ["doc_id"], scanned=True).select(
+        "doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    back = bpe_words.decode(coded, bpe_words.token_table(spark, file), ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op8_quality_qda(spark: SparkSession, sf: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 4) == 2
