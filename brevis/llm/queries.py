@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import bitplanes, bpe_words, quality_qda, secrets, toxic_ssk, url_cascade, winnow
+from brevis.llm import bitplanes, bpe_words, debruijn, quality_qda, secrets, toxic_ssk, url_cascade, winnow
 from brevis.llm.common import Query, remainder, table, tokenizer_file
 
 QUERIES: dict[str, Query] = {}
@@ -65,6 +65,12 @@ def op6_word_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_de_bruijn(spark: SparkSession, sf: str) -> DataFrame:
+    kept = debruijn.remove(table(spark, sf, "documents"), digest=True)
+    return kept.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 @query
 def op8_quality_qda(spark: SparkSession, sf: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 4) == 2
