@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import bitplanes, bpe_words, debruijn, quality_qda, secrets, toxic_ssk, url_cascade, winnow
+from brevis.llm import bitplanes, bpe_words, debruijn, lsh_forest, quality_qda, secrets, toxic_ssk, url_cascade, winnow
 from brevis.llm.common import Query, remainder, table, tokenizer_file
 
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,12 @@ def op8_quality_qda(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op9_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
+    judged = lsh_forest.near_duplicates(table(spark, sf, "documents"), words=3, percent=85)
+    return judged.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 @query
 def op10_secret_ownership(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find(table(spark, sf, "documents"))
