@@ -8,7 +8,7 @@ SVM over it gives a unit's value, and a sentence has the value of its strongest
 labelled document inherit its label, and the SVM is trained as a multiple-instance problem: one unit
 of a toxic document's sentences, its witness, must be toxic, every unit of the others must not.
 
-Scoring evaluates each distinct word of a task once (a bounded cache) and takes the strongest
+Scoring evaluates each distinct word of a task once (in a table of fixed size) and takes the strongest
 sentence of the whole text, which a logistic curve turns into a score.
 
 Nulls and texts without any unit of three letters have no evidence and get the score of an empty
@@ -33,11 +33,12 @@ from brevis.llm.common import pieces, store
 
 DECAY = 0.7
 POWER = 5
+EVIDENCE = 12.0  # least log-likelihood ratio of a landmark
 SPAN = 8  # subsequences that stretch over more letters are not counted
 NEAR = 0.45  # normalised kernels that cannot reach this count as zero
 WINDOW = 20  # letters; longer words are judged by overlapping windows of this size
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~^+=`"
-_CACHE = 300_000
+_SLOTS = 1 << 22  # remembered words of a task
 _NONE = 31  # a sign: takes room in a gap, matches nothing
 
 
@@ -192,46 +193,57 @@ class Model:
 
 
 class Scorer:
-    """Scores whole texts; remembers the value of each distinct word up to a bound."""
+    """Scores whole texts; remembers distinct words in a table of fixed size.
+
+    A word's slot follows from its hash and holds the hash and the value; a later word of the same slot
+    takes it over, so memory is bounded and frequent words stay at hand.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         self.landmarks = Landmarks(model.units)
-        self.forget()
-
-    def forget(self):
-        self.place: dict = {}
-        self.value = np.zeros(0, np.float32)
-        self.single = np.zeros(0, bool)
+        self.tags = np.zeros(_SLOTS, np.int64)
+        self.value = np.zeros(_SLOTS, np.float32)
+        self.single = np.zeros(_SLOTS, bool)
 
-    def learn(self, tokens: list):
+    def _learn(self, tokens: list) -> tuple:
         units = [unit_of(t) for t in tokens]
-        self.place.update(zip(tokens, range(len(self.value), len(self.value) + len(tokens)), strict=True))
-        self.value = np.r_[self.value, self.landmarks.kernel(units) @ self.model.weights]
-        self.single = np.r_[self.single, np.array([len(u) == 1 and u.isalpha() for u in units], bool)]
+        unlike = sorted({u for u in units if len(u) >= 3})
+        place = dict(zip(unlike, range(len(unlike)), strict=True))
+        found = np.r_[self.landmarks.kernel(unlike) @ self.model.weights, np.float32(0)]
+        values = found[[place.get(u, -1) for u in units]]
+        return values, np.array([len(u) == 1 and u.isalpha() for u in units], bool)
+
+    def _look_up(self, tokens: list) -> tuple:
+        """Value of each token, and whether it is a single letter."""
+        tags = np.fromiter(map(hash, tokens), np.int64, len(tokens)) | 1  # an empty slot has tag 0
+        slots = (tags >> 1) & (_SLOTS - 1)
+        values, single = self.value[slots], self.single[slots]
+        missing = np.flatnonzero(self.tags[slots] != tags)
+        if len(missing):
+            unlike, first, back = np.unique(tags[missing], return_index=True, return_inverse=True)
+            v, s = self._learn([tokens[i] for i in missing[first].tolist()])
+            values[missing], single[missing] = v[back], s[back]
+            self.tags[slots[missing[first]]] = unlike
+            at = slots[missing[first]]
+            mine = self.tags[at] == unlike  # of several new words in a slot the last one stays
+            self.value[at[mine]], self.single[at[mine]] = v[mine], s[mine]
+        return values, single
 
     def strongest(self, texts: list) -> np.ndarray:
         """The value of each text's strongest sentence, 0 at least."""
         split = [t.lower().split() for t in texts]
-        if len(self.place) > _CACHE:
-            self.forget()
-        new = {t for tokens in split for t in tokens if t not in self.place}
-        if new:
-            self.learn(sorted(new))
         out = np.zeros(len(texts))
         filled = [i for i, tokens in enumerate(split) if tokens]
         if not filled:
             return out
-        sizes = np.array([len(split[i]) for i in filled])
-        begin = np.r_[0, np.cumsum(sizes)[:-1]]
-        get = self.place.__getitem__
-        at = np.fromiter((c for i in filled for c in map(get, split[i])), np.int64, int(sizes.sum()))
-        values = self.value[at]
-        starts = np.zeros(len(at), bool)
+        flat = [t for i in filled for t in split[i]]
+        begin = np.r_[0, np.cumsum([len(split[i]) for i in filled])[:-1]]
+        values, single = self._look_up(flat)
+        starts = np.zeros(len(flat), bool)
         starts[begin] = True
-        runs = _runs(self.single[at], starts)
+        runs = _runs(single, starts)
         if runs:
-            flat = [t for i in filled for t in split[i]]
             joined = ["".join(unit_of(t) for t in flat[s:e]) for s, e in runs]
             places = [s for s, _ in runs]
             values[places] = np.maximum(values[places], self.landmarks.kernel(joined) @ self.model.weights)
@@ -268,7 +280,7 @@ def apply(docs: DataFrame, model: Model, keep: list, text: str = "text") -> Data
             _SCORERS[name] = Scorer(own) if own.fallback is None else None
         scorer = _SCORERS[name]
         for b in batches:
-            for part in pieces(b, "_text"):
+            for part in pieces(b, "_text", 4 << 20):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 found = np.full(len(texts), own.fallback) if scorer is None else scorer.scores(texts)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, pa.float64())], [*keep, "score"])
@@ -316,7 +328,7 @@ def choose(rows: DataFrame, landmarks: int) -> list:
     evidence = part(F.col("pos"), n * (sizes[1] / total)) + part(F.col("neg"), n * (sizes[0] / total))
     for_toxic = F.col("pos") / n > sizes[1] / total
     named = counted.where(F.length("unit") <= WINDOW).select("unit", evidence.alias("g"), for_toxic.alias("toxic"))
-    named = store(named.where(F.col("g").isNotNull()), "toxic-units")
+    named = store(named.where(F.col("g") >= EVIDENCE), "toxic-units")
     many = landmarks * 7 // 8
     top = [
         *named.where("toxic").orderBy(F.desc("g"), "unit").limit(many).collect(),
