@@ -22,4 +22,20 @@ SELECT page_id, host, path, rule,
 FROM named
 """
 
-STATEMENTS: dict[str, str] = {"op2_url_cascade": _URLS}
+#: Bits are value > mean of the dimension; every query row against every row.
+_NEIGHBOURS = """
+WITH long AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings
+), centre AS (SELECT i, avg(x) AS m FROM long GROUP BY i),
+bits AS (SELECT vec_id, list(x > m ORDER BY i) AS b FROM long JOIN centre USING (i) GROUP BY vec_id),
+apart AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+    list_sum(list_transform(range(1, 65), lambda k: (q.b[k] <> r.b[k])::INTEGER))::INTEGER AS distance
+  FROM bits q JOIN bits r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM apart
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+STATEMENTS: dict[str, str] = {"op2_url_cascade": _URLS, "op4_multi_index": _NEIGHBOURS}

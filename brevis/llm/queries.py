@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import bitplanes, bpe_words, debruijn, lsh_forest, quality_qda, secrets, toxic_ssk, url_cascade, winnow
-from brevis.llm.common import Query, remainder, table, tokenizer_file
+from brevis.llm import bitplanes, bpe_words, debruijn, lsh_forest, multi_index, quality_qda, secrets, toxic_ssk, url_cascade, winnow
+from brevis.llm.common import Query, remainder, store, table, tokenizer_file
 
 QUERIES: dict[str, Query] = {}
 
@@ -49,6 +49,13 @@ def op3_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op4_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    coded = store(multi_index.codes(table(spark, sf, "embeddings"), "vec_id", "embedding"), "vectors")
+    found = multi_index.search(coded, coded.where("id % 100 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 @query
 def op5_bit_planes(spark: SparkSession, sf: str) -> DataFrame:
     read = bitplanes.round_trip(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
