@@ -88,18 +88,17 @@ def ownership(scanned: DataFrame, repository: str, owner: str) -> DataFrame:
 
 def find(
     docs: DataFrame, repository: str = "source", owner: str = "source", text: str = "text", keep: tuple = ("doc_id",),
-    most_owners: int = 1, most_repositories: int = 3, carry_text: bool = False,
+    most_owners: int = 1, most_repositories: int = 3,
 ) -> DataFrame:
     """``keep`` columns with ``base`` and ``spans`` (base and owned spans by start, then kind) per row.
 
-    The scanned table holds spans only, so nothing but candidate hashes is shuffled by hash and
-    nothing but span lists by row; texts stay in the scan unless ``carry_text`` asks for them.
+    The scanned table holds spans only: nothing but candidate hashes is shuffled by hash, nothing but span
+    lists by row, and texts stay in the scan.
     """
-    named = [*keep, *(["_body"] if carry_text else [])]
     source = docs.select(
         *keep, F.col(repository).alias("_repo"), F.col(owner).alias("_own"), F.col(text).alias("_body"),
     ).withColumn("_row", F.expr("uuid()"))
-    scanned = store(scan(source, [*named, "_repo", "_own", "_row"], "_body"), "secrets")
+    scanned = store(scan(source, [*keep, "_repo", "_own", "_row"], "_body"), "secrets")
     owned = ownership(scanned, "_repo", "_own").where(
         (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).select("hash")
     added = (
@@ -110,7 +109,7 @@ def find(
     )
     every = F.concat("base", F.coalesce("_added", F.array().cast(SPAN)))
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return scanned.join(added, "_row", "left").select(*named, "base", ordered.alias("spans"))
+    return scanned.join(added, "_row", "left").select(*keep, "base", ordered.alias("spans"))
 
 
 def listed(spans) -> Column:
@@ -127,3 +126,33 @@ def redact(text: str, spans: list) -> str:
             out += [text[at:start], f"[{KINDS[kind]}]"]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, repository: str = "source", owner: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every base and owned span of its texts replaced.
+
+    Base spans are found again next to the text; only the owned ones come from elsewhere, keyed by
+    the row's key and the hash of its text. Null texts stay null.
+    """
+    named = docs.columns
+    plain = [f"c{i}" for i in range(len(named))]
+    body, own = plain[named.index(text)], plain[named.index(key)]
+    rows = docs.toDF(*plain).withColumn("sign", F.xxhash64(F.col(body)))
+    found = find(
+        rows, plain[named.index(repository)], plain[named.index(owner)], body, keep=(own, "sign"))
+    # Equal keys with equal texts have equal owned spans.
+    added = found.select(F.col(own).alias("k"), F.col("sign").alias("s"), F.filter("spans", lambda x: x["kind"] == 3).alias("added")).where(
+        F.size("added") > 0).groupBy("k", "s").agg(F.first("added").alias("added"))
+    both = rows.join(added, rows[own].eqNullSafe(added["k"]) & (rows["sign"] == added["s"]), "left").select(*plain, "added")
+    out = both.select(*plain).schema
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for t, extra in zip(b.column(body).to_pylist(), b.column("added").to_pylist(), strict=True):
+                spans = [(s, k, e) for k, s, e in base_spans(t or "")] + [(x["start"], x["kind"], x["end"]) for x in extra or []]
+                texts.append(redact(t, spans) if spans else t)
+            changed = pa.array(texts, b.column(body).type)
+            yield pa.RecordBatch.from_arrays([changed if c == body else b.column(c) for c in plain], plain)
+
+    return both.mapInArrow(run, out).toDF(*named)

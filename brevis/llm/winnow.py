@@ -35,6 +35,11 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def sign_of(text: Column) -> Column:
+    """Hash by which rows of one key are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def _grams(hashed: str, size: int) -> Column:
     """64-bit hash of each run of ``size`` words, from the words' own hashes."""
     parts = ", ".join(["x", *[f"get({hashed}, i + {k})" for k in range(1, size)]])
@@ -75,7 +80,7 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 def _marked(docs: DataFrame, key: str, text: str, short: list) -> DataFrame:
     """One row per fingerprint of a document, and one marker row with its number of words."""
     rows = docs.select(
-        F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("sign"),
+        F.col(key).alias("key"), sign_of(F.col(text)).alias("sign"),
         words_of(F.col(text)).alias("words"),
     )
     rows = rows.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
