@@ -1,5 +1,6 @@
 """Building blocks that keep global orders, hot keys and side inputs distributed."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Without that setting a private temporary folder serves local mode; on a cluster, whose executors
+    could not see it, the job is refused.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -15,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="brevis-"))
     return context.getCheckpointDir()
 
@@ -95,27 +102,6 @@ def spread_join(facts: DataFrame, keyed: DataFrame, on: list, how: str = "inner"
     return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def by_document(df: DataFrame, key: str = "id") -> DataFrame:
-    """Shuffle whole rows once by their key, so later per-document steps need no exchange.
-
-    The null filter is what an equi-join on the key would add anyway; stating it here keeps both
-    sides of such a join identical below the exchange, so the shuffle is written once and reused.
-    """
-    return df.where(F.col(key).isNotNull()).repartition(key)
-
-
-def spread_rows(df: DataFrame, key: str = "id") -> DataFrame:
-    """Give row-wise but costly work at least one task per core.
-
-    A scan with fewer splits than cores (one big file, one row group) is shuffled by key; a scan
-    that already has enough splits is left alone, so a large corpus is not moved at all. Meant for
-    plans that only scan and project.
-    """
-    if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return by_document(df, key)
-
-
 def unfold(df: DataFrame, keep: list, values: Column, pos: str, value: str) -> DataFrame:
     """One row per array entry with its 0-based place.
 

@@ -134,7 +134,7 @@ def _overlap_ranks(lines: list[str], damping: float, rounds: int) -> np.ndarray:
 
 @F.pandas_udf(DOUBLES)
 def _textrank(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda rows: _overlap_ranks(list(rows), K.DAMPING, K.RANK_ROUNDS) if len(rows) else [])
+    return lines.map(lambda rows: _overlap_ranks(list(rows), K.DAMPING, K.RANK_ROUNDS) if rows is not None and len(rows) else [])
 
 
 def word_lines(document: Column) -> Column:
@@ -168,7 +168,7 @@ def lsa_reduced_array(keep: int = 3):
 
     @F.pandas_udf(DOUBLES)
     def salience(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda rows: _reduced(list(rows), keep) if len(rows) else [])
+        return lines.map(lambda rows: _reduced(list(rows), keep) if rows is not None and len(rows) else [])
 
     return lambda document: F.transform(salience(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
 
@@ -225,11 +225,11 @@ def _assembled(ranked: Column, k: Column) -> Column:
 
 
 def chosen(ranked: Column, marks: Column, size: Column, budget: int, pick: str) -> Column:
-    """(text, size) of the sentences kept for one budget; an empty document stays empty."""
+    """(text, size) of the sentences kept for one budget; an empty document stays empty, a null one null."""
     whole = lambda cut: F.struct(_assembled(ranked, cut["k"]).alias("text"), cut["size"].cast("int").alias("size"))
     nothing = F.struct(F.lit("").alias("text"), F.lit(1).alias("size"))
     cut = _cut(ranked, _wanted(marks, size, F.lit(budget)), F.lit(budget), pick)
-    return F.when(F.size(ranked) > 0, T.let(cut, whole)).otherwise(nothing)
+    return F.when(F.size(ranked) > 0, T.let(cut, whole)).when(size.isNotNull(), nothing)
 
 
 def shorten_ranked(

@@ -95,26 +95,30 @@ MASK_INLINE_LIMIT = 2000
 
 
 def mask_words(df: DataFrame, mask: DataFrame, column: str = "document") -> DataFrame:
-    """Drop the whitespace tokens found in a mask list.
+    """Drop the whitespace tokens found in a mask list; a null text stays null, null entries of the list mean nothing.
 
     A list of up to MASK_INLINE_LIMIT terms becomes a hashed IN over each row's own token array, so
-    nothing is shuffled. A longer list is anti-joined with the exploded tokens instead.
+    nothing is shuffled. A longer list is anti-joined with the exploded tokens, and gives the same rows.
     """
-    listed = [r[0] for r in mask.select("term").distinct().take(MASK_INLINE_LIMIT + 1)]
+    terms = mask.select("term").where(F.col("term").isNotNull()).distinct()
+    listed = [r[0] for r in terms.take(MASK_INLINE_LIMIT + 1)]
     toks = T.tokens(F.col(column))
     if len(listed) <= MASK_INLINE_LIMIT:
         return df.withColumn(column, F.array_join(F.filter(toks, lambda t: ~t.isin(listed)), " "))
-    exploded = unfold(df, ["id"], toks, "_pos", "term")
-    listed_terms = mask.select("term").distinct().withColumn("_hit", F.lit(1))
-    kept = spread_join(exploded, listed_terms, ["term"], "left").where(F.col("_hit").isNull())
-    texts = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_pos", "term"))).alias("_kept"))
-    joined = F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<struct<_pos:int,term:string>>")), lambda x: x["term"]), " ")
-    return df.join(texts, "id", "left").withColumn(column, joined).drop("_kept")
+    # A row is known by its id and the hash of its text, so null and repeated ids keep their rows.
+    signed = df.withColumn("_sign", F.xxhash64(F.col(column)))
+    exploded = unfold(signed, ["id", "_sign"], toks, "_pos", "term")
+    kept = spread_join(exploded, terms.withColumn("_hit", F.lit(1)), ["term"], "left").where(F.col("_hit").isNull())
+    texts = kept.groupBy(F.col("id").alias("_id"), F.col("_sign").alias("_s")).agg(
+        F.sort_array(F.collect_set(F.struct("_pos", "term"))).alias("_kept"))
+    words = F.transform(F.coalesce("_kept", F.array().cast("array<struct<_pos:int,term:string>>")), lambda x: x["term"])
+    met = signed.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_sign") == F.col("_s")), "left")
+    return met.withColumn(column, F.when(F.col(column).isNotNull(), F.array_join(words, " "))).select(*df.columns)
 
 
 def blacklist_filter(df: DataFrame, entries: tuple, column: str = "headline") -> DataFrame:
-    """Drop rows whose text equals a listed string."""
-    return df.where(~F.col(column).isin(list(entries)))
+    """Drop rows whose text equals a listed string; a null text equals none."""
+    return df.where(~F.coalesce(F.col(column).isin(list(entries)), F.lit(False)))
 
 
 def keyword_topics(df: DataFrame, column: str, patterns: dict = K.TOPIC_PATTERNS) -> DataFrame:

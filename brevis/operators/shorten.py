@@ -46,7 +46,9 @@ def shorten_full(df: DataFrame, limit: int = 512) -> DataFrame:
 
 
 def _with(df: DataFrame, made: tuple[Column, Column]) -> DataFrame:
-    return df.withColumns({RESULT[0]: made[0], RESULT[1]: made[1].cast("int")}).drop("_toks")
+    """A null document has a null result of null length."""
+    size = F.when(F.col("_toks").isNotNull(), made[1].cast("int"))
+    return df.withColumns({RESULT[0]: made[0], RESULT[1]: size}).drop("_toks")
 
 
 def _tokenised(df: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def punct_respace(df: DataFrame, column: str = "document") -> DataFrame:
 def variant(method: str, quantity: str, text: Column, size: Column) -> Column:
     return F.struct(
         F.lit(method).alias("method"), F.lit(quantity).alias("quantity"),
-        text.alias(RESULT[0]), size.cast("int").alias(RESULT[1]),
+        text.alias(RESULT[0]), F.when(text.isNotNull(), size.cast("int")).alias(RESULT[1]),
     )
 
 

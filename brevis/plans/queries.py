@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import fresh_dir, spread_rows, values_of
+from brevis.functions.scale import fresh_dir, values_of
 from brevis.operators import (
     embedding, extractive, filters, headlines, mining, quality, rouge, runlog, shorten, tokens, topics,
 )
@@ -35,15 +35,6 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"))
 
 
-def spread_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs for row-wise operators: a one-split file is first spread over the cores."""
-    return spread_rows(pairs(spark, sf))
-
-
-def spread_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_rows(texts(spark, sf))
-
-
 def chats(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.replies(table(spark, sf, "conversations"))
 
@@ -83,7 +74,7 @@ def split_assign(spark, sf):
 
 @query
 def length_profile(spark, sf):
-    return longs(tables.length_profile(spread_pairs(spark, sf)), "doc_len", "sum_len")
+    return longs(tables.length_profile(pairs(spark, sf)), "doc_len", "sum_len")
 
 
 @query
@@ -281,7 +272,7 @@ def row_fraction(spark, sf):
 
 @query
 def mask_words(spark, sf):
-    return filters.mask_words(spread_texts(spark, sf), mining.mask_list(spread_texts(spark, sf)))
+    return filters.mask_words(texts(spark, sf), mining.mask_list(texts(spark, sf)))
 
 
 @query
@@ -330,11 +321,11 @@ def token_count(spark, sf):
 
 @query
 def build_vocab(spark, sf):
-    return tokens.build_vocab(spread_texts(spark, sf), T.terms(F.col("document")))
+    return tokens.build_vocab(texts(spark, sf), T.terms(F.col("document")))
 
 
 def _encoded(spark, sf):
-    t = spread_texts(spark, sf)
+    t = texts(spark, sf)
     vocab = tokens.id_vocab(t, T.tokens(F.col("document")))
     return vocab, tokens.encode_ids(t, vocab)
 
@@ -405,7 +396,7 @@ def simple_preprocess(spark, sf):
 
 @query
 def stem_vocab(spark, sf):
-    return tokens.stem_vocab(spread_texts(spark, sf), tokens.simple_preprocess(F.col("document")))
+    return tokens.stem_vocab(texts(spark, sf), tokens.simple_preprocess(F.col("document")))
 
 
 @query
@@ -458,22 +449,22 @@ def shorten_headtail_half(spark, sf):
 
 @query
 def shorten_stopwords(spark, sf):
-    return _short(shorten.shorten_stopwords(spread_pairs(spark, sf)))
+    return _short(shorten.shorten_stopwords(pairs(spark, sf)))
 
 
 @query
 def removed_words(spark, sf):
-    return longs(shorten.shorten_stopwords(spread_pairs(spark, sf)).select("id", "removed_words"), "removed_words")
+    return longs(shorten.shorten_stopwords(pairs(spark, sf)).select("id", "removed_words"), "removed_words")
 
 
 @query
 def shorten_stopwords_neg(spark, sf):
-    return _short(shorten.shorten_stopwords(spread_pairs(spark, sf), keep_negations=True))
+    return _short(shorten.shorten_stopwords(pairs(spark, sf), keep_negations=True))
 
 
 @query
 def punct_respace(spark, sf):
-    return shorten.punct_respace(spread_texts(spark, sf))
+    return shorten.punct_respace(texts(spark, sf))
 
 
 @query
@@ -486,77 +477,77 @@ def target_sentences(spark, sf):
 
 @query
 def shorten_luhn(spark, sf):
-    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "luhn", grid.BUDGETS))
+    return _short(extractive.shorten_ranked(pairs(spark, sf), "luhn", grid.BUDGETS))
 
 
 @query
 def shorten_lsa(spark, sf):
-    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "lsa", grid.BUDGETS))
+    return _short(extractive.shorten_ranked(pairs(spark, sf), "lsa", grid.BUDGETS))
 
 
 @query
 def shorten_textrank(spark, sf):
-    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "textrank", grid.BUDGETS))
+    return _short(extractive.shorten_ranked(pairs(spark, sf), "textrank", grid.BUDGETS))
 
 
 @query
 def textrank_scores(spark, sf):
-    return longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.textrank_array), "pos")
+    return longs(extractive.sentence_scores(pairs(spark, sf), extractive.textrank_array), "pos")
 
 
 @query
 def luhn_scores(spark, sf):
-    return longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.luhn_array), "pos")
+    return longs(extractive.sentence_scores(pairs(spark, sf), extractive.luhn_array), "pos")
 
 
 @query
 def lsa_scores(spark, sf):
-    return longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.lsa_array), "pos")
+    return longs(extractive.sentence_scores(pairs(spark, sf), extractive.lsa_array), "pos")
 
 
 @query
 def lsa_reduced(spark, sf):
-    return rounded(longs(extractive.sentence_scores(spread_pairs(spark, sf), extractive.lsa_reduced_array()), "pos"), "score")
+    return rounded(longs(extractive.sentence_scores(pairs(spark, sf), extractive.lsa_reduced_array()), "pos"), "score")
 
 
 @query
 def shorten_centroid(spark, sf):
-    return _short(extractive.shorten_centroid(spread_pairs(spark, sf), 373))
+    return _short(extractive.shorten_centroid(pairs(spark, sf), 373))
 
 
 @query
 def candidate_pick(spark, sf):
-    return _short(extractive.shorten_ranked(spread_pairs(spark, sf), "luhn", {"45": 273}, pick="closest"))
+    return _short(extractive.shorten_ranked(pairs(spark, sf), "luhn", {"45": 273}, pick="closest"))
 
 
 @query
 def combo_shorten(spark, sf):
-    return _short(grid.combo_shorten(spread_pairs(spark, sf), "luhn", grid.BUDGETS))
+    return _short(grid.combo_shorten(pairs(spark, sf), "luhn", grid.BUDGETS))
 
 
 @query
 def combo_lsa(spark, sf):
-    return _short(grid.combo_shorten(spread_pairs(spark, sf), "lsa", grid.BUDGETS))
+    return _short(grid.combo_shorten(pairs(spark, sf), "lsa", grid.BUDGETS))
 
 
 @query
 def combo_textrank(spark, sf):
-    return _short(grid.combo_shorten(spread_pairs(spark, sf), "textrank", grid.BUDGETS))
+    return _short(grid.combo_shorten(pairs(spark, sf), "textrank", grid.BUDGETS))
 
 
 @query
 def combo_headtail(spark, sf):
-    return _short(grid.combo_headtail(spread_pairs(spark, sf), 373, 2))
+    return _short(grid.combo_headtail(pairs(spark, sf), 373, 2))
 
 
 @query
 def shorten_all(spark, sf):
-    return longs(grid.shorten_all(spread_pairs(spark, sf)), "shortened_len", "document_len")
+    return longs(grid.shorten_all(pairs(spark, sf)), "shortened_len", "document_len")
 
 
 @query
 def compression_stats(spark, sf):
-    stats = shorten.compression_stats(grid.shorten_all(spread_pairs(spark, sf)))
+    stats = shorten.compression_stats(grid.shorten_all(pairs(spark, sf)))
     return rounded(longs(stats, "min_shortened_len", "max_shortened_len"), "avg_document_len", "avg_shortened_len", "ratio")
 
 
@@ -794,7 +785,7 @@ def strategy_best(spark, sf):
 
 @query
 def strategy_grid(spark, sf):
-    out = runlog.strategy_grid(grid.grid_scores(spread_pairs(spark, sf)))
+    out = runlog.strategy_grid(grid.grid_scores(pairs(spark, sf)))
     return rounded(out, *[c for c in out.columns if c != "method"])
 
 
@@ -834,8 +825,7 @@ def _weights(spark, sf) -> DataFrame:
 @query
 def topk_terms(spark, sf):
     t = texts(spark, sf)
-    weights = mining.tf_norm(mining.term_counts(t))
-    return rounded(longs(mining.topk_terms(weights, mining.document_count(t), 500), "rank"), "score")
+    return rounded(longs(mining.topk_terms(mining.tf_norm(t), mining.document_count(t), 500), "rank"), "score")
 
 
 def _lang_terms(spark, sf) -> DataFrame:
@@ -852,7 +842,7 @@ def topk_per_topic(spark, sf):
 
 @query
 def topk_sentences(spark, sf):
-    return extractive.topk_sentences(spread_pairs(spark, sf), extractive.lsa_array, 3)
+    return extractive.topk_sentences(pairs(spark, sf), extractive.lsa_array, 3)
 
 
 @query
@@ -868,7 +858,7 @@ def doc2bow(spark, sf):
 
 @query
 def tf_norm(spark, sf):
-    return rounded(mining.tf_norm(mining.term_counts(texts(spark, sf))), "weight")
+    return rounded(mining.tf_norm(texts(spark, sf)), "weight")
 
 
 @query
@@ -890,7 +880,7 @@ def mask_list(spark, sf):
 @query
 def tag_buckets(spark, sf):
     """Tags are derived from the vocabulary itself, as no tagger is part of the engine."""
-    vocab = values_of(spread_texts(spark, sf), [], T.terms(F.col("document")), "term").distinct()
+    vocab = values_of(texts(spark, sf), [], T.terms(F.col("document")), "term").distinct()
     names = F.array(*[F.lit(t) for t in ("NNS", "VBD", "JJ", "RBR", "CD", "XX", "DT")])
     return mining.tag_buckets(vocab.withColumn("tag", F.element_at(names, F.length("term") % 7 + 1)))
 
@@ -1049,4 +1039,4 @@ def stream_windows(spark, sf):
 
 @query
 def flagship(spark, sf):
-    return grid.flagship(spread_pairs(spark, sf))
+    return grid.flagship(pairs(spark, sf))

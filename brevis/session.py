@@ -7,6 +7,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small files still give a split per core; large ones are cut by size as usual.
+    "spark.sql.files.openCostInBytes": "1m",
     # Call-site capture per column expression makes wide expressions slow to build.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.operators import extractive, filters, shorten, tokens
+from brevis.operators import extractive, filters, headlines, shorten, tokens
 
 
 def one(spark, value, column):
@@ -109,11 +109,22 @@ def test_porter():
         assert tokens.porter_stem(word) == stem, word
 
 
-def test_mask_words_long_list_takes_the_join(spark, monkeypatch):
-    df = spark.createDataFrame([("1", "a b c b"), ("2", "b"), ("3", "")], "id string, document string")
-    mask = spark.createDataFrame([("b",)], "term string")
-    want = {"1": "a c", "2": "", "3": ""}
-    inline = {r["id"]: r["document"] for r in filters.mask_words(df, mask).collect()}
-    monkeypatch.setattr(filters, "MASK_INLINE_LIMIT", 0)
-    joined = {r["id"]: r["document"] for r in filters.mask_words(df, mask).collect()}
-    assert inline == joined == want
+def test_mask_words_gives_the_same_rows_for_any_list(spark, monkeypatch):
+    rows = [("1", "a b c b"), ("2", "b"), ("3", ""), ("4", None), (None, "b a"), ("1", "c b"), ("2", "b")]
+    df = spark.createDataFrame(rows, "id string, document string")
+    long = [("b",), (None,), *[(f"t{i}",) for i in range(3000)]]
+    want = sorted([("1", "a c"), ("2", ""), ("3", ""), ("4", None), (None, "a"), ("1", "c"), ("2", "")], key=repr)
+    for mask in (long[:2], long):
+        for parts in (1, 8):
+            out = filters.mask_words(df.repartition(parts), spark.createDataFrame(mask, "term string")).collect()
+            assert sorted((tuple(r) for r in out), key=repr) == want
+
+
+def test_null_texts_stay_null(spark):
+    df = spark.createDataFrame([("1", None), (None, "One two. Three.")], "id string, document string")
+    made = [shorten.shorten_head(df, 5), shorten.shorten_tail(df, 5), shorten.shorten_headtail(df, 5),
+            shorten.shorten_stopwords(df), extractive.shorten_ranked(df, "luhn", {"25": 5}),
+            extractive.shorten_ranked(df, "lsa", {"25": 5}), extractive.shorten_ranked(df, "textrank", {"25": 5})]
+    for out in made:
+        got = {r["id"]: (r["shortened_document"], r["shortened_len"]) for r in out.collect()}
+        assert got["1"] == (None, None) and got[None][0] and got[None][1], out.columns
