@@ -50,10 +50,12 @@ def _codes(word: str) -> list:
 
 
 def windows(word: str) -> list:
-    """Parts of a unit that are compared: itself, or overlapping windows of a very long one."""
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    """Parts of a unit that are compared: itself, its letters alone, and overlapping windows of what is very long."""
+    letters = word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    out = []
+    for form in {word, letters}:
+        out += [form] if len(form) <= WINDOW else [form[i : i + WINDOW] for i in range(0, len(form) - WINDOW // 2, WINDOW // 2)]
+    return out
 
 
 @lru_cache
@@ -135,7 +137,8 @@ class Landmarks:
                 codes = np.array([_codes(p) for _, p in some], np.int32)
                 ids, decay = _triples(codes)
                 rows = self.rows[ids]
-                close = np.flatnonzero((self.most[rows] @ decay) >= NEAR * np.sqrt(np.square(decay).sum()))
+                signs = (codes == _NONE).any(1)  # the bound of the norm holds for letters only
+                close = np.flatnonzero(signs | ((self.most[rows] @ decay) >= NEAR * np.sqrt(np.square(decay).sum())))
                 if not len(close):
                     continue
                 rows, codes = rows[close], codes[close]
@@ -246,7 +249,9 @@ class Scorer:
         if runs:
             joined = ["".join(unit_of(t) for t in flat[s:e]) for s, e in runs]
             places = [s for s, _ in runs]
-            values[places] = np.maximum(values[places], self.landmarks.kernel(joined) @ self.model.weights)
+            # A one-letter word may stand before or after the spelt one.
+            for some in (joined, [w[1:] for w in joined], [w[:-1] for w in joined]):
+                values[places] = np.maximum(values[places], self.landmarks.kernel(some) @ self.model.weights)
         out[filled] = np.maximum(np.maximum.reduceat(values, begin), 0)
         return out
 

@@ -12,7 +12,8 @@ one pass per segment, so what a task holds at once is bounded however many rules
 
 Null urls, and urls without ``://``, have empty host and path and match no rule. Repeated urls are
 judged each. An empty rule list lists nothing. Rules with a null host or path are left out; of two
-verdicts for one rule, block wins. Extra columns are kept.
+verdicts for one rule, block wins; of two
+rules of one length, that with the longer host wins. Extra columns are kept.
 """
 
 from dataclasses import dataclass
@@ -225,7 +226,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
         F.arrays_zip(F.col("_keys").alias("key"), F.col("_block").alias("block"), F.col("_allow").alias("allow")),
         lambda k: k["block"] | k["allow"])
     longest = F.array_max(F.transform(hits, lambda k: F.struct(
-        (F.length(k["key"]) - 1).alias("size"), F.when(k["block"], "block").otherwise("allow").alias("verdict"),
+        (F.length(k["key"]) - 1).alias("size"), F.instr(k["key"], "\x00").alias("host"), F.when(k["block"], "block").otherwise("allow").alias("verdict"),
         F.translate(k["key"], "\x00", "").alias("rule"))))
     return keyed.withColumn("_best", longest).withColumn("rule", F.col("_best.rule")).withColumn(
         "verdict", F.coalesce("_best.verdict", F.lit(otherwise))).drop("_keys", "_block", "_allow", "_best")
