@@ -13,7 +13,8 @@ RESULT = StructType([StructField(n, DoubleType()) for n in ("precision", "recall
 def token_bags(pairs: DataFrame, ref_tokens: str, hyp_tokens: str, lookup: DataFrame) -> DataFrame:
     """id with two arrays (n, vector): each distinct token's vector and how often it occurs.
 
-    ``lookup`` maps token to vector, one row per token.
+    ``lookup`` maps token to vector, one row per token. Every pair comes back: a side without a known
+    token has an empty array.
     """
     sides = F.array(
         F.struct(F.lit("ref").alias("side"), F.col(ref_tokens).alias("toks")),
@@ -27,7 +28,9 @@ def token_bags(pairs: DataFrame, ref_tokens: str, hyp_tokens: str, lookup: DataF
         F.collect_list(F.when(F.col("side") == "ref", entry)).alias("ref"),
         F.collect_list(F.when(F.col("side") == "hyp", entry)).alias("hyp"),
     )
-    return bags
+    empty = F.array().cast("array<struct<token:string,n:bigint,vector:array<double>>>")
+    whole = pairs.select("id").join(bags.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    return whole.select("id", F.coalesce("ref", empty).alias("ref"), F.coalesce("hyp", empty).alias("hyp"))
 
 
 def _match(ref_n, ref_v, hyp_n, hyp_v) -> tuple[float, float, float]:

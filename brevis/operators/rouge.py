@@ -3,14 +3,16 @@
 Input everywhere: id, reference, hypothesis. Rows with a null text are dropped.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
 from brevis.functions import text as T
-from brevis.functions.scale import exact_quantiles, values_of
-from brevis.operators.tokens import stem_map
+from brevis.functions.scale import exact_quantiles
+from brevis.operators.tokens import stemmed_lines, stems
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -18,39 +20,27 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(F.col("reference").isNotNull() & F.col("hypothesis").isNotNull())
 
 
+def _tokens(text: Column, stem: bool) -> Column:
+    return stems(T.rouge_tokens(text)) if stem else T.rouge_tokens(text)
+
+
 def _sides(df: DataFrame, stem: bool, keep: tuple = ()) -> DataFrame:
-    toks = usable(df).select(
-        "id",
-        *keep,
-        T.rouge_tokens(F.col("reference")).alias("ref"),
-        T.rouge_tokens(F.col("hypothesis")).alias("hyp"),
-    )
-    return _stemmed(toks) if stem else toks
+    """Token arrays of both texts; stemming happens inside the row."""
+    return usable(df).select(
+        "id", *keep, _tokens(F.col("reference"), stem).alias("ref"), _tokens(F.col("hypothesis"), stem).alias("hyp"))
 
 
-def _stemmed(toks: DataFrame) -> DataFrame:
-    """Stem each distinct token of a pair and put the stems back in place."""
-    kinds = F.array_union("ref", "hyp")
-    pairs = stem_map(values_of(toks, ["id"], kinds, "word"))
-    held = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("_stems"))
-    swap = lambda c: F.transform(c, lambda w: F.element_at("_stems", w))
-    others = [c for c in toks.columns if c not in ("ref", "hyp")]
-    return toks.join(held, "id", "left").select(*others, swap("ref").alias("ref"), swap("hyp").alias("hyp"))
+def _order_n(ref: Column, hyp: Column, n: int) -> Column:
+    return T.let(T.ngrams(ref, n), lambda r: T.let(T.ngrams(hyp, n), lambda h: T.f1(T.overlap(r, h), F.size(h), F.size(r))))
 
 
 def rouge_n(df: DataFrame, orders=(1, 2), stem: bool = False, keep: tuple = ()) -> DataFrame:
     """id plus rouge<n> for every n asked for; a row's score needs nothing outside the row.
 
-    Without stemming this is a projection: no text is exploded or shuffled at any corpus size.
+    This is a projection: no text is exploded or shuffled at any corpus size.
     """
     rows = _sides(df, stem, keep)
-
-    def score(n: int) -> Column:
-        return T.let(T.ngrams(F.col("ref"), n), lambda r: T.let(T.ngrams(F.col("hyp"), n), lambda h: T.f1(
-            T.overlap(r, h), F.size(h), F.size(r)
-        )))
-
-    return rows.select("id", *keep, *[score(n).alias(f"rouge{n}") for n in orders])
+    return rows.select("id", *keep, *[_order_n(F.col("ref"), F.col("hyp"), n).alias(f"rouge{n}") for n in orders])
 
 
 def _common_rows(ref: list[str], hyp: list[str]) -> list[int]:
@@ -91,7 +81,7 @@ def common_length(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 
 def rouge_l(df: DataFrame, stem: bool = False) -> DataFrame:
-    """id, rougeL: longest-common-subsequence F1 over the whole texts; nothing is shuffled unstemmed."""
+    """id, rougeL: longest-common-subsequence F1 over the whole texts; nothing is shuffled."""
     rows = _sides(df, stem)
     hits = common_length(F.array_join("ref", " "), F.array_join("hyp", " "))
     sized = rows.select("id", hits.alias("_hits"), F.size("ref").alias("_r"), F.size("hyp").alias("_h"))
@@ -141,20 +131,44 @@ def union_hits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_union_hits(cut(a), cut(b)) for a, b in zip(ref, hyp)], dtype="int32")
 
 
-def rouge_lsum(df: DataFrame) -> DataFrame:
-    """id, rougeLsum: union of the common subsequences of newline-split sentences."""
-    def lines(column: str):
-        return F.transform(F.split(column, "\n"), lambda s: F.array_join(T.rouge_tokens(s), " "))
+def _lines(text: Column, stem: bool) -> Column:
+    """Tokens of each line joined by spaces, lines kept apart; one flat token array serves the stemmer."""
+    cut = F.transform(F.split(text, "\n"), lambda s: F.array_join(T.rouge_tokens(s), " "))
+    return stemmed_lines(cut) if stem else cut
+
 
-    rows = usable(df).select("id", lines("reference").alias("_a"), lines("hypothesis").alias("_b"))
+def _lsum(a: Column, b: Column) -> Column:
     words = lambda c: F.size(F.filter(F.split(F.array_join(c, " "), " "), lambda w: w != ""))
-    hits = union_hits(F.array_join("_a", "\n"), F.array_join("_b", "\n"))
-    sized = rows.select("id", hits.alias("_hits"), words("_a").alias("_r"), words("_b").alias("_h"))
-    return sized.select("id", T.f1(F.col("_hits"), F.col("_h"), F.col("_r")).alias("rougeLsum"))
+    return T.f1(union_hits(F.array_join(a, "\n"), F.array_join(b, "\n")), words(b), words(a))
+
+
+def rouge_lsum(df: DataFrame, stem: bool = False) -> DataFrame:
+    """id, rougeLsum: union of the common subsequences of newline-split sentences."""
+    rows = usable(df).select("id", _lines(F.col("reference"), stem).alias("_a"), _lines(F.col("hypothesis"), stem).alias("_b"))
+    return rows.select("id", _lsum(F.col("_a"), F.col("_b")).alias("rougeLsum"))
+
+
+def rouge_all(df: DataFrame, stem: bool = False, keep: tuple = ()) -> DataFrame:
+    """id, ``keep`` and the four scores in one projection; rows are never joined, so ids may repeat."""
+    rows = usable(df).select(
+        "id", *keep, _tokens(F.col("reference"), stem).alias("ref"), _tokens(F.col("hypothesis"), stem).alias("hyp"),
+        _lines(F.col("reference"), stem).alias("_a"), _lines(F.col("hypothesis"), stem).alias("_b"))
+    ref, hyp = F.col("ref"), F.col("hyp")
+    hits = common_length(F.array_join("ref", " "), F.array_join("hyp", " "))
+    return rows.select(
+        "id", *keep, _order_n(ref, hyp, 1).alias("rouge1"), _order_n(ref, hyp, 2).alias("rouge2"),
+        T.f1(hits, F.size(hyp), F.size(ref)).alias("rougeL"), _lsum(F.col("_a"), F.col("_b")).alias("rougeLsum"))
 
 
-def rouge_all(df: DataFrame, stem: bool = False) -> DataFrame:
-    return rouge_n(df, (1, 2), stem).join(rouge_l(df, stem), "id").join(rouge_lsum(df), "id")
+def run_score(df: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: middle of the resampled means of the four stemmed scores, four decimals, and ``gen_len``."""
+    scores = rouge_all(df, stem=True)
+    parts = [rouge_bootstrap(scores, c, resamples, seed).select(F.round("mid", 4).alias(c)) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")]
+    parts.append(gen_len(df))
+    one = parts[0]
+    for p in parts[1:]:  # single rows each
+        one = one.withColumn("_", F.lit(1)).join(p.withColumn("_", F.lit(1)), "_").drop("_")
+    return one
 
 
 def rouge_corpus(scores: DataFrame, columns: list) -> DataFrame:
@@ -165,17 +179,24 @@ def rouge_corpus(scores: DataFrame, columns: list) -> DataFrame:
 def rouge_bootstrap(scores: DataFrame, column: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Low, middle and high of resampled means.
 
-    Every row draws its Poisson(1) weight for each resample from a hash of (seed, resample, id), so
-    all resamples come from one partial aggregation with no copy of the data per resample on the
-    wire: only one partial sum per resample and task is shuffled.
+    Every row draws a full Poisson(1) weight per resample from a generator seeded by (seed, id), so the
+    draws do not depend on the partitioning. A batch of rows becomes one vector of weighted sums, and
+    only those are summed over tasks: no row is copied per resample.
     """
-    draws = scores.select("id", F.col(column).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "id"), F.lit(1 << 30)) / float(1 << 30)
-    # Cumulative Poisson(1) probabilities; the tail beyond 7 has probability 1e-5.
-    steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    weight = sum(F.when(u >= float(s), 1).otherwise(0) for s in steps)
-    means = draws.groupBy("b").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("mean"))
-    return exact_quantiles(means, "mean", "b", {"low": 0.025, "mid": 0.5, "high": 0.975})
+    held = scores.select(F.xxhash64(F.lit(seed), "id").alias("key"), F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total, weight = np.zeros(resamples), np.zeros(resamples)
+            for key, value in zip(batch["key"], batch["v"]):
+                drawn = np.random.default_rng(key & 0xFFFFFFFFFFFFFFFF).poisson(1.0, resamples)
+                total += value * drawn
+                weight += drawn
+            yield pd.DataFrame({"b": np.arange(resamples), "total": total, "weight": weight})
+
+    sums = held.mapInPandas(run, "b int, total double, weight double").groupBy("b").agg(
+        (F.sum("total") / F.sum("weight")).alias("mean"))
+    return exact_quantiles(sums, "mean", "b", {"low": 0.025, "mid": 0.5, "high": 0.975})
 
 
 def mean_scores(scored: DataFrame, columns: list) -> DataFrame:

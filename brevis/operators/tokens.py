@@ -2,7 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from brevis import constants as K
 from brevis.functions import text as T
@@ -204,10 +204,28 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map(porter_stem)
 
 
-def stem_map(words: DataFrame) -> DataFrame:
-    """Add ``stem`` to every row; each distinct word is stemmed once, whatever its frequency."""
-    kinds = words.select("word").distinct().withColumn("stem", _stems("word"))
-    return spread_join(words, kinds, ["word"])
+def _stem_lists(lists: pd.Series, cut) -> pd.Series:
+    """Stem the words of each row's list; a batch stems each distinct word once."""
+    known: dict[str, str] = {}
+
+    def stem(word: str) -> str:
+        if word not in known:
+            known[word] = porter_stem(word)
+        return known[word]
+
+    return lists.map(lambda words: None if words is None else [cut(w, stem) for w in words])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """An array of words as an array of stems, in place."""
+    return _stem_lists(words, lambda word, stem: stem(word))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed_lines(lines: pd.Series) -> pd.Series:
+    """An array of space-joined words, each word stemmed."""
+    return _stem_lists(lines, lambda line, stem: " ".join(stem(w) for w in line.split()))
 
 
 def stem_vocab(df: DataFrame, toks: Column) -> DataFrame:

@@ -634,6 +634,17 @@ def rouge_stemmed(spark, sf):
     return rounded(rouge.rouge_n(chats(spark, sf), (1, 2), stem=True), "rouge1", "rouge2")
 
 
+@query
+def rouge_run_score(spark, sf):
+    """Stemmed scores of a run, bootstrap middle, with the mean generated length."""
+    return rouge.run_score(chats(spark, sf))
+
+
+@query
+def rouge_stemmed_all(spark, sf):
+    return rounded(rouge.rouge_all(chats(spark, sf), stem=True), "rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
 @query
 def rouge_corpus(spark, sf):
     return rouge.rouge_corpus(rouge.rouge_n(chats(spark, sf)), ["rouge1", "rouge2"])
@@ -927,7 +938,20 @@ def lda_perplexity(spark, sf):
 
 @query
 def coherence_sweep(spark, sf):
-    return topics.coherence_sweep(texts(spark, sf), (2, 4, 6), rounds=10)
+    return topics.coherence_sweep(texts(spark, sf), (2, 4, 6, 9, 14, 20, 30, 49))
+
+
+@query
+def best_k(spark, sf):
+    """The number of topics that a sweep over a narrower range prefers."""
+    return topics.best_k(topics.coherence_sweep(texts(spark, sf), range(2, 7)))
+
+
+@query
+def lda_weighed(spark, sf):
+    """Topics on tf-idf weights with a chosen vocabulary limit."""
+    vectors, found = topics.features(texts(spark, sf), vocab_size=2000, weighed=True)
+    return topics.lda_topics(topics.lda_fit(vectors, 5), found.vocabulary, 10)
 
 
 @query
