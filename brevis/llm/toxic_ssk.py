@@ -143,6 +143,8 @@ class Landmarks:
                     continue
                 rows, codes = rows[close], codes[close]
                 who, where = np.nonzero(rows)
+                if not len(who):
+                    continue
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
                 sums = np.add.reduceat(self.weights[rows[who, where]] * decay[where][:, None], first)
                 mine = who[first]
