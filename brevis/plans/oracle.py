@@ -463,8 +463,8 @@ def statements() -> dict[str, str]:
       br AS (SELECT id, x, any_value(nx) AS n, max(s) AS s FROM sims GROUP BY id, x),
       bh AS (SELECT id, y, any_value(ny) AS n, max(s) AS s FROM sims GROUP BY id, y),
       rr AS (SELECT id, sum(n * s) / sum(n) AS r FROM br GROUP BY id), pp AS (SELECT id, sum(n * s) / sum(n) AS p FROM bh GROUP BY id)
-      SELECT id, round((coalesce(p, 0) - 0.1) / 0.9, 6) AS emb_p, round((coalesce(r, 0) - 0.1) / 0.9, 6) AS emb_r,
-        round((coalesce(2 * p * r / (p + r), 0) - 0.1) / 0.9, 6) AS emb_f1
+      SELECT id, round((coalesce(pp.p, 0) - 0.1) / 0.9, 6) AS emb_p, round((coalesce(rr.r, 0) - 0.1) / 0.9, 6) AS emb_r,
+        round((coalesce(2 * pp.p * rr.r / (pp.p + rr.r), 0) - 0.1) / 0.9, 6) AS emb_f1
       FROM sides LEFT JOIN rr USING (id) LEFT JOIN pp USING (id)"""
     q["split_counts"] = f"""WITH {PROFILE} SELECT split, count(*) AS n_rows,
       count(*) FILTER (WHERE doc_len BETWEEN 256 AND 512 AND sum_len <= 36) AS n_kept FROM profile GROUP BY split"""
