@@ -10,8 +10,15 @@ from brevis.sources import corpus
 BUDGETS = {q: K.QUANTITY_BUDGET[q] for q in ("25", "35", "45")}
 
 
-def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn", "lsa"), keep=()) -> DataFrame:
-    """Every strategy and budget from one scan: a projection and one explode, no shuffle."""
+ALL_RANKINGS = ("luhn", "lsa", "textrank")
+COMBO_RANKINGS = ("luhn", "textrank")
+
+
+def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=ALL_RANKINGS, combos=COMBO_RANKINGS, keep=()) -> DataFrame:
+    """Every strategy and budget from one scan: a projection and one explode, no shuffle.
+
+    ``combos`` are rankings applied after stop-word removal, next to head+tail after it.
+    """
     budgets = budgets or BUDGETS
     document = F.col("document")
     made = pairs.select("id", "document", *keep).withColumns({
@@ -30,12 +37,19 @@ def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=("luhn",
     for method, column, quantity in (("stopwords", "_stop", "all"), ("stopwords_neg", "_neg", "neg")):
         text = F.col(f"{column}.text")
         variants.append(shorten.variant(method, quantity, text, T.token_count(text)))
+    first = F.col("_stop.text")
+    made = made.withColumns({
+        "_first_toks": T.tokens(first), "_first_marks": extractive.marks(first, True), "_first_len": T.token_count(first),
+        **{f"_first_{m}": extractive.laid_out(first, extractive.RANKINGS[m](first)) for m in combos},
+    })
     picked = {}
-    for m in rankings:
-        for q, b in budgets.items():
-            name = f"_{m}_{q}"
-            picked[name] = extractive.chosen(F.col(f"_{m}"), F.col("_marks"), F.col("document_len"), b, "mod")
-            variants.append(shorten.variant(m, q, F.col(f"{name}.text"), F.col(f"{name}.size")))
+    for q, b in budgets.items():
+        if combos:
+            variants.append(shorten.variant("stopwords+headtail0.2", q, *shorten.headtail(F.col("_first_toks"), b, 2)))
+        for label, name, size, names in (("", "_", "document_len", rankings), ("stopwords+", "_first_", "_first_len", combos)):
+            for m in names:
+                picked[f"{name}{m}_{q}"] = extractive.chosen(F.col(f"{name}{m}"), F.col(f"{name}marks"), F.col(size), b, "mod")
+                variants.append(shorten.variant(label + m, q, F.col(f"{name}{m}_{q}.text"), F.col(f"{name}{m}_{q}.size")))
     return shorten.one_row_each(made.withColumns(picked), ["id", "document_len", *keep], variants)
 
 
@@ -53,14 +67,14 @@ def combo_headtail(pairs: DataFrame, budget: int, tenths: int) -> DataFrame:
 
 
 def flagship(pairs: DataFrame, low: int = 256, high: int = 512) -> DataFrame:
-    """Band -> head at three budgets -> 36-token summary -> ROUGE-1/2 means per budget.
+    """Band -> every strategy at three budgets -> 36-token summary -> ROUGE-1/2 means per strategy and budget.
 
     Everything up to the means is one narrow stage; only partial means are shuffled.
     """
     banded = filters.length_band(corpus.add_lengths(pairs), low, high)
-    heads = shorten.token_grid(banded.select("id", "document", "summary"), methods=("head",))
-    scored = rouge.rouge_n(_as_pairs(heads), keep=("quantity",))
-    return scored.groupBy("quantity").agg(
+    made = shorten_all(banded, keep=("summary",)).where(F.col("quantity").isin(*BUDGETS))
+    scored = rouge.rouge_n(_as_pairs(made), keep=("method", "quantity"))
+    return scored.groupBy("method", "quantity").agg(
         F.count("*").alias("n_rows"), F.round(F.avg("rouge1"), 6).alias("rouge1"), F.round(F.avg("rouge2"), 6).alias("rouge2")
     )
 
@@ -71,8 +85,8 @@ def _as_pairs(shortened: DataFrame) -> DataFrame:
     return made.withColumnsRenamed({"summary": "reference", "generated_summary": "hypothesis"})
 
 
-def grid_scores(pairs: DataFrame, rankings=("luhn", "lsa")) -> DataFrame:
+def grid_scores(pairs: DataFrame) -> DataFrame:
     """method, quantity, score (ROUGE-1 of the baseline summary) for every row of the full grid."""
-    made = shorten_all(pairs, rankings=rankings, keep=("summary",))
+    made = shorten_all(pairs, keep=("summary",))
     scored = rouge.rouge_n(_as_pairs(made), (1,), keep=("method", "quantity"))
     return scored.select("method", "quantity", F.col("rouge1").alias("score"))

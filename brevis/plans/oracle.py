@@ -412,18 +412,25 @@ def statements() -> dict[str, str]:
     q["combo_headtail"] = f"""WITH {PAIRS}, {stopped('pairs')}, toked AS (SELECT *, {toks('document')} AS t FROM stopped)
       SELECT id, {ht[0]} AS shortened_document, ({ht[1]})::BIGINT AS shortened_len, removed_words FROM toked"""
 
-    def all_rows() -> str:
+    def all_rows(source: str = "pairs", head: str = TOKED) -> str:
         """WITH clause ending in allrows(id, method, quantity, shortened_document, shortened_len, document_len)."""
         ranked_parts = ""
         unions = [grid_sql("id"), f"""SELECT id, 'full', '512', {head_sql(512)[0]}, ({head_sql(512)[1]})::BIGINT FROM toked"""]
         for name, neg, quantity in (("stopwords", False, "all"), ("stopwords_neg", True, "neg")):
-            ranked_parts += f", {stopped('pairs', neg, name)}"
+            ranked_parts += f", {stopped(source, neg, name)}"
             unions.append(f"SELECT id, '{name}', '{quantity}', document, {ntok('document')}::BIGINT FROM {name}")
-        for name, scorer in (("luhn", luhn_sql), ("lsa", lsa_sql)):
-            ranked_parts += f", {name}_cut AS (WITH {scorer('pairs')}, {cut_sql('pairs', BUDGETS)} SELECT * FROM cut)"
-            unions.append(f"SELECT id, '{name}', quantity, shortened_document, shortened_len FROM {name}_cut")
-        lens = f"lens AS (SELECT id, {ntok('document')}::BIGINT AS document_len FROM pairs)"
-        return f"""WITH RECURSIVE {TOKED} {ranked_parts}, {lens}, united AS ({' UNION ALL '.join(unions)}),
+        ranked_parts += f", first_toked AS (SELECT *, {toks('document')} AS t FROM stopwords)"
+        for n, b in BUDGETS.items():
+            text, size = headtail_sql(b, 2)
+            unions.append(f"SELECT id, 'stopwords+headtail0.2', '{n}', {text}, ({size})::BIGINT FROM first_toked")
+        scorers = {"luhn": luhn_sql, "lsa": lsa_sql, "textrank": textrank_sql}
+        for label, held, names, combo in (("", source, ("luhn", "lsa", "textrank"), False), ("stopwords+", "stopwords", ("luhn", "textrank"), True)):
+            for name in names:
+                cut = f"{'first_' * combo}{name}_cut"
+                ranked_parts += f", {cut} AS (WITH {scorers[name](held)}, {cut_sql(held, BUDGETS, 'mod', combo)} SELECT * FROM cut)"
+                unions.append(f"SELECT id, '{label}{name}', quantity, shortened_document, shortened_len FROM {cut}")
+        lens = f"lens AS (SELECT id, {ntok('document')}::BIGINT AS document_len FROM {source})"
+        return f"""WITH RECURSIVE {head} {ranked_parts}, {lens}, united AS ({' UNION ALL '.join(unions)}),
           allrows AS (SELECT * FROM united JOIN lens USING (id))"""
 
     q["shorten_all"] = f"{all_rows()} SELECT * FROM allrows"
@@ -502,9 +509,8 @@ def statements() -> dict[str, str]:
         {rtoks('p.summary')} AS r, {rtoks(joined('(' + toks('shortened_document') + ')[1:36]'))} AS h FROM allrows a JOIN pairs p USING (id)),
       {rouge_cte('one', 1, 'sides')}, g AS (SELECT method, quantity, f FROM one JOIN sides USING (id)),
       base AS (SELECT avg(f) AS full_text FROM g WHERE method = 'full'),
-      wide AS (SELECT method, {", ".join(f"avg(f) FILTER (WHERE quantity = '{n}') AS q{n}" for n in BUDGETS)} FROM g WHERE method <> 'full' GROUP BY method)
-      SELECT method, {", ".join(f"round(q{n}, 6) AS q{n}" for n in BUDGETS)}, round(full_text, 6) AS full_text,
-      {", ".join(f"round(q{n} - full_text, 6) AS delta{n}" for n in BUDGETS)} FROM wide, base"""
+      means AS (SELECT method, quantity, avg(f) AS score FROM g WHERE method <> 'full' GROUP BY method, quantity)
+      SELECT method, quantity, round(score, 6) AS score, round(full_text, 6) AS full_text, round(score - full_text, 6) AS delta FROM means, base"""
     q["epoch_curve"] = f"WITH {LOG} SELECT run, epoch, round(avg(value), 6) AS score, count(*) AS n_rows FROM log GROUP BY run, epoch"
     q["sample_trajectory"] = f"""WITH {LOG}, pe AS (SELECT run, sample, epoch, avg(value) AS score FROM log GROUP BY ALL)
       SELECT run, sample, string_agg(epoch::VARCHAR, ' ' ORDER BY epoch) AS epochs, round(arg_min(score, epoch), 6) AS first_score,
@@ -568,10 +574,10 @@ def statements() -> dict[str, str]:
       round(avg(value), 6) AS mean_value, count(*) AS n_rows FROM events
       WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"""
 
-    q["flagship"] = f"""WITH {band}, toked AS (SELECT *, {toks('document')} AS t FROM band), made AS ({grid_sql('id, summary')}),
-      sides AS (SELECT quantity || '/' || id AS id, quantity, {rtoks('summary')} AS r,
-        {rtoks(joined('(' + toks('shortened_document') + ')[1:36]'))} AS h FROM made WHERE method = 'head'),
+    banded = f"{band}, toked AS (SELECT *, {toks('document')} AS t FROM band)"
+    q["flagship"] = f"""{all_rows('band', banded)}, sides AS (SELECT method || '/' || quantity || '/' || a.id AS id, method, quantity, {rtoks('p.summary')} AS r,
+        {rtoks(joined('(' + toks('shortened_document') + ')[1:36]'))} AS h FROM allrows a JOIN band p USING (id) WHERE quantity IN ({", ".join(f"'{n}'" for n in BUDGETS)})),
       {rouge_cte('one', 1, 'sides')}, {rouge_cte('two', 2, 'sides')}
-      SELECT quantity, count(*) AS n_rows, round(avg(one.f), 6) AS rouge1, round(avg(two.f), 6) AS rouge2
-      FROM sides JOIN one USING (id) JOIN two USING (id) GROUP BY quantity"""
+      SELECT method, quantity, count(*) AS n_rows, round(avg(one.f), 6) AS rouge1, round(avg(two.f), 6) AS rouge2
+      FROM sides JOIN one USING (id) JOIN two USING (id) GROUP BY method, quantity"""
     return q

@@ -797,7 +797,7 @@ def strategy_best(spark, sf):
 @query
 def strategy_grid(spark, sf):
     out = runlog.strategy_grid(grid.grid_scores(pairs(spark, sf)))
-    return rounded(out, *[c for c in out.columns if c != "method"])
+    return rounded(out, "score", "full_text", "delta")
 
 
 @query
