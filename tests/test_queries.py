@@ -12,6 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUICK = (
     "flagship", "length_profile", "step_number", "topic_fanout", "mask_list", "encode_ids", "combo_headtail",
     "shorten_luhn", "rouge2", "length_hist", "score_quantiles", "improvements", "tfidf", "topic_coherence", "stream_metrics",
+    "strategy_grid", "embedding_score", "tf_norm", "mask_words", "term_counts", "blacklist_filter", "rougeL",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
