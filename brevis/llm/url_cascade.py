@@ -12,8 +12,8 @@ one pass per segment, so what a task holds at once is bounded however many rules
 
 Null urls, and urls without ``://``, have empty host and path and match no rule. Repeated urls are
 judged each. An empty rule list lists nothing. Rules with a null host or path are left out; of two
-verdicts for one rule, block wins; of two
-rules of one length, that with the longer host wins. Extra columns are kept.
+verdicts for one rule, block wins; of two rules of one length, that with the longer host wins. Extra
+columns are kept, but for those named host, path, rule or verdict, which are replaced.
 """
 
 from dataclasses import dataclass
