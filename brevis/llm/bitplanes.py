@@ -22,6 +22,7 @@ batch of texts and one block however large its range is.
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brevis.functions.scale import fresh_dir
-from brevis.llm.common import pieces, tokenizer_file, width
+from brevis.llm.common import pieces, store, width
 
 BLOCK = 1 << 16
 LEVEL = 3
-_WORDS = 400_000  # cached words of a task
+_WORDS = 1_000_000  # remembered words of a task
 
 
 # --- planes -----------------------------------------------------------------------------------
@@ -64,15 +65,25 @@ def unshuffle(planes: list, n: int) -> np.ndarray:
 
 # --- encoding ---------------------------------------------------------------------------------
 
+def _byte_letters() -> dict:
+    """Byte value -> letter of the byte-level alphabet: visible Latin-1 signs stand for themselves, the others for U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts; each distinct space-separated word is given to the library once.
 
     The byte-level splitting pattern never joins what a single space followed by a visible character separates,
-    so the ids of such a text are those of its words, each with its space. A text in which a space is
-    followed by white space is encoded whole.
+    so the ids of such a text are those of its words, each with its space. A word of letters, with or without
+    closing punctuation, is one or two pre-tokens and goes straight to the library's model; any other word goes through
+    the whole tokenizer. A text in which a space is followed by white space is encoded whole.
     """
 
     _TOGETHER = re.compile(r" (?=\s|\Z)")
+    _LETTERS = _byte_letters()
+    _PUNCTUATION = ".,;:!?()[]{}|#$%&*+-/<=>@^_~"
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,29 +92,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict = {}
-
-    def _encode(self, texts: list) -> list:
-        many = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in many]
+        self.endings: dict = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, text: str) -> bytes:
+        """One pre-token by the model alone."""
+        if not text.isascii() or text[0] == " ":
+            text = text.encode().decode("latin-1").translate(self._LETTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word that a space precedes; remembered."""
+        got = self.known.get(word)
+        if got is None:
+            stem = word.rstrip(self._PUNCTUATION)
+            if not (stem.isalpha() and max(stem) < "\u0530"):
+                got = self._whole(" " + word)
+            elif stem == word:
+                got = self._letters(" " + word)
+            else:
+                rest = word[len(stem):]
+                if rest not in self.endings:
+                    if len(self.endings) > 10_000:
+                        self.endings.clear()
+                    self.endings[rest] = self._letters(rest)
+                got = self.word(stem) + self.endings[rest]
+            self.known[word] = got
+        return got
 
     def encode(self, texts: list, end: int | None = 0) -> list:
         """Little-endian 32-bit ids of each text as bytes, closed by ``end``."""
         close = b"" if end is None else int(end).to_bytes(4, "little")
-        split = [None if self._TOGETHER.search(t) else f" {t}".split(" ")[1:] for t in texts]
-        if len(self.known) > _WORDS:
-            self.known.clear()
-        # First words stand without a space; they are told from the others by a leading tab.
-        for words in split:
-            if words:
-                words[0] = "\t" + words[0]
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            plain = [w[1:] if w[:1] == "\t" else " " + w for w in some]
-            self.known.update(zip(some, self._encode(plain), strict=True))
-        whole = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
-        get = self.known.__getitem__
-        return [(next(whole) if words is None else b"".join(map(get, words))) + close for words in split]
+        out = []
+        for text in texts:
+            if self._TOGETHER.search(text):
+                out.append(self._whole(text) + close)
+                continue
+            if len(self.known) > _WORDS:
+                self.known.clear()
+            first, *words = text.split(" ")
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                ids = [self.word(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+            out.append((self._whole(first) if first else b"") + b"".join(ids) + close)
+        return out
 
 
 _ENCODERS: dict = {}
@@ -252,7 +286,7 @@ def crc32_of(parts: list) -> int:
 
 def documents(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """key, start, n_tokens, crc32 of every document, from the files."""
-    read = read_pieces(spark, path, crc32, "long")
+    read = store(read_pieces(spark, path, crc32, "long"), "crcs")  # a few numbers per document
     begun = read.select("base", "part", F.explode(F.arrays_zip("key", "start", "size", "pieces")).alias("d"),
                         (F.col("first") + F.col("n")).alias("upto")).select(
         "part", F.col("d.key").alias("key"), F.col("d.start").alias("at"), F.col("d.size").alias("n_tokens"),
