@@ -63,7 +63,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         probes = active.select("query", F.posexplode(_segments(F.col("query"))).alias("seg", "own")).select(
             "query", "seg", F.explode(flips).alias("_flip"), "own").select(
             "query", "seg", F.col("own").bitwiseXOR(F.col("_flip")).alias("part"))
-        met = probes.join(by_segment, ["seg", "part"])
+        # Probes multiply below the join, which size estimates do not see: they must not be broadcast.
+        met = probes.hint("merge").join(by_segment, ["seg", "part"])
         # Seen before: some segment is nearer, or an earlier one is as near.
         apart = [F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), s)) for s in range(SEGMENTS)]
         new = ~F.lit(False)
