@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brevis.llm.common import pieces, store
 
-DECAY = 0.7
-POWER = 5
+DECAY = 0.85
+POWER = 3
 EVIDENCE = 12.0  # least log-likelihood ratio of a landmark
 SPAN = 8  # subsequences that stretch over more letters are not counted
 NEAR = 0.45  # normalised kernels that cannot reach this count as zero
@@ -44,9 +44,25 @@ _NONE = 31  # a sign: takes room in a gap, matches nothing
 
 # --- kernel -----------------------------------------------------------------------------------
 
-def _codes(word: str) -> list:
-    """Letters as 0..30: a-z, other letters in five groups, everything else a mere gap."""
-    return [ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 5 if c.isalpha() else _NONE for c in word]
+def _code(char: str) -> int:
+    """Letters as 0..30: a-z, other letters in five groups; everything else is a mere gap."""
+    return ord(char) - 97 if "a" <= char <= "z" else 26 + ord(char) % 5 if char.isalpha() else _NONE
+
+
+_LATIN = bytes(_code(chr(c)) for c in range(256))
+
+
+def _codes(word: str) -> bytes:
+    try:
+        return word.encode("latin-1").translate(_LATIN)
+    except UnicodeEncodeError:
+        return bytes(map(_code, word))
+
+
+def _matrix(words: list) -> np.ndarray:
+    """Codes of equally long words, one row per letter place."""
+    flat = np.frombuffer(b"".join(map(_codes, words)), np.uint8).reshape(len(words), -1)
+    return np.ascontiguousarray(flat.T).astype(np.int32)
 
 
 def windows(word: str) -> list:
@@ -67,15 +83,15 @@ def _places(size: int) -> tuple:
 
 
 def _triples(codes: np.ndarray) -> tuple:
-    """Codes of the letter triples of equally long words, and the decay of each triple's span."""
-    i, j, k, decay = _places(codes.shape[1])
-    return codes[:, i] * np.int32(1024) + codes[:, j] * np.int32(32) + codes[:, k], decay
+    """Codes of the letter triples of words (one column each), and the decay of each triple's span."""
+    i, j, k, decay = _places(len(codes))
+    return codes[i] * np.int32(1024) + codes[j] * np.int32(32) + codes[k], decay
 
 
 def self_kernel(codes: np.ndarray) -> np.ndarray:
     """Order-3 kernel of each word with itself, by the usual recursion over prefixes."""
-    n, size = codes.shape
-    same = [[(codes[:, a] == codes[:, b]) & (codes[:, a] != _NONE) for b in range(size)] for a in range(size)]
+    size, n = codes.shape
+    same = [[(codes[a] == codes[b]) & (codes[a] != _NONE) for b in range(size)] for a in range(size)]
     last = {(a, b): np.ones(n) for a in range(size + 1) for b in range(size + 1)}
     zero = np.zeros(n)
     for _ in range(2):
@@ -101,9 +117,9 @@ class Landmarks:
     def __post_init__(self):
         tables = []
         for unit in self.units:
-            ids, decay = _triples(np.array([_codes(unit[:WINDOW])], np.int32))
+            ids, decay = _triples(_matrix([unit[:WINDOW]]))
             found: dict = {}
-            for t, w in zip(ids[0].tolist(), decay.tolist(), strict=True):
+            for t, w in zip(ids[:, 0].tolist(), decay.tolist(), strict=True):
                 if _NONE not in (t >> 10, t >> 5 & 31, t & 31):
                     found[t] = found.get(t, 0.0) + w
             norm = math.sqrt(sum(v * v for v in found.values())) or 1.0
@@ -116,7 +132,7 @@ class Landmarks:
         for z, f in enumerate(tables):
             for t, v in f.items():
                 self.weights[place[t], z] = v
-        self.most = self.weights.max(1, initial=0)
+        self.most = self.weights.max(1, initial=0)[self.rows]
 
     def kernel(self, words: list) -> np.ndarray:
         """Normalised kernel of each word with each landmark, to the power ``POWER``.
@@ -134,21 +150,20 @@ class Landmarks:
         for group in sized.values():
             for at in range(0, len(group), 4096):
                 some = group[at : at + 4096]
-                codes = np.array([_codes(p) for _, p in some], np.int32)
+                codes = _matrix([p for _, p in some])
                 ids, decay = _triples(codes)
-                rows = self.rows[ids]
-                signs = (codes == _NONE).any(1)  # the bound of the norm holds for letters only
-                close = np.flatnonzero(signs | ((self.most[rows] @ decay) >= NEAR * np.sqrt(np.square(decay).sum())))
+                signs = (codes == _NONE).any(0)  # the bound of the norm holds for letters only
+                close = np.flatnonzero(signs | (decay @ self.most[ids] >= NEAR * np.sqrt(np.square(decay).sum())))
                 if not len(close):
                     continue
-                rows, codes = rows[close], codes[close]
+                rows, codes = np.ascontiguousarray(self.rows[ids[:, close]].T), codes[:, close]
                 who, where = np.nonzero(rows)
                 if not len(who):
                     continue
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
                 sums = np.add.reduceat(self.weights[rows[who, where]] * decay[where][:, None], first)
                 mine = who[first]
-                norm = np.sqrt(np.maximum(self_kernel(codes[mine]), 1e-30))
+                norm = np.sqrt(np.maximum(self_kernel(codes[:, mine]), 1e-30))
                 near = np.minimum(sums / norm[:, None].astype(np.float32), 1)
                 near[near < NEAR] = 0
                 np.maximum.at(out, [some[close[m]][0] for m in mine], near**POWER)
@@ -211,11 +226,16 @@ class Scorer:
         self.value = np.zeros(_SLOTS, np.float32)
         self.single = np.zeros(_SLOTS, bool)
 
+    def _values(self, units: list) -> np.ndarray:
+        """Value of each unit, without holding all kernels at once."""
+        parts = [self.landmarks.kernel(units[i : i + 8192]) @ self.model.weights for i in range(0, len(units), 8192)]
+        return np.concatenate([np.zeros(0, np.float32), *parts])
+
     def _learn(self, tokens: list) -> tuple:
         units = [unit_of(t) for t in tokens]
         unlike = sorted({u for u in units if len(u) >= 3})
         place = dict(zip(unlike, range(len(unlike)), strict=True))
-        found = np.r_[self.landmarks.kernel(unlike) @ self.model.weights, np.float32(0)]
+        found = np.r_[self._values(unlike), np.float32(0)]
         values = found[[place.get(u, -1) for u in units]]
         return values, np.array([len(u) == 1 and u.isalpha() for u in units], bool)
 
@@ -253,7 +273,7 @@ class Scorer:
             places = [s for s, _ in runs]
             # A one-letter word may stand before or after the spelt one.
             for some in (joined, [w[1:] for w in joined], [w[:-1] for w in joined]):
-                values[places] = np.maximum(values[places], self.landmarks.kernel(some) @ self.model.weights)
+                values[places] = np.maximum(values[places], self._values(some))
         out[filled] = np.maximum(np.maximum.reduceat(values, begin), 0)
         return out
 
@@ -287,7 +307,7 @@ def apply(docs: DataFrame, model: Model, keep: list, text: str = "text") -> Data
             _SCORERS[name] = Scorer(own) if own.fallback is None else None
         scorer = _SCORERS[name]
         for b in batches:
-            for part in pieces(b, "_text", 4 << 20):
+            for part in pieces(b, "_text", 2 << 20):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 found = np.full(len(texts), own.fallback) if scorer is None else scorer.scores(texts)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, pa.float64())], [*keep, "score"])
@@ -311,12 +331,13 @@ def _units(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            labels, units = [], []
-            for y, t in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = {u for s in sentences(t or "") for u in s}
-                units += own
-                labels += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(units, pa.string())], ["label", "unit"])
+            for part in pieces(b, "text", 1 << 20):
+                labels, units = [], []
+                for y, t in zip(part.column("label").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    own = {u for s in sentences(t or "") for u in s}
+                    units += own
+                    labels += [y] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(units, pa.string())], ["label", "unit"])
 
     return rows.mapInArrow(run, "label int, unit string")
 
@@ -352,7 +373,7 @@ def _unit_kernels(rows: DataFrame, chosen: list, per_doc: int) -> DataFrame:
         near = Landmarks([u for u, _ in sent.value])
         toxic = np.array([t for _, t in sent.value])
         for b in batches:
-            for part in pieces(b, "text"):
+            for part in pieces(b, "text", 1 << 20):
                 bags = [list(dict.fromkeys(u for s in sentences(t or "") for u in s)) for t in part.column("text").to_pylist()]
                 every = sorted({u for bag in bags for u in bag})
                 place = {u: i for i, u in enumerate(every)}
