@@ -29,6 +29,8 @@ from brevis.llm.common import store, width
 
 BLOCK_BYTES = 32 << 20
 LARGEST_VOCABULARY = 1_000_000
+CACHED_PARTS = 100_000  # split parts remembered by a task
+PACKING = 1  # zstandard level of shuffled positions
 #: Fixed value: the splitting pattern. White space is Unicode's, as the encoder's own engine has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -72,30 +74,32 @@ class Words:
         for part in rest:
             got = known.get(part)
             if got is None:
+                if len(known) > CACHED_PARTS:
+                    known.clear()
                 got = known[part] = self._positions(" " + part)
             out.append(got)
         return b"".join(out)
 
 
-def _blocks(batches, text: str, most: int):
-    """(number, batch slices, texts) of about ``most`` bytes of text each."""
-    held, size, number = [], 0, 0
+def _numbered(batches, text: str, most: int):
+    """(block, first of its block, batch, texts): stretches of batches, a new block after ``most`` characters."""
+    part, number, size, fresh = TaskContext.get().partitionId() << 32, 0, 0, True
     for b in batches:
-        for row in range(b.num_rows):
-            t = b.column(text)[row].as_py() or ""
-            held.append((b, row, t))
+        texts = [t or "" for t in b.column(text).to_pylist()]
+        start = 0
+        for i, t in enumerate(texts):
             size += len(t)
-            if size >= most:
-                yield number, held
-                held, size, number = [], 0, number + 1
-    if held:
-        yield number, held
+            if size >= most or i + 1 == len(texts):
+                yield part | number, fresh, b.slice(start, i + 1 - start), texts[start : i + 1]
+                start, fresh = i + 1, False
+                if size >= most:
+                    number, size, fresh = number + 1, 0, True
 
 
 def _packed(positions: bytes) -> bytes:
-    """Positions as two-byte planes under zstandard; empty for none."""
+    """Positions as byte planes under zstandard; empty for none."""
     flat = np.frombuffer(positions, np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.T).tobytes()) if len(flat) else b""
+    return zstandard.ZstdCompressor(level=PACKING).compress(np.ascontiguousarray(flat.T).tobytes()) if len(flat) else b""
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -105,25 +109,30 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
 
 
-def _block_id(number: int) -> int:
-    return (TaskContext.get().partitionId() << 32) | number
+def _listed(block: int, words: dict):
+    """block, at, word batches of a block's list, by word: neighbours share prefixes, which shuffles compactly."""
+    order = sorted(words)
+    for s in range(0, len(order), 50_000):
+        some = order[s : s + 50_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block] * len(some), pa.int64()), pa.array([words[w] for w in some], pa.int32()), pa.array(some, pa.string())],
+            ["block", "at", "word"])
 
 
 def block_words(docs: DataFrame, text: str, most: int = BLOCK_BYTES) -> DataFrame:
     """block, at, word: the distinct words of each block of texts."""
 
     def run(batches):
-        for number, rows in _blocks(batches, text, most):
-            words = Words()
-            for _, _, t in rows:
+        words, block = Words(), None
+        for here, fresh, _, texts in _numbered(batches, text, most):
+            if fresh and block is not None:
+                yield from _listed(block, words.place)
+                words = Words()
+            block = here
+            for t in texts:
                 words.of(t)
-            order = sorted(words.place)  # neighbours share prefixes, which shuffles compactly
-            at = pa.array([words.place[w] for w in order], pa.int32())
-            for s in range(0, len(order), 50_000):
-                e = min(s + 50_000, len(order))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_block_id(number)] * (e - s), pa.int64()), at.slice(s, e - s), pa.array(order[s:e], pa.string())],
-                    ["block", "at", "word"])
+        if block is not None:
+            yield from _listed(block, words.place)
 
     return docs.select(text).mapInArrow(run, "block long, at int, word string")
 
@@ -132,23 +141,16 @@ def block_texts(docs: DataFrame, keep: list, text: str, most: int = BLOCK_BYTES)
     """block, ``keep`` columns and packed positions of each document, in the same blocks as ``block_words``."""
 
     def run(batches):
-        for number, rows in _blocks(batches, text, most):
-            words = Words()
-            start = 0
-            while start < len(rows):
-                end = start  # rows of one batch
-                while end < len(rows) and rows[end][0] is rows[start][0]:
-                    end += 1
-                batch, first = rows[start][0], rows[start][1]
-                part = batch.slice(first, end - start)
-                packed = pa.array([_packed(words.of(t)) for _, _, t in rows[start:end]], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_block_id(number)] * (end - start), pa.int64()), *[part.column(c) for c in keep], packed],
-                    ["block", *keep, "positions"])
-                start = end
+        words = Words()
+        for block, fresh, part, texts in _numbered(batches, text, most):
+            if fresh:
+                words = Words()
+            packed = pa.array([_packed(words.of(t)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(texts), pa.int64()), *[part.column(c) for c in keep], packed], ["block", *keep, "positions"])
 
     out = docs.select(F.lit(0).cast("long").alias("block"), *keep, F.lit(b"").alias("positions")).schema
-    return docs.select(*keep, text).mapInArrow(run, out)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)
 
 
 # --- encoding ---------------------------------------------------------------------------------
@@ -164,22 +166,42 @@ def _encoder(file: str):
     return _PIECES[file]
 
 
+def id_type(file: str) -> str:
+    """Two bytes per id while the vocabulary allows, for the way back to the blocks."""
+    return "<u2" if max(ranks(file).values(), default=0) < 1 << 16 else "<u4"
+
+
 def word_ids(words: DataFrame, file: str) -> DataFrame:
-    """block, at, ids: each distinct word is encoded once, where its rows have met."""
+    """block, at, size, ids: each distinct word is encoded once, where its rows have met.
+
+    The words of a batch go back to a block in one row: their places, their numbers of ids and the ids
+    themselves (as ``id_type`` has them), one after the other.
+    """
     met = words.repartition(width(words.sparkSession), "word").sortWithinPartitions("word")
+    kind = id_type(file)
 
     def run(batches):
         one = _encoder(file)._encode_single_piece
-        last, ids = None, b""
+        last, own = None, np.zeros(0, kind)
         for b in batches:
-            out = []
+            found = []
             for word in b.column("word").to_pylist():
                 if word != last:
-                    last, ids = word, np.array(one(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array(out, pa.binary())], ["block", "at", "ids"])
-
-    return met.mapInArrow(run, "block long, at int, ids binary")
+                    last, own = word, np.array(one(word), kind)
+                found.append(own)
+            blocks = b.column("block").to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            at = b.column("at").to_numpy()[order].astype("<i4")
+            sizes = np.array([len(found[i]) for i in order.tolist()], "<u4")
+            first = np.flatnonzero(np.r_[True, np.diff(blocks[order]) != 0]) if len(order) else np.zeros(0, int)
+            spans = list(zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(blocks[order][first]), pa.array([at[s:e].tobytes() for s, e in spans], pa.binary()),
+                pa.array([sizes[s:e].tobytes() for s, e in spans], pa.binary()),
+                pa.array([np.concatenate([found[i] for i in order[s:e].tolist()]).tobytes() for s, e in spans], pa.binary()),
+            ], ["block", "at", "size", "ids"])
+
+    return met.mapInArrow(run, "block long, at binary, size binary, ids binary")
 
 
 def encode(
@@ -195,18 +217,18 @@ def encode(
     texts = block_texts(docs, keep, text, most)
     coded = word_ids(block_words(docs, text, most), file)
     out = texts.select(*keep, F.col("positions").alias("ids")).schema
+    kind = id_type(file)
 
     def run(left, right):
         """One block: its documents' positions, its words' ids."""
-        at = right.column("at").combine_chunks().to_numpy() if right.num_rows else np.zeros(0, int)
-        values = right.column("ids").to_pylist()
+        at, own, flat = (
+            np.frombuffer(b"".join(right.column(c).to_pylist()), t).astype(np.int64)
+            for c, t in (("at", "<i4"), ("size", "<u4"), ("ids", kind)))
         sizes = np.zeros(len(at) + 1, np.int64)
-        sizes[at + 1] = [len(v) // 4 for v in values]
+        sizes[at + 1] = own
         starts = np.cumsum(sizes)
         table = np.zeros(starts[-1], "<u4")
         begin = starts[at]
-        flat = np.frombuffer(b"".join(values), "<u4")
-        own = np.array([len(v) // 4 for v in values], np.int64)
         table[np.repeat(begin - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(len(flat))] = flat if len(flat) else 0
         for batch in left.to_batches(max_chunksize=2000):
             ids = []
