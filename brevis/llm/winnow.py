@@ -52,29 +52,25 @@ def _smallest(grams: str, reach: int) -> Column:
         f"transform(sequence(1, greatest(size({grams}) - {reach - 1}, 1)), i -> array_min(slice({grams}, i, {reach})))")
 
 
-def _windows(rows: DataFrame, keep: list, span: int) -> DataFrame:
-    """One row per item window: fingerprint and the window's words."""
-    if span == SPAN:
-        rows = rows.withColumn("_g", _grams("_h", GRAM)).withColumn("_m", _smallest("_g", SPAN - GRAM + 1))
-    else:
-        rows = rows.withColumn("_m", _grams("_h", span))
-    return rows.select(*keep, F.posexplode("_m").alias("at", "print"), "words").select(
-        *keep, F.xxhash64("print", F.lit(span)).alias("print"), F.array_join(F.slice("words", F.col("at") + 1, F.lit(span)), " ").alias("window"))
-
-
 def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """item, span, fingerprint and words of every window of the benchmark, each once."""
+    """item, span, fingerprint and words of every window of the benchmark, each once.
+
+    The steps are stored one by one, as a lambda would otherwise evaluate the step below it once per entry.
+    """
     named = benchmark.select(F.col(item).alias("item"), words_of(F.col(text)).alias("words")).where(
         F.col("item").isNotNull() & (F.size("words") > 0))
-    hashed = named.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
-    parts = [_windows(hashed.where(F.col("n") >= SPAN), ["item"], SPAN).withColumn("span", F.lit(SPAN))]
-    short = store(hashed.where(F.col("n") < SPAN), "short-items")
-    for span in sorted(r["n"] for r in short.select("n").distinct().collect()):  # at most SPAN - 1 lengths
-        parts.append(_windows(short.where(F.col("n") == span), ["item"], span).withColumn("span", F.lit(span)))
-    out = parts[0]
+    hashed = store(named.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w))), "items").withColumn("n", F.size("words"))
+    short = sorted(r["n"] for r in hashed.where(F.col("n") < SPAN).select("n").distinct().collect())  # at most SPAN - 1 lengths
+    grams = hashed.where(F.col("n") >= SPAN).select("item", "words", F.lit(SPAN).alias("span"), _grams("_h", GRAM).alias("_g"))
+    parts = [store(grams, "grams").withColumn("_g", _smallest("_g", SPAN - GRAM + 1))]
+    parts += [hashed.where(F.col("n") == n).select("item", "words", F.lit(n).alias("span"), _grams("_h", n).alias("_g")) for n in short]
+    every = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        every = every.unionByName(p)
+    opened = store(every, "items").select("item", "span", "words", F.posexplode("_g").alias("at", "_p"))
+    return opened.select(
+        "item", "span", F.xxhash64("_p", "span").alias("print"),
+        F.array_join(F.slice("words", F.col("at") + 1, F.col("span")), " ").alias("window")).distinct()
 
 
 def _marked(docs: DataFrame, key: str, text: str, short: list) -> DataFrame:
