@@ -179,8 +179,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """key, sign, text and ``spans`` (at, many): the repeated windows of every row; null where none."""
     rows = _keyed(docs, key, text)
     found = store(all_pieces(rows), "pieces")
-    counted = found.groupBy("least").agg(
-        F.count("*").alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("n >= 2")
+    # Counts are stored before they are joined back: a join whose sides both come straight from a shuffle can split hot keys.
+    counted = store(found.groupBy("least").agg(
+        F.count("*").alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("n >= 2"), "minimisers")
     met = store(
         found.select("least", "key", "sign", "at", "many")
         .join(counted.select("least", (F.col("low") != F.col("high")).alias("branches")), "least")
@@ -189,7 +190,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     # Rows that are equal in key and text share one list; each of them emits its own edges.
     branching = store(_edges(
         rows.join(opened, _same_row(rows, opened)).select(rows["key"], rows["sign"], rows["text"], "spans")), "edges")
-    twice = branching.groupBy("edge").agg(F.count("*").alias("n")).where("n >= 2").select("edge")
+    twice = store(branching.groupBy("edge").agg(F.count("*").alias("n")).where("n >= 2").select("edge"), "repeated-edges")
     single = branching.join(twice, "edge").select("key", "sign", "at", F.lit(1).alias("many"))
     spans = _spans(met.where("NOT branches").select("key", "sign", "at", "many").unionAll(single))
     return rows.join(spans, _same_row(rows, spans), "left").select(rows["key"], rows["sign"], rows["text"], "spans")
