@@ -25,9 +25,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm.common import store, width
+from brevis.llm.common import release, store, width
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 LARGEST_VOCABULARY = 1_000_000
 CACHED_PARTS = 100_000  # split parts remembered by a task
 PACKING = 1  # zstandard level of shuffled positions
@@ -133,6 +133,8 @@ def block_words(docs: DataFrame, text: str, most: int = BLOCK_BYTES) -> DataFram
                 words.of(t)
         if block is not None:
             yield from _listed(block, words.place)
+        words = None
+        release()
 
     return docs.select(text).mapInArrow(run, "block long, at int, word string")
 
@@ -148,6 +150,8 @@ def block_texts(docs: DataFrame, keep: list, text: str, most: int = BLOCK_BYTES)
             packed = pa.array([_packed(words.of(t)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(texts), pa.int64()), *[part.column(c) for c in keep], packed], ["block", *keep, "positions"])
+        words = None
+        release()
 
     out = docs.select(F.lit(0).cast("long").alias("block"), *keep, F.lit(b"").alias("positions")).schema
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)
@@ -239,7 +243,9 @@ def encode(
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ids, pa.binary())], [*keep, "ids"])
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(left, right)))
+        out = pa.Table.from_batches(list(run(left, right)))
+        release()
+        return out
 
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(block, out)
 

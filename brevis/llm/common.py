@@ -1,5 +1,7 @@
 """What several of the corpus operators share."""
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -69,3 +71,13 @@ def tokenizer_file(name: str) -> str:
     """Where a public vocabulary lies; the environment may name another folder."""
     folder = os.environ.get("BREVIS_TOKENIZERS")
     return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker is reused by later stages, next to others of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

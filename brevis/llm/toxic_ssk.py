@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brevis.llm.common import pieces, store
+from brevis.llm.common import pieces, release, store
 
 DECAY = 0.85
 POWER = 3
@@ -38,7 +38,7 @@ SPAN = 8  # subsequences that stretch over more letters are not counted
 NEAR = 0.45  # normalised kernels that cannot reach this count as zero
 WINDOW = 20  # letters; longer words are judged by overlapping windows of this size
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~^+=`"
-_SLOTS = 1 << 22  # remembered words of a task
+_SLOTS = 1 << 21  # remembered words of a task
 _NONE = 31  # a sign: takes room in a gap, matches nothing
 
 
@@ -311,6 +311,7 @@ def apply(docs: DataFrame, model: Model, keep: list, text: str = "text") -> Data
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 found = np.full(len(texts), own.fallback) if scorer is None else scorer.scores(texts)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, pa.float64())], [*keep, "score"])
+        release()
 
     return slim.mapInArrow(run, slim.select(*keep).withColumn("score", F.lit(0.0)).schema)
 
