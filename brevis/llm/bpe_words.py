@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevis.llm.common import release, store, width
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 LARGEST_VOCABULARY = 1_000_000
-CACHED_PARTS = 100_000  # split parts remembered by a task
+CACHED_PARTS = 200_000  # split parts remembered by a task
 PACKING = 1  # zstandard level of shuffled positions
 #: Fixed value: the splitting pattern. White space is Unicode's, as the encoder's own engine has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
