@@ -4,11 +4,12 @@ A document is its set of distinct word shingles. Documents with equal sets form
 on. Each class gets ``VALUES`` MinHash values and enters ``ORDERS`` sorted orders; an order sorts the classes by the
 values from its own starting place on. Candidates are the neighbours in an order: the ``NEAREST`` next rows and the head of
 the region, if their common prefix is ``DEPTH`` values or longer. Where a region is dense, sorting by all of ``CODE`` values
-makes the neighbours those with the longest common prefix, so depth adapts to the region without any bucket: no
-group is ever gathered or compared pair by pair.
+makes the neighbours those with the longest common prefix, so depth adapts to the region without any bucket. Where more
+than ``NEAREST`` rows share a region and the links found so far leave them in different components, neighbours are not
+enough: all sets of such a region are compared, in pairs of blocks of at most about ``BLOCK_ROWS`` rows each.
 
 Candidates whose signatures agree too little are dropped, the others are confirmed on the full sets: first each
-document's best candidate, then all candidates that still join different components. Components are
+document's best candidate, then all candidates that still join different components, then the dense regions. Components are
 found by star contraction over the links. Orders are range-partitioned by code and key, so equal
 codes spread over tasks; a pair that a range boundary parts in one order is met in the others.
 
@@ -34,6 +35,8 @@ ORDERS = 16
 DEPTH = 3
 CODE = 12
 NEAREST = 3
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 19
 SLACK = 0.2  # signatures may agree this much less than the threshold
 BROADCAST_KEYS = 1_000_000
 _RNG = np.random.default_rng(20)
@@ -81,8 +84,8 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, n long, same binary, sketch binary")
 
 
-def _ordered(classes: DataFrame) -> DataFrame:
-    """code, key: every class in every order; the code starts with the order's number."""
+def _ordered(classes: DataFrame, many: int = CODE) -> DataFrame:
+    """code, key: every class in every order; the code has the order's number and its first ``many`` values."""
 
     def run(batches):
         for b in batches:
@@ -90,7 +93,7 @@ def _ordered(classes: DataFrame) -> DataFrame:
                 continue
             low = np.frombuffer(b"".join(b.column("sketch").to_pylist()), "<u4").reshape(-1, VALUES).astype(">u2")
             for order in range(ORDERS):
-                at = (order * (VALUES // ORDERS) + np.arange(CODE)) % VALUES
+                at = (order * (VALUES // ORDERS) + np.arange(many)) % VALUES
                 codes = np.ascontiguousarray(low[:, at]).view(np.uint8)
                 codes = np.hstack([np.full((len(codes), 1), order, np.uint8), codes])
                 flat = pa.py_buffer(np.ascontiguousarray(codes).tobytes())
@@ -208,6 +211,100 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     return stars.unionAll(edges.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct())
 
 
+def _spanning(marks: tuple, sizes: tuple, flats: tuple, percent: int, one: bool) -> list:
+    """(row, row) links that join the components of two blocks: a forest of the pairs that reach ``percent``.
+
+    Intersections are counted exactly, by products of 0/1 matrices over the shingles that both blocks hold.
+    """
+    owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    shared = np.intersect1d(*flats)
+    inter = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+    places = []
+    for flat, owner in zip(flats, owners, strict=True):
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        held = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        places.append((at[held][order], owner[held][order]))
+    for begin in range(0, len(shared), 4096):
+        slabs = []
+        for (at, owner), n in zip(places, sizes, strict=True):
+            lo, hi = np.searchsorted(at, [begin, begin + 4096])
+            slab = np.zeros((len(n), min(4096, len(shared) - begin)), np.float32)
+            slab[owner[lo:hi], at[lo:hi] - begin] = 1
+            slabs.append(slab)
+        inter += slabs[0] @ slabs[1].T
+    inter = inter.astype(np.int64)
+    near = 100 * inter >= percent * (sizes[0][:, None] + sizes[1][None, :] - inter)
+    near &= marks[0][:, None] != marks[1][None, :]
+    lead: dict = {}
+
+    def find(x):
+        while lead.setdefault(x, x) != x:
+            lead[x] = x = lead[lead[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(near) if one else near).tolist():
+        x, y = find(int(marks[0][i])), find(int(marks[1][j]))
+        if x != y:
+            lead[x] = y
+            out.append((i, j))
+    return out
+
+
+def dense_links(docs: DataFrame, classes: DataFrame, found: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame | None:
+    """a, b: links between the components ``found`` inside regions that neighbours do not cover; None without such regions."""
+    joined = classes.join(found, "key", "left").select("key", "n", "sketch", F.xxhash64(F.coalesce("component", "key")).alias("mark"))
+    marked = store(joined, "marked")
+    spots = store(_ordered(marked, DEPTH).toDF("region", "key").join(marked.select("key", "n", "mark"), "key"), "spots")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    dense = spots.groupBy("region").agg(
+        F.count("*").alias("rows"), blocks.alias("blocks"), F.min("mark").alias("lo"), F.max("mark").alias("hi"),
+    ).where((F.col("rows") > NEAREST + 1) & (F.col("lo") != F.col("hi"))).select("region", "blocks")
+    within = store(spots.join(dense, "region").select("region", "key", "mark", "blocks").distinct(), "dense")
+    if not within.take(1):
+        return None
+    sets = store(full_sets(docs, within.select("key").distinct(), key, text, words).where(F.size("members") > 0), "dense-sets")
+    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = within.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "mark")
+    ready = dealt.join(sets, "key").select(
+        F.concat("region", F.to_binary(F.format_string("%08x%08x", "lo", "hi"), F.lit("hex"))).alias("part"),
+        (F.col("own") == F.col("lo")).alias("low"), (F.col("lo") == F.col("hi")).alias("one"), "key", "mark", "members",
+    ).repartition(width(docs.sparkSession), "part").sortWithinPartitions("part")
+    kind = classes.schema["key"].dataType.simpleString()
+
+    def links(held: list) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        low, one = rows["low"].to_numpy(), rows["one"][0].as_py()
+        sides = [np.arange(len(low))] * 2 if one else [np.flatnonzero(low), np.flatnonzero(~low)]
+        marks = rows["mark"].to_numpy()
+        lists = [rows["members"].take(pa.array(s)).combine_chunks() for s in sides]
+        sizes = [x.value_lengths().to_numpy().astype(np.int64) for x in lists]
+        flats = [x.flatten().to_numpy() for x in lists]
+        pairs = np.array(_spanning(tuple(marks[s] for s in sides), sizes, flats, percent, one), np.int64).reshape(-1, 2)
+        keys = rows["key"].combine_chunks()
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(s[pairs[:, i]])) for i, s in enumerate(sides)], ["a", "b"])
+
+    def run(batches):
+        name, held = None, []
+        for b in batches:
+            parts = b.column("part").to_pylist()
+            cuts = [0, *(i for i in range(1, len(parts)) if parts[i] != parts[i - 1]), len(parts)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if parts[s] != name and held:
+                    yield links(held)
+                    held = []
+                name = parts[s]
+                held.append(b.slice(s, e - s))
+        if held:
+            yield links(held)
+
+    return store(ready.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "dense-links")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
 ) -> DataFrame:
@@ -232,7 +329,11 @@ def near_duplicates(
         .where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b").join(best, ["a", "b"], "left_anti"))
     second = store(confirm(rest, sets, percent), "confirmed")
     links = found.where("key <> component").select(F.col("key").alias("a"), F.col("component").alias("b")).unionAll(second)
-    final = components(links)
+    final = store(components(links), "components")
+    dense = dense_links(docs, classes, final, key, text, words, percent)
+    if dense is not None and dense.take(1):
+        stars = final.where("key <> component").select(F.col("key").alias("a"), F.col("component").alias("b"))
+        final = components(stars.unionAll(dense))
     named = classes.select("same", F.col("key").alias("head")).join(final, F.col("head") == final["key"], "left").select(
         "same", F.coalesce("component", "head").alias("component"))
     out = rows.join(named, "same", "left").select(

@@ -171,6 +171,31 @@ def test_forest_finds_all_components(spark, monkeypatch, words, percent, limit):
     assert lsh_forest.near_duplicates(frame.where("false")).collect() == []
 
 
+def test_forest_finds_partners_in_a_dense_family(spark):
+    """A shared template: all pairs lie just below the threshold but the planted ones."""
+    rnd = random.Random(13)
+    template = [f"t{i}" for i in range(180)]
+    texts = []
+    for i in range(1500):
+        own = [f"d{i}x{j}" for j in range(20)]
+        texts.append(" ".join(template + own))
+        if i % 15 == 0:
+            texts.append(" ".join(template + own[:12] + [f"e{i}x{j}" for j in range(8)]))
+    rnd.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    by_own = {}
+    for i, t in enumerate(texts):
+        by_own.setdefault(t.split()[180], []).append(i)
+    want = {i: min(g) for g in by_own.values() for i in g}
+    pairs = [g for g in by_own.values() if len(g) == 2]
+    assert len(pairs) == 100
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert min(alike(*g) for g in pairs) >= 0.85 > max(alike(0, i) for i in range(1, 400) if want[i] != want[0])
+    out = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert {r["key"]: r["component"] for r in out} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in lsh_forest.components(links).collect()} == {0}
