@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and long hexadecimal runs in whole t
 adds the long mixed tokens that no base pattern names: their hashes are counted over distinct
 repositories and owners of the whole corpus. A token that several owners hold is a widely copied
 example and is left alone; one that a single owner holds in few repositories looks live and becomes a
-span of its own kind (``owned``). Base spans always stay.
+span of its own kind (``owned``). Base spans always stay; their values are counted as well, so every occurrence of a
+token tells of its owners, whether it stands bare or in an assignment.
 
 Null texts are empty. A null repository or owner counts as one unnamed repository or owner. Repeated
 rows are scanned each for itself and count once for their owner. Extra columns are ignored.
@@ -55,23 +56,35 @@ def candidates(text: str, base: list, least_bits: float = 3.5) -> list:
     return out
 
 
+def held_values(text: str, base: list) -> list:
+    """Hashes of the values of base spans, and of the long random-looking tokens in them or touching them."""
+    values = set()
+    for kind, s, e in base:
+        value = ASSIGN.fullmatch(text, s, e)[2] if kind == 0 else text[s:e]
+        values |= {value, *(m[0] for m in TOKEN.finditer(value))}
+    values |= {m[0] for m in TOKEN.finditer(text) if any(s < m.end() and m.start() < e for _, s, e in base)} if base else set()
+    return [hashlib.blake2b(v.encode(), digest_size=16).digest() for v in sorted(values)]
+
+
 def scan(docs: DataFrame, keep: list, text: str = "text") -> DataFrame:
-    """``keep`` columns with ``base`` spans and ``tokens``, the candidates of each row."""
+    """``keep`` columns with ``base`` spans, ``tokens``, the candidates of each row, and ``held``, hashes of its base values."""
     slim = docs.select(*keep, F.col(text).alias("_text"))
     kinds = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     hashes = pa.list_(pa.struct([("hash", pa.binary()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            base, found = [], []
+            base, found, held = [], [], []
             for t in b.column("_text").to_pylist():
                 spans = base_spans(t or "")
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 found.append([{"hash": h, "start": s, "end": e} for h, s, e in candidates(t or "", spans)])
+                held.append(held_values(t or "", spans))
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in keep], pa.array(base, kinds), pa.array(found, hashes)], [*keep, "base", "tokens"])
+                [*[b.column(c) for c in keep], pa.array(base, kinds), pa.array(found, hashes), pa.array(held, pa.list_(pa.binary()))],
+                [*keep, "base", "tokens", "held"])
 
-    typed = slim.select(*keep, F.lit(None).cast(SPAN).alias("base"), F.lit(None).cast(CANDIDATE).alias("tokens"))
+    typed = slim.select(*keep, F.lit(None).cast(SPAN).alias("base"), F.lit(None).cast(CANDIDATE).alias("tokens"), F.lit(None).cast("array<binary>").alias("held"))
     return slim.mapInArrow(run, typed.schema)
 
 
@@ -81,7 +94,8 @@ def ownership(scanned: DataFrame, repository: str, owner: str) -> DataFrame:
     Both are reduced to distinct (hash, owner, repository) before the shuffle, so a token that
     fills the corpus costs one row per task, owner and repository.
     """
-    seen = scanned.select(F.col(repository).alias("_r"), F.col(owner).alias("_o"), F.explode("tokens.hash").alias("hash")).distinct()
+    every = F.explode(F.concat("tokens.hash", "held"))
+    seen = scanned.select(F.col(repository).alias("_r"), F.col(owner).alias("_o"), every.alias("hash")).distinct()
     per_owner = seen.groupBy("hash", "_o").agg(F.count("*").alias("n"))
     return per_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 

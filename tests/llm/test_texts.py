@@ -145,6 +145,18 @@ def test_secret_spans_and_ownership(spark):
     assert secrets.find(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_ownership_counts_values_of_base_spans(spark):
+    shared, live = "Zk9Qw3rT7yU1iO5pA2sD4fG6", "Mn8Bv2Cx6Lk4Jh0Gf3Ds7Aq1"
+    texts = [f'api_key = "{shared}"', f"token: {shared}.", f"secret={shared}", f"password={shared} x", f"bare {shared} and {live}", "AKIA" + "A1" * 6, "AKIA" + "A1" * 6]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    sign = lambda t: hashlib.blake2b(t.encode(), digest_size=16).digest()
+    counted = {bytes(r["hash"]): (r["repositories"], r["owners"]) for r in secrets.ownership(secrets.scan(docs, ["source"]), "source", "source").collect()}
+    assert counted[sign(shared)] == (5, 5) and counted[sign(live)] == (1, 1) and counted[sign("AKIA" + "A1" * 6)] == (2, 2)
+    spans = {r["doc_id"]: r["s"] for r in secrets.find(docs).select("doc_id", secrets.listed("spans").alias("s")).collect()}
+    start = texts[4].index(live)
+    assert spans[4] == f"owned:{start}:{start + len(live)}" and spans[0] == f"assign:0:{len(texts[0]) - 1}"
+
+
 def test_redaction_merges_overlaps():
     assert secrets.redact("aXXXXb", [(1, 0, 4), (2, 2, 5)]) == "a[assign]b"
     assert hashlib.sha256(secrets.redact("plain", []).encode()).hexdigest() == hashlib.sha256(b"plain").hexdigest()
