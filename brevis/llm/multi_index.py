@@ -7,12 +7,12 @@ more than r bits of each segment, hence in at least ``SEGMENTS * (r + 1)`` bits;
 distance is below that, and later rounds only carry the queries that are not.
 
 Rows with equal codes share one index entry with their ``k + 1`` smallest ids (more cannot be among the answers), and
-queries with equal codes one search. Candidates are cut to the best ``k + 1`` per query before they are shuffled, and a code is
-verified once per query, in the first round and segment that meets it.
+queries with equal codes one search. Candidates are cut to the best ``k + 1`` per query before they are shuffled (times the
+most codes that an id has, where ids repeat), and a code is verified once per query, in the first round and segment that meets it.
 
 Ties of distance go to the smaller id. A row is no answer to itself. Rows whose vector is null, has a null or
-not-a-number value or another length are neither indexed nor asked; null ids are left out. Repeated ids count as they come.
-If fewer than k rows exist, all are returned. Extra columns are ignored.
+not-a-number value or another length are neither indexed nor asked; null ids are left out. A repeated id
+is asked once and answers once, with the least distance of its vectors. If fewer than k rows exist, all are returned. Extra columns are ignored.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -52,6 +52,9 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k nearest rows of ``index`` (id, code) to each of ``queries`` (id, code)."""
+    index, queries = index.select("id", "code").distinct(), queries.select("id", "code").distinct()
+    copies = index.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    most = (k + 1) * copies  # rows that hold k + 1 ids in any case
     few = Window.partitionBy("code").orderBy("id")
     members = index.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
     entries = store(members.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
@@ -73,14 +76,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         found = met.where(new).select(
             "query", F.explode("ids").alias("id"), F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         found = found if best is None else found.unionByName(best)
-        best = store(_best(found, k + 1), "best")
+        best = store(_best(found, most), "best")
         proved = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(
-            (F.col("n") > k) & (F.col("far") < SEGMENTS * (radius + 1)))
+            (F.col("n") >= most) & (F.col("far") < SEGMENTS * (radius + 1)))
         active = store(active.join(proved, "query", "left_anti"), "active")
         if not active.take(1):
             break
     own = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
-    answers = own.join(best, "query").where("id <> query_id")
+    answers = own.join(best, "query").where("id <> query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "id", "distance")

@@ -120,6 +120,24 @@ def test_search_in_few_rows(spark):
     assert multi_index.search(few.where("false"), few.where("false"), 10).collect() == []
 
 
+def test_search_with_repeated_ids(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.getrandbits(63)) for i in range(30)]
+    rows += [rows[0]] * 11 + [rows[1]] + [(2, rnd.getrandbits(63)), (3, rows[0][1])]
+    coded = spark.createDataFrame(rows, "id long, code long")
+    out = {}
+    for r in multi_index.search(coded, coded.where("id < 3"), 10).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
+    for q in range(3):
+        apart = {}
+        for i, c in rows:
+            for j, d in rows:
+                if j == q and i != q:
+                    apart[i] = min(apart.get(i, 64), (c ^ d).bit_count())
+        want = sorted((d, i) for i, d in apart.items())[:10]
+        assert sorted(out[q]) == [(n + 1, d, i) for n, (d, i) in enumerate(want)]
+
+
 # --- near copies ------------------------------------------------------------------------------
 
 def slow_components(rows, words, percent):
