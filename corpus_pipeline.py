@@ -29,18 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest key stays.
 
-    Rows that repeat a key with the same text are copies as well, and one of them stays.
+    Rows are judged by key and text: of the texts of a repeated key only those that are near copies go. Rows that
+    repeat a key with the same text are copies as well, and one of them stays.
     """
     rows, names = _plain(docs)
     key, text = names["doc_id"], names["text"]
-    judged = store(lsh_forest.near_duplicates(docs, words=5, percent=80).select("key", "kept"), "near")
+    sign = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), sign.alias("sign")))
+    rows = rows.withColumn("own", own)
+    judged = store(lsh_forest.near_duplicates(rows.select("own", text), "own", text, words=5, percent=80).select("key", "kept"), "near")
     gone = judged.where("NOT kept").select("key").distinct()
-    stay = rows.join(gone, rows[key] == gone["key"], "left_anti")
+    stay = rows.join(gone, rows["own"] == gone["key"], "left_anti")
     again = store(judged.where("kept AND key IS NOT NULL").groupBy("key").count().where("count > 1").select("key"), "repeated")
     if again.take(1):
-        single = stay.join(again, stay[key] == again["key"], "left_anti")
-        stay = single.unionByName(stay.join(again, stay[key] == again["key"], "left_semi").dropDuplicates([key, text]))
-    return stay.toDF(*docs.columns)
+        single = stay.join(again, stay["own"] == again["key"], "left_anti")
+        stay = single.unionByName(stay.join(again, stay["own"] == again["key"], "left_semi").dropDuplicates([key, text]))
+    return stay.drop("own").toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

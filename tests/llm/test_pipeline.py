@@ -71,6 +71,14 @@ def test_stages_take_effect(spark, corpus):
     assert len(coded) == len(every) and all(r["intact"] for r in coded)
 
 
+def test_near_copies_spare_other_texts_of_a_key(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(80))
+    rows = [(1, say("a")), (2, say("a") + " end"), (2, say("b")), (2, say("b")), (3, say("b") + " end"), (None, say("a")), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(0, say("a")), (1, say("a")), (2, say("b")), (4, ""), (4, "")])
+
+
 def test_stages_take_empty_tables(spark, corpus):
     folder = corpus[0]
     none = spark.read.parquet(f"{folder}/documents.parquet").where("false")
