@@ -12,9 +12,9 @@ Scoring evaluates each distinct word of a task once (in a table of fixed size) a
 sentence of the whole text, which a logistic curve turns into a score.
 
 Nulls and texts without any unit of three letters have no evidence and get the score of an empty
-sentence. Rows whose label is null are not learnt from. Without training rows of both classes
-every score is the smoothed share of label 1 (0 without any row), so nothing is called toxic for lack of
-examples. Repeated rows are scored each. Extra columns are ignored.
+sentence. Rows whose label is null are not learnt from. Without training rows of both classes, or without any unit that
+speaks for label 1, every score is the share of label 1 among all training labels, but below 0.5: nothing is called toxic
+for lack of examples. Repeated rows are scored each. Extra columns are ignored.
 
 Bounds, all parameters of ``train``: at most ``per_class`` labelled documents per class (chosen by hash of
 the key), ``landmarks`` units, and the ``per_doc`` units of a training document closest to a toxic landmark.
@@ -33,10 +33,9 @@ from brevis.llm.common import pieces, release, store
 
 DECAY = 0.85
 POWER = 3
-EVIDENCE = 12.0  # least log-likelihood ratio of a landmark
-SPAN = 8  # subsequences that stretch over more letters are not counted
-NEAR = 0.45  # normalised kernels that cannot reach this count as zero
+NEAR = 0.0  # every kernel counts, however small
 WINDOW = 20  # letters; longer words are judged by overlapping windows of this size
+SPAN = WINDOW  # subsequences of a window may stretch over all of it
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~^+=`"
 _SLOTS = 1 << 21  # remembered words of a task
 _NONE = 31  # a sign: takes room in a gap, matches nothing
@@ -76,7 +75,7 @@ def windows(word: str) -> list:
 
 @lru_cache
 def _places(size: int) -> tuple:
-    """Places of all letter triples within ``SPAN`` of a word, and the decay of each."""
+    """Places of all letter triples of a word, and the decay of each."""
     found = [(a, b, c) for a in range(size) for c in range(a + 2, min(size, a + SPAN)) for b in range(a + 1, c)]
     i, j, k = (np.array(x) for x in zip(*found, strict=True))
     return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
@@ -112,7 +111,6 @@ class Landmarks:
     units: list
     rows: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
-    most: np.ndarray = field(init=False)
 
     def __post_init__(self):
         tables = []
@@ -132,15 +130,9 @@ class Landmarks:
         for z, f in enumerate(tables):
             for t, v in f.items():
                 self.weights[place[t], z] = v
-        self.most = self.weights.max(1, initial=0)[self.rows]
 
     def kernel(self, words: list) -> np.ndarray:
-        """Normalised kernel of each word with each landmark, to the power ``POWER``.
-
-        A word's kernel with any landmark is at most the sum over its triples of the largest
-        landmark weight, and its norm at least that of its triples taken apart (a constant of the
-        length), so most words are known to be far from all landmarks without computing more.
-        """
+        """Normalised kernel of each word with each landmark, to the power ``POWER``."""
         out = np.zeros((len(words), len(self.units)), np.float32)
         sized: dict = {}
         for i, w in enumerate(words):
@@ -148,15 +140,11 @@ class Landmarks:
                 if len(part) >= 3:
                     sized.setdefault(len(part), []).append((i, part))
         for group in sized.values():
-            for at in range(0, len(group), 4096):
+            for at in range(0, len(group), 1024):
                 some = group[at : at + 4096]
                 codes = _matrix([p for _, p in some])
                 ids, decay = _triples(codes)
-                signs = (codes == _NONE).any(0)  # the bound of the norm holds for letters only
-                close = np.flatnonzero(signs | (decay @ self.most[ids] >= NEAR * np.sqrt(np.square(decay).sum())))
-                if not len(close):
-                    continue
-                rows, codes = np.ascontiguousarray(self.rows[ids[:, close]].T), codes[:, close]
+                rows = np.ascontiguousarray(self.rows[ids].T)
                 who, where = np.nonzero(rows)
                 if not len(who):
                     continue
@@ -165,8 +153,7 @@ class Landmarks:
                 mine = who[first]
                 norm = np.sqrt(np.maximum(self_kernel(codes[:, mine]), 1e-30))
                 near = np.minimum(sums / norm[:, None].astype(np.float32), 1)
-                near[near < NEAR] = 0
-                np.maximum.at(out, [some[close[m]][0] for m in mine], near**POWER)
+                np.maximum.at(out, [some[m][0] for m in mine], near**POWER)
         return out
 
 
@@ -357,7 +344,7 @@ def choose(rows: DataFrame, landmarks: int) -> list:
     evidence = part(F.col("pos"), n * (sizes[1] / total)) + part(F.col("neg"), n * (sizes[0] / total))
     for_toxic = F.col("pos") / n > sizes[1] / total
     named = counted.where(F.length("unit") <= WINDOW).select("unit", evidence.alias("g"), for_toxic.alias("toxic"))
-    named = store(named.where(F.col("g") >= EVIDENCE), "toxic-units")
+    named = store(named.where(F.col("g") > 0), "toxic-units")
     many = landmarks * 7 // 8
     top = [
         *named.where("toxic").orderBy(F.desc("g"), "unit").limit(many).collect(),
@@ -433,12 +420,14 @@ def train(
     known = labels.select(F.col(key), F.col(label).cast("int").alias("label"))
     rows = store(sample(docs, known, training, key, text, per_class), "toxic-sample")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # The classes are sampled apart: what follows uses their shares among all training labels.
+    share = known.where(training & F.col("label").isin(0, 1)).agg(F.avg("label")).first()[0] or 0.0
+    unlearnt = Model([], np.zeros(0), 0.0, 0.0, 0.0, min(share, 0.49))
     if len(sizes) < 2:
-        total = sum(sizes.values())
-        return Model([], np.zeros(0), 0.0, 0.0, 0.0, (sizes.get(1, 0) + 1) / (total + 2) if sizes.get(1) else 0.0)
+        return unlearnt
     chosen = choose(rows, landmarks)
     if not any(toxic for _, toxic in chosen):
-        return Model([], np.zeros(0), 0.0, 0.0, 0.0, sizes[1] / sum(sizes.values()))
+        return unlearnt
     units = [u for u, _ in chosen]
     found = _unit_kernels(rows, chosen, per_doc).toPandas().sort_values("doc", kind="stable")  # bounded by the sample
     k = np.array(found["k"].tolist(), float)
@@ -459,8 +448,6 @@ def train(
         strength = x @ w
     best = np.maximum(np.maximum.reduceat(strength, first), 0) + bias
     y = toxic[first].astype(float)
-    # The classes were sampled apart: the curve uses their shares among all training labels.
-    share = known.where(training & F.col("label").isin(0, 1)).agg(F.avg("label")).first()[0]
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     slope, shift = _logistic(best, y, weight)
     return Model(units, (root @ w).astype(np.float32), bias, max(slope, 0.0), shift)

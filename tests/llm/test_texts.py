@@ -86,6 +86,55 @@ def test_toxic_without_labels_calls_nothing_toxic(spark):
     assert toxic_ssk.apply(docs.where("false"), model, ["doc_id"]).collect() == []
 
 
+def test_kernel_counts_wide_and_small_values():
+    words = ["mxorxon", "moqrxonz", "mxoxrxoxn", "iiidddiiiooottt", "table"]
+    near = toxic_ssk.Landmarks(["moron", "idiot"]).kernel(words)
+    span = range(20)
+    def feats(w):
+        out = {}
+        for i in itertools.combinations(span[: len(w)], 3):
+            u = "".join(w[k] for k in i)
+            out[u] = out.get(u, 0) + toxic_ssk.DECAY ** (i[-1] - i[0] + 1)
+        return out
+    dot = lambda a, b: sum(v * b.get(u, 0) for u, v in a.items())
+    for w, row in zip(words, near, strict=True):
+        for mark, got in zip(("moron", "idiot"), row, strict=True):
+            a, b = feats(w), feats(mark)
+            want = dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+            assert got == pytest.approx(want**toxic_ssk.POWER, abs=2e-3, rel=1e-2)
+    assert (near[:4].max(1) > 0).all() and near[3, 1] > 0.5
+
+
+def test_toxic_recall_of_inserted_letters(spark):
+    rows = _talk(240, 1)
+    rude = ["moronix", "moronar", "scumble", "idiotec"]
+    put = lambda w, gaps: "".join(c + ("q" if i in gaps else "") for i, c in enumerate(w))
+    forms = {n: [put(w, g) for w in rude for g in itertools.combinations(range(len(w) - 1), n)] for n in (1, 2)}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int")
+    scorer = toxic_ssk.Scorer(toxic_ssk.train(docs, labels, F.lit(True)))
+    recall = (scorer.scores([f"the river {w} runs" for w in forms[1]]) >= 0.5).mean()
+    assert recall >= 0.8
+    clean = scorer.strongest(sorted({w for _, t, y in rows if not y for w in t.strip(".").split()})).max()
+    assert (scorer.strongest(forms[2]) > clean).mean() >= 0.8
+    assert (scorer.strongest([put(w, range(len(w) - 1)) for w in rude]) > 0).all()
+
+
+def test_toxic_fallbacks_call_nothing_toxic(spark):
+    docs = spark.createDataFrame([(i, f"plain{i} words") for i in range(8)], "doc_id long, text string")
+    for ys in ([1] * 8, [0, 1] * 4):  # label 1 only; no unit that speaks for it
+        labels = spark.createDataFrame(list(enumerate(ys)), "doc_id long, toxic int")
+        model = toxic_ssk.train(docs, labels, F.lit(True))
+        assert model.fallback is not None and model.fallback < 0.5
+        assert all(r["score"] < 0.5 for r in toxic_ssk.apply(docs, model, ["doc_id"]).collect())
+
+
+def test_rare_insults_are_landmarks(spark):
+    rows = [(str(i), "calm river words" + (" scumble" if i < 3 else ""), int(i % 2 == 0 and i < 20 or i < 3)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc string, text string, label int")
+    assert ("scumble", True) in toxic_ssk.choose(frame, 16)
+
+
 def test_posterior_is_the_density_ratio():
     rng = np.random.default_rng(3)
     means, covs = rng.normal(size=(2, 3)), [np.diag([1.0, 2, 3]), np.array([[2.0, 0.5, 0], [0.5, 1, 0.2], [0, 0.2, 1]])]
