@@ -574,6 +574,11 @@ def statements() -> dict[str, str]:
       round(avg(value), 6) AS mean_value, count(*) AS n_rows FROM events
       WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"""
 
+    q["stream_windows_all"] = """SELECT event_type AS run, strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
+      round(avg(value), 6) AS mean_value, count(*) AS n_rows,
+      date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) AS closed FROM events
+      GROUP BY event_type, date_trunc('day', ts)"""
+
     banded = f"{band}, toked AS (SELECT *, {toks('document')} AS t FROM band)"
     q["flagship"] = f"""{all_rows('band', banded)}, sides AS (SELECT method || '/' || quantity || '/' || a.id AS id, method, quantity, {rtoks('p.summary')} AS r,
         {rtoks(joined('(' + toks('shortened_document') + ')[1:36]'))} AS h FROM allrows a JOIN band p USING (id) WHERE quantity IN ({", ".join(f"'{n}'" for n in BUDGETS)})),

@@ -66,6 +66,37 @@ def write_windows(means: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def every_window(log: DataFrame, time: str = "ts", delay: str = "1 day", width: str = "1 day") -> DataFrame:
+    """``windowed_means`` with window_end and the window's newest event, for ``write_every_window``."""
+    return (
+        log.withWatermark(time, delay)
+        .groupBy("run", F.window(time, width).alias("w"))
+        .agg(F.avg("value").alias("mean_value"), F.count("*").alias("n_rows"), F.max(time).alias("newest"))
+        .select("run", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean_value", "n_rows", "newest")
+    )
+
+
+def write_every_window(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the windows that each batch changed, open ones included; a replayed batch overwrites itself."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        means.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def read_every_window(spark: SparkSession, path: str, delay: str = "1 day") -> DataFrame:
+    """Newest state of every window, and whether the watermark has closed it."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("newest").alias("seen"))  # one row
+    last = rows.groupBy("run", "window_start", "window_end").agg(F.max_by(F.struct("mean_value", "n_rows"), "batch").alias("m"))
+    closed = F.col("window_end") <= F.col("seen") - F.expr(f"INTERVAL {delay}")
+    return last.crossJoin(newest).select("run", "window_start", "m.mean_value", "m.n_rows", closed.alias("closed"))
+
+
 def write_running(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the newest full result: every batch replaces the table of running means."""
 

@@ -35,6 +35,16 @@ def test_query_matches_sql(spark, duck, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, cur.fetchall())
 
 
+def test_stream_windows_hold_all_events(spark, duck):
+    out = entry.queries()["stream_windows_all"](spark, FOLDER)
+    cur = duck.execute(entry.oracle_sql()["stream_windows_all"])
+    cols = [d[0] for d in cur.description]
+    assert rows_of(out.columns, [tuple(r) for r in out.collect()]) == rows_of(cols, cur.fetchall())
+    rows = out.collect()
+    assert sum(r["n_rows"] for r in rows) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert {r["closed"] for r in rows} == {True, False}
+
+
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
