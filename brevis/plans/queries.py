@@ -938,13 +938,13 @@ def lda_perplexity(spark, sf):
 
 @query
 def coherence_sweep(spark, sf):
-    return topics.coherence_sweep(texts(spark, sf), (2, 4, 6, 9, 14, 20, 30, 49))
+    return topics.coherence_sweep(texts(spark, sf))
 
 
 @query
 def best_k(spark, sf):
-    """The number of topics that a sweep over a narrower range prefers."""
-    return topics.best_k(topics.coherence_sweep(texts(spark, sf), range(2, 7)))
+    """The number of topics that the sweep prefers."""
+    return topics.best_k(coherence_sweep(spark, sf))
 
 
 @query
