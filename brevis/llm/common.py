@@ -29,6 +29,18 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """Join rows with a side of one row per key whose ``n`` says how many of the ``total`` rows hold the key.
+
+    At most ``most`` keys can hold a ``most``-th of the rows each; these are broadcast, so that no task gets all rows of
+    a hot key. The other keys are shuffled. ``rows`` are read twice and should be stored.
+    """
+    held = F.col("n") * most >= total
+    hot, cold = keyed.where(held), keyed.where(~held)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brevis.llm import bitplanes, bpe_words, debruijn, lsh_forest, multi_index, quality_qda, secrets, toxic_ssk, url_cascade, winnow
+from brevis.llm import (
+    bitplanes, bpe_words, chunk_recipes, debruijn, filter_audit, lsh_forest, multi_index, quality_qda, secrets, segment_resample,
+    toxic_ssk, url_cascade, winnow,
+)
 from brevis.llm.common import Query, remainder, store, table, tokenizer_file
 
 QUERIES: dict[str, Query] = {}
@@ -101,3 +104,21 @@ def op10_secret_ownership(spark: SparkSession, sf: str) -> DataFrame:
     ]
     return found.select(
         "doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op12_segment_resample(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = segment_resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
+    judged = chunk_recipes.judge(table(spark, sf, "documents"))
+    return judged.select(
+        F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

@@ -96,4 +96,4 @@ def test_run_chains_the_stages(spark, corpus):
 
 def test_numbered_queries_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
