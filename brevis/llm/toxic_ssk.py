@@ -6,7 +6,8 @@ raised to ``POWER``: shared letters in the same order count even when other lett
 between them, each step of a span costing ``DECAY``. Landmark units span the Nystrom map; a linear
 SVM over it gives a unit's value, and a sentence has the value of its strongest unit. Sentences of a
 labelled document inherit its label, and the SVM is trained as a multiple-instance problem: one unit
-of a toxic document's sentences, its witness, must be toxic, every unit of the others must not.
+of a toxic document's sentences, its witness, must be toxic, every unit of the others must not. The first landmark of a
+document is its witness, so that every landmark is learnt, not only the strongest one.
 
 Scoring evaluates each distinct word of a task once (in a table of fixed size) and takes the strongest
 sentence of the whole text, which a logistic curve turns into a score.
@@ -22,6 +23,7 @@ the key), ``landmarks`` units, and the ``per_doc`` units of a training document
 
 import hashlib
 import math
+import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -38,6 +40,10 @@ WINDOW = 20  # letters; longer words are judged by overlapping windows of this s
 SPAN = WINDOW  # subsequences of a window may stretch over all of it
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~^+=`"
 _SLOTS = 1 << 21  # remembered words of a task
+SLICE = 1024  # units whose kernels are computed at once
+CHANCE = 0.2  # share of landmarks that may speak for a class by chance
+CLEAN_SHARE = 0.01  # of the clean training documents may lie above the line between the classes
+TOLERANCE = 0.15  # of the way from them to the toxic documents the line may at least take
 _NONE = 31  # a sign: takes room in a gap, matches nothing
 
 
@@ -140,8 +146,8 @@ class Landmarks:
                 if len(part) >= 3:
                     sized.setdefault(len(part), []).append((i, part))
         for group in sized.values():
-            for at in range(0, len(group), 1024):
-                some = group[at : at + 4096]
+            for at in range(0, len(group), SLICE):
+                some = group[at : at + SLICE]
                 codes = _matrix([p for _, p in some])
                 ids, decay = _triples(codes)
                 rows = np.ascontiguousarray(self.rows[ids].T)
@@ -330,27 +336,97 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label int, unit string")
 
 
+def evidence(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio of document counts against the share of label 1, 0 where they speak for label 0."""
+    n = pos + neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(pos > 0, pos * np.log(pos / (n * share)), 0.0)
+        b = np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0.0)
+    return np.where(pos > n * share, a + b, 0.0)
+
+
+def _cover(neg: np.ndarray, held: list, share: float, tested: int, most: int) -> list:
+    """Places of units picked one by one, each by its independent evidence for label 1.
+
+    ``held`` has, for each document of label 1, the places of its units and the neighbours each stands between. A unit's
+    evidence counts the documents that no earlier pick is in, and of the others only different neighbours: words that
+    merely come along with an insult in copies of one document are not taken, while insults that share documents
+    are. A pick must be unlikely to be chance among all ``tested`` units, by the bound of a false-discovery rate of ``CHANCE``,
+    which adapts to the sample, so a rare insult of a small corpus is taken.
+    """
+    free, seen, out = np.zeros(len(neg)), [set() for _ in neg], []
+    for units, _ in held:
+        free[units] += 1
+    left = list(held)
+    while len(out) < min(most, len(neg)):
+        g = evidence(free + [len(s) for s in seen], neg, share)
+        g[out] = 0
+        best = int(np.argmax(g))
+        if math.erfc(math.sqrt(max(g[best], 0.0))) > CHANCE * (len(out) + 1) / max(tested, 1):
+            break
+        out.append(best)
+        still = []
+        for units, around in left:
+            if best in units:
+                free[units] -= 1
+                for u, a in zip(units, around, strict=True):
+                    seen[u].add(a)
+            else:
+                still.append((units, around))
+        left = still
+    return out
+
+
+def _held(rows: DataFrame, units: list) -> list:
+    """For each document of label 1 the places in ``units`` of its units, and a code of each one's neighbours."""
+    sent = rows.sparkSession.sparkContext.broadcast({u: i for i, u in enumerate(units)})
+
+    def found(text):
+        known, out = sent.value, {}
+        for s in sentences(text):
+            for before, unit, after in zip([""] + s[:-1], s, s[1:] + [""], strict=True):
+                if unit in known:
+                    around = zlib.crc32(f"{before} {after}".encode())
+                    out[known[unit]] = min(out.get(known[unit], around), around)  # one place of each document
+        return sorted(out.items())
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b, "text", 1 << 20):
+                bags = [found(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([[u for u, _ in bag] for bag in bags], pa.list_(pa.int32())),
+                    pa.array([[a for _, a in bag] for bag in bags], pa.list_(pa.int64()))], ["held", "around"])
+
+    toxic = rows.where("label = 1").select("text").mapInArrow(run, "held array<int>, around array<long>")
+    return [(r["held"], r["around"]) for r in toxic.collect()]  # bounded by the sample
+
+
 def choose(rows: DataFrame, landmarks: int) -> list:
-    """(unit, toxic) landmarks: those whose document frequency speaks most for a class, by signed likelihood ratio."""
+    """(unit, toxic) landmarks: units that speak for a class by the documents they are in, beyond what chance allows.
+
+    Those for label 1 cover its documents one after the other (``_cover``), out of the ``4 * landmarks`` of highest likelihood
+    ratio; those for label 0, an eighth at most, are taken by that ratio alone.
+    """
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counted = _units(rows).groupBy("unit").agg(
         F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg")).where(F.col("pos") + F.col("neg") >= 2)
-    total = sizes[0] + sizes[1]
+    share = sizes[1] / (sizes[0] + sizes[1])
     n = F.col("pos") + F.col("neg")
 
     def part(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    evidence = part(F.col("pos"), n * (sizes[1] / total)) + part(F.col("neg"), n * (sizes[0] / total))
-    for_toxic = F.col("pos") / n > sizes[1] / total
-    named = counted.where(F.length("unit") <= WINDOW).select("unit", evidence.alias("g"), for_toxic.alias("toxic"))
-    named = store(named.where(F.col("g") > 0), "toxic-units")
-    many = landmarks * 7 // 8
-    top = [
-        *named.where("toxic").orderBy(F.desc("g"), "unit").limit(many).collect(),
-        *named.where("NOT toxic").orderBy(F.desc("g"), "unit").limit(landmarks - many).collect(),
-    ]
-    return [(r["unit"], r["toxic"]) for r in top]
+    ratio = part(F.col("pos"), n * share) + part(F.col("neg"), n * (1 - share))
+    for_toxic = F.col("pos") / n > share
+    named = store(counted.where(F.length("unit") <= WINDOW).select("unit", "pos", "neg", ratio.alias("g"), for_toxic.alias("toxic")), "toxic-units")
+    tested = named.count()
+    toxic = named.where("toxic").orderBy(F.desc("g"), "unit").limit(4 * landmarks).collect()
+    clean = named.where("NOT toxic").orderBy(F.desc("g"), "unit").limit(landmarks // 8).collect()
+    held = _held(rows, [r["unit"] for r in toxic])
+    picked = _cover(np.array([r["neg"] for r in toxic], float), held, share, tested, landmarks - landmarks // 8)
+    mild = [r for i, r in enumerate(clean) if math.erfc(math.sqrt(max(r["g"], 0.0))) <= CHANCE * (i + 1) / max(tested, 1)]
+    return [(toxic[i]["unit"], True) for i in picked] + [(r["unit"], False) for r in mild]
 
 
 def _unit_kernels(rows: DataFrame, chosen: list, per_doc: int) -> DataFrame:
@@ -383,16 +459,22 @@ def _unit_kernels(rows: DataFrame, chosen: list, per_doc: int) -> DataFrame:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 1000.0, rounds: int = 60) -> tuple:
-    """Linear SVM with squared hinge, classes weighted evenly, by Newton steps in the primal."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
+    """Linear SVM with squared hinge, classes weighted evenly, by Newton steps in the primal, summed in slabs of rows."""
+    size = x.shape[1] + 1
+    w = np.zeros(size)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost / len(y) * 100
-    penalty = np.eye(a.shape[1])
+    penalty = np.eye(size)
     penalty[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (a @ w) < 1
-        aa, wa = a[active], weight[active][:, None]
-        new = np.linalg.solve(penalty + (aa * wa).T @ aa, (aa * wa).T @ y[active])
+        square, side = penalty.copy(), np.zeros(size)
+        for at in range(0, len(x), 4096):
+            a = np.hstack([x[at : at + 4096], np.ones((len(x[at : at + 4096]), 1))]).astype(float)
+            own = y[at : at + 4096]
+            active = own * (a @ w) < 1
+            a, own, wa = a[active], own[active], weight[at : at + 4096][active]
+            square += (a * wa[:, None]).T @ a
+            side += a.T @ (wa * own)
+        new = np.linalg.solve(square, side)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -429,20 +511,25 @@ def train(
     if not any(toxic for _, toxic in chosen):
         return unlearnt
     units = [u for u, _ in chosen]
-    found = _unit_kernels(rows, chosen, per_doc).toPandas().sort_values("doc", kind="stable")  # bounded by the sample
-    k = np.array(found["k"].tolist(), float)
+    # Bounded by the sample: per_doc rows of one number per landmark for each of its documents.
+    found = _unit_kernels(rows, chosen, per_doc).toArrow()
+    order = np.argsort(found.column("doc").to_numpy().astype(str), kind="stable")
+    k = found.column("k").combine_chunks().flatten().to_numpy().reshape(-1, len(units))[order]
+    doc, toxic = found.column("doc").to_numpy()[order], found.column("label").to_numpy()[order] == 1
+    del found
     near = Landmarks(units).kernel(units).astype(float)
     vals, vecs = np.linalg.eigh((near + near.T) / 2)
     root = vecs / np.sqrt(np.maximum(vals, 1e-3))  # Nystrom map: kernels times the landmarks' inverse root
-    x, toxic = k @ root, found["label"].to_numpy() == 1
-    doc = found["doc"].to_numpy()
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     strength = k[:, [t for _, t in chosen]].max(1)
-    for _ in range(4):  # which unit makes a toxic document toxic
+    x = k @ root.astype(np.float32)
+    del k
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    exact = strength >= 0.999
+    for _ in range(4):  # which unit makes a toxic document toxic: its first landmark, else the strongest unit
         witness = np.zeros(len(x), bool)
         for s, e in zip(first, np.r_[first[1:], len(x)], strict=True):
             if toxic[s]:
-                witness[s + int(np.argmax(strength[s:e]))] = True
+                witness[s + int(np.argmax(exact[s:e] if exact[s:e].any() else strength[s:e]))] = True
         used = witness | ~toxic
         w, bias = _svm(x[used], np.where(witness[used], 1.0, -1.0))
         strength = x @ w
@@ -450,4 +537,9 @@ def train(
     y = toxic[first].astype(float)
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     slope, shift = _logistic(best, y, weight)
-    return Model(units, (root @ w).astype(np.float32), bias, max(slope, 0.0), shift)
+    if slope <= 0:
+        return unlearnt
+    # Where the classes lie apart, distorted insults fall between them: the line is then drawn near the clean documents.
+    high, middle = np.quantile(best[~toxic[first]], 1 - CLEAN_SHARE), np.median(best[toxic[first]])
+    line = min(-shift / slope, high + TOLERANCE * max(middle - high, 0.0))
+    return Model(units, (root @ w).astype(np.float32), bias, slope, -slope * line)
