@@ -96,3 +96,67 @@ BOILERPLATE_CLEAN = ("marketwatch", "company", "dow jones network")
 
 # Part-of-speech buckets in matching order.
 TAG_BUCKETS = (("NN", "nouns"), ("VB", "verbs"), ("JJ", "adjs"), ("RB", "advs"), ("CD", "cardinals"))
+
+# Irregular English verbs: base form, then its other forms.
+IRREGULAR_VERBS = """be am is are was were been being
+have has had having
+do does did done
+go goes went gone
+say said
+make made
+take took taken
+come came
+see saw seen
+get got gotten
+know knew known
+think thought
+give gave given
+find found
+tell told
+become became
+leave left
+feel felt
+bring brought
+begin began begun
+keep kept
+hold held
+write wrote written
+stand stood
+hear heard
+mean meant
+meet met
+run ran
+pay paid
+sit sat
+speak spoke spoken
+lead led
+grow grew grown
+lose lost
+fall fell fallen
+send sent
+build built
+understand understood
+draw drew drawn
+break broke broken
+spend spent
+rise rose risen
+drive drove driven
+buy bought
+wear wore worn
+choose chose chosen
+seek sought
+throw threw thrown
+catch caught
+deal dealt
+win won
+forget forgot forgotten
+teach taught
+eat ate eaten
+fight fought
+sell sold
+sing sang sung
+swim swam swum
+fly flew flown
+drink drank drunk
+shake shook shaken
+steal stole stolen"""

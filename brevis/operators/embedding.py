@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from brevis.functions.scale import spread_join, values_of
+from brevis.functions import text as T
+from brevis.functions.scale import pin, spread_join, values_of
 
 RESULT = StructType([StructField(n, DoubleType()) for n in ("precision", "recall", "f1")])
 
@@ -20,16 +21,18 @@ def token_bags(pairs: DataFrame, ref_tokens: str, hyp_tokens: str, lookup: DataF
         F.struct(F.lit("ref").alias("side"), F.col(ref_tokens).alias("toks")),
         F.struct(F.lit("hyp").alias("side"), F.col(hyp_tokens).alias("toks")),
     )
-    toks = values_of(pairs.select("id", F.inline(sides)), ["id", "side"], F.col("toks"), "token")
-    counted = toks.groupBy("id", "side", "token").agg(F.count("*").alias("n"))
-    found = spread_join(counted, lookup, ["token"])
+    # A row is known by a number, so null and repeated ids keep their own bags.
+    rows = pin(pairs.select("id", sides.alias("_sides")).withColumn("_row", F.monotonically_increasing_id()))
+    counted = T.runs(F.col("toks"))  # inside the row
+    toks = values_of(rows.select("_row", F.inline("_sides")), ["_row", "side"], counted, "t")
+    found = spread_join(toks.select("_row", "side", F.col("t.word").alias("token"), F.col("t.n").cast("long").alias("n")), lookup, ["token"])
     entry = F.struct("token", "n", "vector")
-    bags = found.groupBy("id").agg(
+    bags = found.groupBy("_row").agg(
         F.collect_list(F.when(F.col("side") == "ref", entry)).alias("ref"),
         F.collect_list(F.when(F.col("side") == "hyp", entry)).alias("hyp"),
     )
     empty = F.array().cast("array<struct<token:string,n:bigint,vector:array<double>>>")
-    whole = pairs.select("id").join(bags.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    whole = rows.select("id", "_row").join(bags, "_row", "left")
     return whole.select("id", F.coalesce("ref", empty).alias("ref"), F.coalesce("hyp", empty).alias("hyp"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import number_by_digest, number_rows, spread_join, unfold, values_of
+from brevis.functions.scale import number_by_digest, number_rows, unfold, values_of
 
 METHODS = (
     "full", "head", "tail", "headtail0.2", "headtail0.5", "stopwords", "stopwords_neg",
@@ -75,6 +75,7 @@ def validate_params(df: DataFrame) -> DataFrame:
 
 def shuffle_seeded(df: DataFrame, seed: int = 42, name: str = "position") -> DataFrame:
     """A seeded permutation that no partitioning can change: positions in md5(seed, id) order."""
+    # A null id has no digest; it comes first and keeps its row.
     keyed = df.withColumn("_digest", F.md5(F.concat(F.lit(str(seed)), F.col("id"))))
     return number_by_digest(keyed, "_digest", "id", name).drop("_digest")
 
@@ -108,7 +109,7 @@ def mask_words(df: DataFrame, mask: DataFrame, column: str = "document") -> Data
     # A row is known by its id and the hash of its text, so null and repeated ids keep their rows.
     signed = df.withColumn("_sign", F.xxhash64(F.col(column)))
     exploded = unfold(signed, ["id", "_sign"], toks, "_pos", "term")
-    kept = spread_join(exploded, terms.withColumn("_hit", F.lit(1)), ["term"], "left").where(F.col("_hit").isNull())
+    kept = exploded.join(terms, "term", "left_anti")
     texts = kept.groupBy(F.col("id").alias("_id"), F.col("_sign").alias("_s")).agg(
         F.sort_array(F.collect_set(F.struct("_pos", "term"))).alias("_kept"))
     words = F.transform(F.coalesce("_kept", F.array().cast("array<struct<_pos:int,term:string>>")), lambda x: x["term"])

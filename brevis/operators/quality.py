@@ -36,8 +36,8 @@ def length_hist(df: DataFrame, column: str, bins: int, by: tuple = (), low=None,
     value = F.col(column).cast("double")
     data = df.where(value.isNotNull())
     if low is None or high is None:
-        limits = data.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-        ranged = spread_join(data.select(*by, value.alias("_v")), limits, list(by)) if by else (
+        limits = data.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_held"))
+        ranged = spread_join(data.select(*by, value.alias("_v")), limits, list(by), held="_held", nulls=True) if by else (
             data.select(value.alias("_v"))
             .withColumn("_low", limits.select("_low").scalar())
             .withColumn("_high", limits.select("_high").scalar())
@@ -50,7 +50,9 @@ def length_hist(df: DataFrame, column: str, bins: int, by: tuple = (), low=None,
     counted = ranged.groupBy(*by, "_low", "_high", place.cast("int").alias("bin")).agg(F.count("*").alias("n_rows"))
     groups = counted.select(*by, "_low", "_high").distinct()
     frame = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    filled = frame.join(counted.select(*by, "bin", "n_rows"), [*by, "bin"], "left")
+    own = counted.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("bin").alias("_bin"), "n_rows")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    filled = frame.join(own, [*same, F.col("bin") == F.col("_bin")], "left")
     step = (F.col("_high") - F.col("_low")) / bins
     return filled.select(
         *by, "bin", (F.col("_low") + F.col("bin") * step).alias("bin_start"),
@@ -63,7 +65,9 @@ def score_quantiles(df: DataFrame, value: str, tie: str = "id", by: tuple = ())
     inner = exact_quantiles(df, value, tie, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, by)
     ends = df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     if by:
-        return ends.join(inner, list(by))
+        named = inner.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)})
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+        return ends.join(named, same).drop(*[f"_g{i}" for i in range(len(by))])
     # Two one-row frames: each value enters as a scalar.
     for name in ("p10", "p50", "p90"):
         ends = ends.withColumn(name, inner.select(name).scalar())

@@ -1,12 +1,13 @@
 """Vocabulary, id encoding and word normalisation."""
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from brevis import constants as K
 from brevis.functions import text as T
-from brevis.functions.scale import number_rows, spread_join, values_of
+from brevis.functions.scale import number_rows, pin, spread_join, values_of
+from brevis.functions.snowball import snowball_stem
 
 
 def build_vocab(df: DataFrame, toks: Column) -> DataFrame:
@@ -24,28 +25,43 @@ def id_vocab(df: DataFrame, toks: Column) -> DataFrame:
     return ranked.select("term", "freq", (F.col("word_id") + K.FIRST_WORD_ID).cast("int").alias("word_id"))
 
 
-def encode_ids(df: DataFrame, vocab: DataFrame, column: str = "document", limit: int = 512) -> DataFrame:
-    """id, ids: word ids cut at ``limit`` with the end mark last, unknown words dropped.
+def encode_columns(df: DataFrame, vocab: DataFrame, limits: dict, keep: tuple = ("id",), unknown: int | None = None) -> DataFrame:
+    """``keep`` columns and for each text column (column -> limit) its word ids, cut at the limit with the end mark last.
 
-    Only the distinct words of a document travel to the vocabulary and back; the order of the words
-    stays in the document's row.
+    Only the distinct words of a row travel to the vocabulary and back, for all its columns at once; the order of the
+    words stays in the row. The words that can be needed are stored once with a row number, so null and repeated ids
+    keep their rows. Unknown words get the id ``unknown``, or are dropped without one.
     """
-    toks = df.select("id", F.slice(T.tokens(F.col(column)), 1, limit - 1).alias("_toks"))
-    kinds = values_of(toks, ["id"], F.array_distinct("_toks"), "term")
-    known = spread_join(kinds, vocab.select("term", "word_id"), ["term"])
-    maps = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "word_id"))).alias("_m"))
-    looked = F.transform("_toks", lambda t: F.try_element_at("_m", t))
-    ids = F.concat(F.array_compact(F.coalesce(looked, F.array().cast("array<int>"))), F.array(F.lit(K.EOS_ID)))
-    return toks.join(maps, "id", "left").select("id", ids.alias("ids"))
+    cut = {c: F.slice(T.tokens(F.col(c)), 1, limit - 1).alias(f"_{i}") for i, (c, limit) in enumerate(limits.items())}
+    rows = pin(df.select(*keep, *cut.values()).withColumn("_row", F.monotonically_increasing_id()))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(*[F.coalesce(f"_{i}", none) for i in range(len(cut))]))
+    kinds = values_of(rows, ["_row"], every, "term")
+    known = spread_join(kinds, vocab.select("term", "word_id", "freq"), ["term"], held="freq")
+    maps = known.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "word_id"))).alias("_m"))
+    end, missing = F.array(F.lit(K.EOS_ID)), F.lit(unknown).cast("int")
+
+    def looked(words: str) -> Column:
+        found = F.transform(words, lambda t: F.coalesce(F.try_element_at("_m", t), missing))
+        return F.concat(F.array_compact(F.coalesce(found, F.array().cast("array<int>"))), end)
+
+    met = rows.join(maps, "_row", "left")
+    return met.select(*keep, *[looked(f"_{i}").alias(c) for i, c in enumerate(limits)])
+
+
+def encode_ids(df: DataFrame, vocab: DataFrame, column: str = "document", limit: int = 512, unknown: int | None = None) -> DataFrame:
+    """id, ids of one text column (``encode_columns``)."""
+    return encode_columns(df, vocab, {column: limit}, unknown=unknown).withColumnRenamed(column, "ids")
 
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """id, text: ids back to words, special ids skipped."""
-    kinds = values_of(encoded, ["id"], F.array_distinct("ids"), "word_id")
-    known = spread_join(kinds, vocab.select("word_id", "term"), ["word_id"])
-    maps = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word_id", "term"))).alias("_m"))
+    """id, text: ids back to words, special ids skipped. Rows are stored once under a number, so ids may repeat or be null."""
+    rows = pin(encoded.select("id", "ids").withColumn("_row", F.monotonically_increasing_id()))
+    kinds = values_of(rows, ["_row"], F.array_distinct("ids"), "word_id")
+    known = spread_join(kinds, vocab.select("word_id", "term", "freq"), ["word_id"], held="freq")
+    maps = known.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word_id", "term"))).alias("_m"))
     words = F.array_compact(F.transform("ids", lambda i: F.try_element_at("_m", i)))
-    return encoded.join(maps, "id", "left").select("id", F.coalesce(F.array_join(words, " "), F.lit("")).alias("text"))
+    return rows.join(maps, "_row", "left").select("id", F.coalesce(F.array_join(words, " "), F.lit("")).alias("text"))
 
 
 def train_head(ids: Column, budget: int) -> Column:
@@ -231,3 +247,26 @@ def stemmed_lines(lines: pd.Series) -> pd.Series:
 def stem_vocab(df: DataFrame, toks: Column) -> DataFrame:
     """word, stem for the distinct words of a corpus."""
     return values_of(df, [], toks, "word").distinct().withColumn("stem", _stems("word"))
+
+
+@F.pandas_udf(StringType())
+def _snowball_stems(words: pd.Series) -> pd.Series:
+    return words.map(snowball_stem)
+
+
+def verb_lemmas(spark: SparkSession) -> DataFrame:
+    """word, lemma of the irregular verb forms."""
+    rows = [(form, verb) for line in K.IRREGULAR_VERBS.split("\n") for verb, *forms in [line.split()] for form in forms]
+    return spark.createDataFrame(rows, "word string, lemma string")
+
+
+def lemma_stem_vocab(df: DataFrame, toks: Column, lemmas: DataFrame | None = None) -> DataFrame:
+    """word, lemma, stem for the distinct words of a corpus: the verb's base form if the table has one, then its Porter2 stem.
+
+    ``lemmas`` (word, lemma; one row per word) replaces the table of irregular verbs, as a full dictionary would.
+    Regular endings are left to the stemmer. Null words are left out.
+    """
+    words = values_of(df, [], toks, "word").distinct()
+    known = lemmas if lemmas is not None else verb_lemmas(df.sparkSession)
+    based = words.join(known, "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
+    return based.withColumn("stem", _snowball_stems("lemma"))

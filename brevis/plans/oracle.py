@@ -302,6 +302,9 @@ def statements() -> dict[str, str]:
     q["length_profile"] = f"""WITH {PROFILE} SELECT row_number() OVER (ORDER BY id) - 1 AS "index", id, document AS doc_text,
       summary AS target_text, doc_len, sum_len FROM profile"""
     q["read_length_profile"] = q["length_profile"]
+    # The given files hold their rows in doc_id order.
+    q["length_profile_in_file_order"] = f"""WITH {PROFILE}, placed AS (SELECT doc_id::VARCHAR AS id, row_number() OVER (ORDER BY doc_id) - 1 AS "index" FROM documents)
+      SELECT "index", id, document AS doc_text, summary AS target_text, doc_len, sum_len FROM profile JOIN placed USING (id)"""
     q["read_shortened"] = f"""WITH {TOKED} SELECT id, document, {head_sql(373)[0]} AS shortened_document, summary
       FROM toked WHERE {SPLIT} = 'train'"""
     q["write_shortened"] = f"WITH {TOKED} {grid_sql(f'id, {SPLIT} AS split, {ntok(DOC)}::BIGINT AS document_len')}"
@@ -556,6 +559,24 @@ def statements() -> dict[str, str]:
         FROM couples c JOIN single x ON x.term = c.a JOIN single y ON y.term = c.b LEFT JOIN both_n z ON z.topic = c.topic AND z.a = c.a AND z.b = c.b)
       SELECT topic, round(avg(m), 6) AS coherence, count(*) AS n_pairs FROM scored GROUP BY topic"""
 
+    q["topic_coherence_cv"] = f"""WITH {lang_terms}, tops AS ({top.format(n=10)}),
+      lists AS (SELECT id, {terms('document')} AS ts FROM texts),
+      total AS (SELECT sum(greatest(len(ts) - 109, 1)) AS n FROM lists WHERE len(ts) > 0),
+      occ AS (SELECT id, len(ts) AS size, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS p FROM lists),
+      win AS (SELECT DISTINCT id, term, unnest(range(greatest(p - 109, 0), least(p, greatest(size - 110, 0)) + 1)) AS w
+        FROM occ WHERE term IN (SELECT term FROM tops)),
+      couples AS (SELECT a.topic, a.term, b.term AS other FROM tops a JOIN tops b ON a.topic = b.topic),
+      kinds AS (SELECT DISTINCT least(term, other) AS a, greatest(term, other) AS b FROM couples),
+      held AS (SELECT a, b, count(*) AS n FROM kinds JOIN win x ON x.term = a JOIN win y ON y.term = b AND y.id = x.id AND y.w = x.w GROUP BY a, b),
+      single AS (SELECT a AS term, n FROM held WHERE a = b),
+      vec AS (SELECT c.topic, c.term, c.other, CASE WHEN h.n = t.n THEN 1.0 ELSE
+        ln((coalesce(h.n, 0)::DOUBLE / t.n + 1e-12) / ((x.n::DOUBLE / t.n) * (y.n::DOUBLE / t.n))) / -ln(coalesce(h.n, 0)::DOUBLE / t.n + 1e-12) END AS v
+        FROM couples c CROSS JOIN total t JOIN single x ON x.term = c.term JOIN single y ON y.term = c.other
+        LEFT JOIN held h ON h.a = least(c.term, c.other) AND h.b = greatest(c.term, c.other)),
+      whole AS (SELECT topic, other, sum(v) AS s FROM vec GROUP BY topic, other),
+      cosine AS (SELECT topic, term, sum(v * s) / sqrt(sum(v * v) * sum(s * s)) AS c FROM vec JOIN whole USING (topic, other) GROUP BY topic, term)
+      SELECT topic, round(avg(c), 6) AS coherence, count(*) AS n_words FROM cosine GROUP BY topic"""
+
     q["extract_headlines"] = f"WITH {elements('h1')} SELECT * FROM items"
     q["extract_paragraphs"] = f"WITH {elements('p')} SELECT * FROM items"
     q["extract_timestamps"] = f"WITH {elements('div', 'ad', 'stamp')} SELECT * FROM items"

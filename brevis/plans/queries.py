@@ -8,7 +8,7 @@ from brevis import constants as K
 from brevis.functions import text as T
 from brevis.functions.scale import fresh_dir, values_of
 from brevis.operators import (
-    embedding, extractive, filters, headlines, mining, quality, rouge, runlog, shorten, tokens, topics,
+    coherence, embedding, extractive, filters, headlines, mining, quality, rouge, runlog, shorten, tokens, topics,
 )
 from brevis.plans import grid
 from brevis.sources import corpus, tables
@@ -24,7 +24,10 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; ``brevis.parts`` deals the rows of files with few row groups out anew (off unless the caller sets it)."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    parts = spark.conf.get("brevis.parts", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,6 +80,13 @@ def length_profile(spark, sf):
     return longs(tables.length_profile(pairs(spark, sf)), "doc_len", "sum_len")
 
 
+@query
+def length_profile_in_file_order(spark, sf):
+    """The profile with each row's place in the files as its index."""
+    pairs_of = lambda df, index: corpus.pairs_from_texts(df, "doc_id", "text", (index,))
+    return longs(tables.length_profile_of_files(spark, f"{sf}/documents.parquet", pairs_of), "doc_len", "sum_len")
+
+
 @query
 def read_length_profile(spark, sf):
     path = fresh_dir(spark, "profile")
@@ -350,9 +360,8 @@ def decode_ids(spark, sf):
 def pack_features(spark, sf):
     p = pairs(spark, sf)
     vocab = tokens.id_vocab(texts(spark, sf), T.tokens(F.col("document")))
-    source = tokens.encode_ids(p, vocab)
-    target = tokens.encode_ids(p, vocab, "summary", K.TARGET_LIMIT).withColumnRenamed("ids", "target_ids")
-    packed = tokens.pack_features(source.join(target, "id"))
+    both = tokens.encode_columns(p, vocab, {"document": 512, "summary": K.TARGET_LIMIT})
+    packed = tokens.pack_features(both.withColumnsRenamed({"document": "ids", "summary": "target_ids"}))
     return packed.select("id", csv_of("input_ids"), csv_of("mask"), csv_of("decoder_ids"), csv_of("labels"))
 
 
@@ -399,6 +408,12 @@ def stem_vocab(spark, sf):
     return tokens.stem_vocab(texts(spark, sf), tokens.simple_preprocess(F.col("document")))
 
 
+@query
+def stem_vocab_lemmas(spark, sf):
+    """Base forms of irregular verbs, then Porter2 stems."""
+    return tokens.lemma_stem_vocab(texts(spark, sf), tokens.simple_preprocess(F.col("document")))
+
+
 @query
 def clean_text(spark, sf):
     return texts(spark, sf).select("id", tokens.clean_text(F.col("document")).alias("document"))
@@ -910,6 +925,13 @@ def topic_coherence(spark, sf):
     return rounded(topics.topic_coherence(top, mining.term_counts(t), mining.document_count(t)), "coherence")
 
 
+@query
+def topic_coherence_cv(spark, sf):
+    """The same topic words by sliding windows of 110 terms."""
+    top = mining.topk_by_group(_lang_terms(spark, sf), "topic", 10).select("topic", "term")
+    return rounded(coherence.topic_coherence_cv(top, texts(spark, sf)), "coherence")
+
+
 @query
 def lda_fit(spark, sf):
     vectors, found = topics.features(texts(spark, sf))

@@ -41,13 +41,14 @@ def split_assign(df: DataFrame) -> DataFrame:
     return df.withColumn("split", split_name(F.col("id")))
 
 
-def pairs_from_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """First sentence as summary, the remaining raw text as document."""
+def pairs_from_texts(df: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
+    """First sentence as summary, the remaining raw text as document; ``keep`` columns are carried along."""
     # Two independent single-pass expressions: a filter on one of them repeats no other.
     return df.select(
         F.col(id_col).cast("string").alias("id"),
         F.trim(F.regexp_replace(text_col, r"^[.!?\n]*" + K.SENTENCE, "")).alias("document"),
         F.trim(F.regexp_extract(text_col, K.SENTENCE, 0)).alias("summary"),
+        *keep,
     )
 
 

@@ -1,6 +1,7 @@
 """Tables on disk: length profiles, shortened corpora, predictions, metric logs, id lists."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
@@ -19,10 +20,8 @@ CSV_OPTIONS = {
 METRIC_NAMES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
-def length_profile(pairs: DataFrame) -> DataFrame:
-    """Row index in id order, texts and token counts. Only the ids are sorted globally."""
-    order = number_rows(pairs.select("id"), ["id"], "index")
-    return pairs.join(order, "id").select(
+def _lengths(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "index",
         "id",
         F.col("document").alias("doc_text"),
@@ -32,13 +31,118 @@ def length_profile(pairs: DataFrame) -> DataFrame:
     )
 
 
+def length_profile(pairs: DataFrame) -> DataFrame:
+    """Row index in id order, texts and token counts. Only the ids are sorted globally.
+
+    A row is known by its place in the input, so null ids (which come first) and repeated ones keep their rows. The input
+    is read twice and must come in the same order each time, as rows of files do.
+    """
+    placed = pairs.select("id", "document", "summary").withColumn("_row", F.monotonically_increasing_id())
+    order = number_rows(placed.select("id", "_row"), ["id", "_row"], "index").drop("id")
+    return _lengths(placed.join(order, "_row"))
+
+
+def file_positions(spark: SparkSession, path: str, columns: list, name: str = "position") -> DataFrame:
+    """Columns of Parquet files with each row's 0-based position in file order, by path and place in the file.
+
+    A file's rows are counted from its metadata column, the counts are summed up over the files, and a row's position is
+    its file's start plus its own place: no row is sorted, shuffled or joined by content. The starts are
+    broadcast; there is one for each file, so they are no larger than the file list that planning the scan takes.
+    """
+    rows = spark.read.parquet(path).select(
+        *columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), "_file")
+    return placed.select((F.col("_start") + F.col("_place")).alias(name), *columns)
+
+
+def length_profile_of_files(spark: SparkSession, path: str, to_pairs) -> DataFrame:
+    """``length_profile`` with the index of file order; ``to_pairs`` makes id, document and summary of the rows, row by row."""
+    columns = spark.read.parquet(path).columns
+    return _lengths(to_pairs(file_positions(spark, path, columns, "index"), "index"))
+
 
 def write_length_profile(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").options(**CSV_OPTIONS, quoteAll=True).csv(path)
 
 
 def read_length_profile(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE_SCHEMA).options(**CSV_OPTIONS, multiLine=True).csv(path)
+    return read_quoted(spark, path, PROFILE_SCHEMA)
+
+
+def _assembled(batches, state: dict):
+    """Lines of file splits as records: kind 0 a whole record, 1 the end of one begun earlier, 2 the begin of an unended one,
+    3 a split that lies within one record. ``state`` has which splits begin inside quotes."""
+    split, inside, open_kind, held, out, rank = None, False, 0, [], [], 0
+
+    def closed(kind):
+        nonlocal held, rank
+        if held:
+            out.append((split[0], split[1], rank, kind, "\n".join(held)))
+            held, rank = [], rank + 1
+
+    def ended():  # of a split: what is still open goes on in the next one
+        if held:
+            closed(3 if open_kind == 1 else 2)
+
+    def batch():
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "split", "rank", "kind", "record"])
+        out.clear()
+        return made
+
+    for b in batches:
+        for file, start, line in zip(b.column("file").to_pylist(), b.column("split").to_pylist(), b.column("line").to_pylist(), strict=True):
+            if (file, start) != split:
+                ended()
+                split, rank = (file, start), 0
+                inside = state.get(split, False)
+                open_kind = 1 if inside else 0
+            held.append(line)
+            if line.count('"') % 2:
+                inside = not inside
+            if not inside:
+                closed(open_kind)
+                open_kind = 0
+        yield batch()
+    ended()
+    yield batch()
+
+
+def read_quoted(spark: SparkSession, path: str, schema: str, options: dict | None = None) -> DataFrame:
+    """Rows of CSV files whose quoted fields hold newlines; a file is read by as many tasks as it has splits.
+
+    Files are read line by line. A first pass counts the quotes of every split, whose parities, summed up
+    along each file, tell which splits begin inside a field. With that known, a second pass puts the lines of each split
+    together to records on its own. Only records that cross a border of splits are moved, one per border. Quotes must be balanced and
+    be escaped by doubling; lines end in newline. What is told to the tasks is one flag for each split that begins inside a
+    field, never more than the list of splits that planning the scan takes. A first line of names is left out.
+    """
+    options = {**CSV_OPTIONS, **(options or {})}
+    header = bool(options.pop("header", False))
+    named = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    quotes = named.groupBy("file", "split").agg(F.sum(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    inside = quotes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before % 2 = 1")
+    state = spark.sparkContext.broadcast({(r["file"], r["split"]): True for r in inside.collect()})
+    rows = named.mapInArrow(lambda batches: _assembled(batches, state.value), "file string, split long, rank long, kind int, record string")
+    parts = rows.where("kind > 0")
+    # The begin of a record, the splits within it and its end share the number of begins up to there.
+    along = Window.partitionBy("file").orderBy("split", "rank")
+    told = parts.withColumn("number", F.count_if(F.col("kind") == 2).over(along))
+    joined = told.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("split", "rank", "record"))).alias("parts")).select(
+        "file", F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"),
+        ((F.get("parts", F.lit(0))["split"] == 0) & (F.get("parts", F.lit(0))["rank"] == 0)).alias("first"))
+    whole = rows.where("kind = 0").select("file", "record", ((F.col("split") == 0) & (F.col("rank") == 0)).alias("first"))
+    records = whole.unionByName(joined)
+    if header:
+        records = records.where("NOT first")
+    parsed = F.from_csv(F.col("record"), schema, {**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}, "multiLine": "true"})
+    return records.where("record != ''").select(parsed.alias("r")).select("r.*")
 
 
 def write_shortened(df: DataFrame, path: str) -> None:
