@@ -35,6 +35,7 @@ from brevis.llm.common import pieces, store, width
 
 BLOCK = 1 << 16
 LEVEL = 3
+RANGE_CHARACTERS = 16  # of a text that tell rows of one key apart when the rows are dealt out; the order is by the whole text
 _WORDS = 1_000_000  # remembered words of a task
 
 
@@ -78,7 +79,8 @@ class Encoder:
     The byte-level splitting pattern never joins what a single space followed by a visible character separates,
     so the ids of such a text are those of its words, each with its space. A word of letters, with or without
     closing punctuation, is one or two pre-tokens and goes straight to the library's model; any other word goes through
-    the whole tokenizer. A text in which a space is followed by white space is encoded whole.
+    the whole tokenizer. A text in which a space is followed by white space, or which holds an added token of the
+    tokenizer, is encoded whole.
     """
 
     _TOGETHER = re.compile(r" (?=\s|\Z)")
@@ -90,7 +92,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.known: dict = {}
         self.endings: dict = {}
 
@@ -127,7 +130,7 @@ class Encoder:
         close = b"" if end is None else int(end).to_bytes(4, "little")
         out = []
         for text in texts:
-            if self._TOGETHER.search(text):
+            if self._TOGETHER.search(text) or (self.added and self.added.search(text)):
                 out.append(self._whole(text) + close)
                 continue
             if len(self.known) > _WORDS:
@@ -162,7 +165,9 @@ def write(
     spark = docs.sparkSession
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = slim.schema["key"].dataType
-    ordered = slim.repartitionByRange(width(spark), F.col("key").asc_nulls_first(), "text").sortWithinPartitions(
+    # The ranges are sampled in the driver: by the key and the begin of the text, so that the sample stays small.
+    begin = F.substring("text", 1, RANGE_CHARACTERS)
+    ordered = slim.repartitionByRange(width(spark), F.col("key").asc_nulls_first(), begin).sortWithinPartitions(
         F.col("key").asc_nulls_first(), "text")
     schema = CHUNK.format(kind.simpleString())
 

@@ -10,7 +10,7 @@ Decoding
     A token-byte table maps ids to bytes. It is bounded by the vocabulary (its size is checked), so the join
     is a broadcast one, done as a gather over whole blocks of ids, and the bytes follow in position order.
 
-Any sequence of ids of the vocabulary decodes; decoded bytes equal the text's UTF-8. Null and empty texts have no
+Any sequence of ids of the vocabulary decodes, any other id is refused; decoded bytes equal the text's UTF-8. Null and empty texts have no
 ids. Repeated rows and null keys are kept as they are. Extra columns can be carried along. A text longer than a
 block's bound is a block of its own.
 """
@@ -61,11 +61,27 @@ class Words:
     def __init__(self):
         self.place: dict = {}
         self.parts: dict = {}
+        self.noted: set = set()
 
     def _positions(self, part: str) -> bytes:
         place = self.place
         return np.array([place.setdefault(w, len(place)) for w in _SPLIT.findall(part)], "<u4").tobytes()
 
+    def note(self, text: str) -> None:
+        """Give the text's words their places, the same as ``of`` does, without the positions."""
+        place, noted = self.place, self.noted
+        if _TOGETHER.search(text):
+            new = [text]
+        else:
+            head, *rest = text.split(" ")
+            new = [head, *(" " + p for p in dict.fromkeys(rest) if p not in noted)]
+            if len(noted) > CACHED_PARTS:
+                noted.clear()
+            noted.update(rest)
+        for part in new:
+            for w in _SPLIT.findall(part):
+                place.setdefault(w, len(place))
+
     def of(self, text: str) -> bytes:
         if _TOGETHER.search(text):
             return self._positions(text)
@@ -130,7 +146,7 @@ def block_words(docs: DataFrame, text: str, most: int = BLOCK_BYTES) -> DataFram
                 words = Words()
             block = here
             for t in texts:
-                words.of(t)
+                words.note(t)
         if block is not None:
             yield from _listed(block, words.place)
         words = None
@@ -253,12 +269,12 @@ def encode(
 # --- decoding ---------------------------------------------------------------------------------
 
 def decode(coded: DataFrame, tokens: DataFrame, keep: list, ids: str = "ids") -> DataFrame:
-    """``keep`` columns and ``decoded`` bytes; ``tokens`` is the token-byte table (id, bytes)."""
+    """``keep`` columns and ``decoded`` bytes; ``tokens`` is the token-byte table (id, bytes). An id outside it fails the job."""
     rows = tokens.orderBy("id").limit(LARGEST_VOCABULARY + 1).collect()
     if len(rows) > LARGEST_VOCABULARY:
         raise ValueError(f"a token table of more than {LARGEST_VOCABULARY} rows is not broadcast")
     by = {r["id"]: r["bytes"] for r in rows}
-    sent = coded.sparkSession.sparkContext.broadcast([bytes(by.get(i, b"")) for i in range(max(by, default=-1) + 1)])
+    sent = coded.sparkSession.sparkContext.broadcast({i: bytes(b) for i, b in by.items()})
     out = coded.select(*keep, F.col(ids).alias("decoded")).schema
 
     def run(batches):

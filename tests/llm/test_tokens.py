@@ -42,6 +42,22 @@ def test_words_give_the_library_ids(spark):
     assert bpe_words.encode(frame.where("false"), file, ["doc_id"]).collect() == []
 
 
+def test_ids_outside_the_table_are_refused(spark):
+    file = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    coded = spark.createDataFrame([(1, bytearray(np.array([5, 4_000_000], "<u4").tobytes()))], "doc_id long, ids binary")
+    with pytest.raises(Exception, match="KeyError"):
+        bpe_words.decode(coded, bpe_words.token_table(spark, file), ["doc_id"]).collect()
+
+
+def test_words_get_the_same_places_in_both_passes(monkeypatch):
+    monkeypatch.setattr(bpe_words, "CACHED_PARTS", 5)
+    one, two = bpe_words.Words(), bpe_words.Words()
+    for t in [*ODD, *ODD[::-1], "repeat of words " * 50, "b a b a c"]:
+        one.of(t)
+        two.note(t)
+    assert list(one.place.items()) == list(two.place.items())
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     rng = np.random.default_rng(1)
@@ -60,8 +76,7 @@ def test_crc_of_parts():
 @pytest.mark.parametrize("bits,block", [(False, 1 << 16), (True, 64)])
 def test_files_hold_the_stream(spark, bits, block):
     library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    rows = rows_of(["long " * 300 + "text"])
+    rows = rows_of(["long " * 300 + "text", "ab <|endoftext|> <unk> cd", "x<|endoftext|>", "a <|endof text|> b"])
     frame = spark.createDataFrame(rows, DOC).withColumn("part", F.lit("x"))
     path = fresh_dir(spark, "planes")
     bitplanes.write(frame, path, tokenizer_file("byte_bpe_50k.json"), bits=bits, block=block)
