@@ -40,7 +40,8 @@ WINDOW = 20  # letters; longer words are judged by overlapping windows of this s
 SPAN = WINDOW  # subsequences of a window may stretch over all of it
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~^+=`"
 _SLOTS = 1 << 21  # remembered words of a task
-SLICE = 1024  # units whose kernels are computed at once
+SLICE = 2048  # units whose kernels are computed at once
+DENSE = 100  # so many times as few shared triples as cells: from there on a dense product is cheaper
 CHANCE = 0.2  # share of landmarks that may speak for a class by chance
 CLEAN_SHARE = 0.01  # of the clean training documents may lie above the line between the classes
 TOLERANCE = 0.15  # of the way from them to the toxic documents the line may at least take
@@ -94,20 +95,24 @@ def _triples(codes: np.ndarray) -> tuple:
 
 
 def self_kernel(codes: np.ndarray) -> np.ndarray:
-    """Order-3 kernel of each word with itself, by the usual recursion over prefixes."""
-    size, n = codes.shape
-    same = [[(codes[a] == codes[b]) & (codes[a] != _NONE) for b in range(size)] for a in range(size)]
-    last = {(a, b): np.ones(n) for a in range(size + 1) for b in range(size + 1)}
-    zero = np.zeros(n)
+    """Order-3 kernel of each word with itself, by the usual recursion over prefixes; it is symmetric, so half of it is enough."""
+    (size, n), step = codes.shape, np.float32(DECAY)
+    pairs = [(a, b) for a in range(size) for b in range(a + 1)]
+    same = {(a, b): ((codes[a] == codes[b]) & (codes[a] != _NONE)).astype(np.float32) * np.float32(DECAY**2) for a, b in pairs}
+    zero = np.zeros(n, np.float32)
+    last = None  # all ones
     for _ in range(2):
-        here = {(a, b): zero for a in range(size + 1) for b in range(size + 1)}
+        here = {(a, 0): zero for a in range(size + 1)}
         for a in range(1, size + 1):
             row = zero
-            for b in range(1, size + 1):
-                row = DECAY * row + same[a - 1][b - 1] * (DECAY**2 * last[a - 1, b - 1])
-                here[a, b] = DECAY * here[a - 1, b] + row
+            for b in range(1, a + 1):
+                met = same[a - 1, b - 1]
+                row = step * row + (met if last is None else met * last[a - 1, b - 1])
+                above = here[a - 1, b] if b < a else here[a, a - 1]
+                here[a, b] = step * above + row
         last = here
-    return sum(same[a][b] * (DECAY**2 * last[a, b]) for a in range(size) for b in range(size))
+    whole = sum(same[a, b] * last[a, b] for a, b in pairs if b < a) if size > 1 else zero
+    return 2 * whole + sum(same[a, a] * last[a, a] for a in range(size))
 
 
 @dataclass
@@ -137,6 +142,16 @@ class Landmarks:
             for t, v in f.items():
                 self.weights[place[t], z] = v
 
+    @staticmethod
+    def norms(codes: np.ndarray) -> np.ndarray:
+        """Length of each word's feature vector; without a repeated letter it follows from the word's size alone."""
+        ordered = np.sort(codes, axis=0)
+        twice = ((ordered[1:] == ordered[:-1]) | (ordered[1:] == _NONE)).any(0)
+        out = np.full(codes.shape[1], np.sqrt((_places(len(codes))[3].astype(float) ** 2).sum()), np.float32)
+        if twice.any():
+            out[twice] = np.sqrt(self_kernel(codes[:, twice]))
+        return out
+
     def kernel(self, words: list) -> np.ndarray:
         """Normalised kernel of each word with each landmark, to the power ``POWER``."""
         out = np.zeros((len(words), len(self.units)), np.float32)
@@ -145,7 +160,7 @@ class Landmarks:
             for part in windows(w):
                 if len(part) >= 3:
                     sized.setdefault(len(part), []).append((i, part))
-        for group in sized.values():
+        for size, group in sized.items():
             for at in range(0, len(group), SLICE):
                 some = group[at : at + SLICE]
                 codes = _matrix([p for _, p in some])
@@ -154,12 +169,21 @@ class Landmarks:
                 who, where = np.nonzero(rows)
                 if not len(who):
                     continue
-                first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                sums = np.add.reduceat(self.weights[rows[who, where]] * decay[where][:, None], first)
-                mine = who[first]
-                norm = np.sqrt(np.maximum(self_kernel(codes[:, mine]), 1e-30))
-                near = np.minimum(sums / norm[:, None].astype(np.float32), 1)
-                np.maximum.at(out, [some[m][0] for m in mine], near**POWER)
+                mine, at_rows = np.unique(who), rows[who, where]
+                if len(who) * DENSE > len(some) * len(self.weights):  # many shared triples: a product of matrices
+                    held = np.zeros((len(some), len(self.weights)), np.float32)
+                    np.add.at(held.reshape(-1), who * len(self.weights) + at_rows, decay[where])
+                    sums = (held if len(mine) == len(some) else held[mine]) @ self.weights
+                else:
+                    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+                    sums = np.add.reduceat(self.weights[at_rows] * decay[where][:, None], first)
+                near = np.minimum(sums / np.maximum(self.norms(codes[:, mine]), 1e-15)[:, None], 1)
+                power = np.prod([near] * POWER, axis=0) if POWER == int(POWER) else near**POWER
+                own = np.array([i for i, _ in some])[mine]
+                if size < WINDOW:  # one part of a word has this length at most
+                    out[own] = np.maximum(out[own], power)
+                else:
+                    np.maximum.at(out, own, power)
         return out
 
 
@@ -332,6 +356,7 @@ def _units(rows: DataFrame) -> DataFrame:
                     units += own
                     labels += [y] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(units, pa.string())], ["label", "unit"])
+        release()
 
     return rows.mapInArrow(run, "label int, unit string")
 
@@ -454,6 +479,7 @@ def _unit_kernels(rows: DataFrame, chosen: list, per_doc: int) -> DataFrame:
                 rows_of = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel(), pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(labels, pa.int32()), rows_of], ["doc", "label", "k"])
+        release()
 
     return rows.mapInArrow(run, "doc string, label int, k array<float>")
 
