@@ -147,20 +147,67 @@ def textrank_array(document: Column) -> Column:
     return F.transform(_textrank(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
 
 
+def _terms_by_line(lines: list[str]) -> tuple:
+    """Sparse term counts of sentences: line, term and count of each entry, number of terms; words by first appearance."""
+    codes: dict[str, int] = {}
+    split = [[codes.setdefault(w, len(codes)) for w in line.split()] for line in lines]
+    word = np.array([c for row in split for c in row], dtype=np.int64)
+    owner = np.repeat(np.arange(len(lines)), [len(row) for row in split]).astype(np.int64)
+    entries, counts = np.unique(owner * max(len(codes), 1) + word, return_counts=True)
+    line, term = np.divmod(entries, max(len(codes), 1))
+    return line, term, counts.astype(float), len(codes)
+
+
+def _krylov(apply, size: int, keep: int, tolerance: float = 1e-13, most: int = 60) -> tuple:
+    """The ``keep`` largest eigenvalues and eigenvectors of a symmetric positive map, by block Lanczos.
+
+    A block a little larger than ``keep`` finds repeated eigenvalues; every new block is made orthogonal to all before it, so a
+    space that fills up gives the exact answer. Memory: ``size`` times the blocks needed.
+    """
+    width = min(size, keep + 4)
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((size, width)))[0]
+    image = apply(basis)
+    for _ in range(most):
+        power, turn = np.linalg.eigh(basis.T @ image)
+        top = slice(max(len(power) - keep, 0), None)
+        vectors = basis @ turn[:, top]
+        rest = image @ turn[:, top] - vectors * power[top]
+        if basis.shape[1] >= size or np.linalg.norm(rest, axis=0).max() <= tolerance * max(power[-1], 1e-300):
+            break
+        fresh = image[:, -width:]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        fresh, scale = np.linalg.qr(fresh)
+        fresh = fresh[:, np.abs(np.diag(scale)) > 1e-12 * max(power[-1], 1e-300)][:, : size - basis.shape[1]]
+        if not fresh.shape[1]:
+            break
+        basis, image = np.hstack([basis, fresh]), np.hstack([image, apply(fresh)])
+    return power[top], vectors
+
+
 def _reduced(lines: list[str], keep: int) -> np.ndarray:
-    split = [line.split(" ") if line else [] for line in lines]
-    vocab = {w: i for i, w in enumerate(sorted({w for s in split for w in s}))}
-    if not vocab:
-        return np.zeros(len(split))
-    matrix = np.zeros((len(vocab), len(split)))
-    for column, row_words in enumerate(split):
-        for w in row_words:
-            matrix[vocab[w], column] += 1
-    top = np.maximum(matrix.max(axis=0), 1)
-    smooth = K.LSA_SMOOTH + (1 - K.LSA_SMOOTH) * matrix / top
-    # Eigenvectors of the sentence-by-sentence product are the right singular vectors.
-    power, right = np.linalg.eigh(smooth.T @ smooth)
-    return np.sqrt((np.maximum(power[-keep:], 0) * right[:, -keep:] ** 2).sum(axis=1))
+    """Salience from the strongest singular directions of the smoothed term matrix, which is never filled in.
+
+    The matrix is the smoothing constant everywhere plus a sparse part, so its products take the sparse entries and sums only.
+    """
+    line, term, counts, words = _terms_by_line(lines)
+    if not words:
+        return np.zeros(len(lines))
+    top = np.ones(len(lines))
+    np.maximum.at(top, line, counts)
+    value = (1 - K.LSA_SMOOTH) * counts / top[line]
+
+    def product(x: np.ndarray) -> np.ndarray:
+        low = np.full((words, x.shape[1]), 0.0) + K.LSA_SMOOTH * x.sum(0)
+        for c in range(x.shape[1]):
+            low[:, c] += np.bincount(term, value * x[line, c], words)
+        out = np.empty_like(x)
+        for c in range(x.shape[1]):
+            out[:, c] = K.LSA_SMOOTH * low[:, c].sum() + np.bincount(line, value * low[term, c], len(lines))
+        return out
+
+    power, right = _krylov(product, len(lines), min(keep, len(lines)))
+    return np.sqrt((np.maximum(power, 0) * right**2).sum(axis=1))
 
 
 def lsa_reduced_array(keep: int = 3):
@@ -271,62 +318,101 @@ def topk_sentences(df: DataFrame, ranking, k: int) -> DataFrame:
     )
 
 
-def _line_vectors(lines: list[str], dims: int = 64) -> np.ndarray:
-    """Hashed tf-idf vector of every sentence, inverse frequencies taken within the document."""
-    codes: dict[str, int] = {}
-    split = [[codes.setdefault(w, len(codes)) for w in line.split()] for line in lines]
-    word = np.array([c for row in split for c in row], dtype=np.int64)
-    vectors = np.zeros((len(lines), dims))
-    if word.size == 0:
-        return vectors
-    owner = np.repeat(np.arange(len(lines)), [len(row) for row in split])
-    held = np.bincount(np.unique(word * len(lines) + owner) // len(lines), minlength=len(codes))
-    weight = np.log((1 + len(lines)) / (1 + held)) + 1
-    bucket = np.array([zlib.crc32(w.encode()) % dims for w in codes])
-    np.add.at(vectors, (owner, bucket[word]), weight[word])
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(length == 0, 1, length)
-
-
-def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (vectors**2).sum(1)[:, None] - 2 * vectors @ centres.T + (centres**2).sum(1)
-
-
-def _cluster_picks(vectors: np.ndarray, k: int, rounds: int = 10) -> list[int]:
-    """Sentence positions nearest to the centroids of a first-k seeded k-means."""
-    k = min(k, len(vectors))
-    centres, member = vectors[:k].copy(), None
+def _line_rows(lines: list[str]) -> tuple:
+    """Sparse tf-idf rows of the sentences, length 1 each, inverse frequencies taken within the document: line, term, weight, number of terms."""
+    line, term, counts, words = _terms_by_line(lines)
+    held = np.bincount(term, minlength=words)
+    weight = counts * (np.log((1 + len(lines)) / (1 + held[term])) + 1)
+    length = np.sqrt(np.bincount(line, weight * weight, len(lines)))
+    return line, term, weight / length[line], words
+
+
+def _cosines(rows: tuple, size: int, centres: np.ndarray, entries: int = 1 << 20) -> np.ndarray:
+    """Cosine of every sentence with every centre, over the entries there are; rounded, so that ties are ties."""
+    line, term, weight, _ = rows
+    out = np.zeros((size, len(centres)))
+    step = max(1, entries // max(len(centres), 1))
+    for at in range(0, len(line), step):
+        np.add.at(out, line[at : at + step], weight[at : at + step, None] * centres[:, term[at : at + step]].T)
+    return np.round(out, SCORE_PLACES)
+
+
+def _unit(centres: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(centres, axis=1, keepdims=True)
+    return centres / np.where(length == 0, 1, length)
+
+
+def _dense(rows: tuple, picks: list) -> np.ndarray:
+    line, term, weight, words = rows
+    out = np.zeros((len(picks), words))
+    for i, p in enumerate(picks):
+        own = line == p
+        out[i, term[own]] = weight[own]
+    return out
+
+
+def _seeds(rows: tuple, size: int, k: int, rng: np.random.Generator) -> list[int]:
+    """k-means++: the first centre by chance, each further one with a chance that grows with its distance from the others."""
+    picks = [int(rng.integers(size))]
+    far = 1 - _cosines(rows, size, _dense(rows, picks))[:, 0]
+    while len(picks) < k:
+        chance = np.maximum(far, 0)
+        chance[picks] = 0
+        total = chance.sum()
+        if total <= 0:  # the others all equal a centre: the first ones left
+            picks.append(next(i for i in range(size) if i not in picks))
+        else:
+            picks.append(min(int(np.searchsorted(np.cumsum(chance), rng.random() * total, side="right")), size - 1))
+        far = np.minimum(far, 1 - _cosines(rows, size, _dense(rows, picks[-1:]))[:, 0])
+    return picks
+
+
+def _cluster_picks(rows: tuple, size: int, k: int, rounds: int, seed: int) -> list[int]:
+    """Sentence positions nearest to the centroids of spherical k-means; no sentence stands for two of them."""
+    k = min(k, size)
+    line, term, weight, words = rows
+    centres, member = _dense(rows, _seeds(rows, size, k, np.random.default_rng(seed))), None
     for _ in range(rounds):
-        nearest = _distances(vectors, centres).argmin(axis=1)
+        nearest = _cosines(rows, size, centres).argmax(axis=1)
         if member is not None and (nearest == member).all():
             break
         member = nearest
-        sums = np.zeros_like(centres)
-        np.add.at(sums, member, vectors)
-        count = np.bincount(member, minlength=k)[:, None]
-        centres = np.where(count > 0, sums / np.maximum(count, 1), centres)
-    far = _distances(vectors, centres)
-    taken = np.zeros(len(vectors), dtype=bool)
-    for c in range(k):  # no sentence stands for two centres
-        taken[np.where(taken, np.inf, far[:, c]).argmin()] = True
+        sums = np.bincount(member[line] * max(words, 1) + term, weight, k * max(words, 1))[: k * words].reshape(k, words)
+        filled = np.bincount(member, minlength=k)[:, None] > 0
+        centres = np.where(filled, _unit(sums), centres)
+    near = _cosines(rows, size, centres)
+    taken = np.zeros(size, dtype=bool)
+    for c in range(k):
+        taken[np.where(taken, -np.inf, near[:, c]).argmax()] = True
     return np.flatnonzero(taken).tolist()
 
 
-@F.pandas_udf(Y.ArrayType(Y.ArrayType(Y.IntegerType())))
-def _centroid_offers(lines: pd.Series, wanted: pd.Series) -> pd.Series:
+def _centroid_offers(rounds: int):
+    """Positions kept for one sentence less than wanted, the wanted number, and one more."""
+
     def offers(rows, n):
-        vectors = _line_vectors(list(rows))
-        return [_cluster_picks(vectors, max(n + step, 1)) for step in (-1, 0, 1)] if len(rows) else []
+        lines = list(rows)
+        if not lines:
+            return []
+        seed = zlib.crc32("\n".join(lines).encode())  # by the text: the same wherever the row is
+        sparse = _line_rows(lines)
+        return [_cluster_picks(sparse, len(lines), max(n + step, 1), rounds, seed) for step in (-1, 0, 1)]
+
+    @F.pandas_udf(Y.ArrayType(Y.ArrayType(Y.IntegerType())))
+    def of(lines: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([offers(rows, n) for rows, n in zip(lines, wanted)])
+
+    return of
 
-    return pd.Series([offers(rows, n) for rows, n in zip(lines, wanted)])
 
+def shorten_centroid(df: DataFrame, budget: int, rounds: int = 10) -> DataFrame:
+    """Keep the sentences nearest to cluster centres; the cut rule is that of the ranked strategies.
 
-def shorten_centroid(df: DataFrame, budget: int) -> DataFrame:
-    """Keep the sentences nearest to cluster centres; the cut rule is that of the ranked strategies."""
+    Sentences are sparse tf-idf rows over the document's whole vocabulary, clustered by cosine in at most ``rounds`` rounds.
+    """
     document = F.col("document")
-    offered = df.withColumn("_s", T.sentences(document)).withColumn(
-        "_offers", _centroid_offers(word_lines(document), _wanted(marks(document, False), T.token_count(document), F.lit(budget)))
-    )
+    wanted = _wanted(marks(document, False), T.token_count(document), F.lit(budget))
+    offered = df.withColumn("_s", T.sentences(document)).withColumn("_offers", _centroid_offers(rounds)(word_lines(document), wanted))
 
     def weigh(picks: Column) -> Column:
         texts = F.array_join(F.transform(picks, lambda p: F.element_at("_s", p + 1)), " ")

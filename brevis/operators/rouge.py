@@ -3,6 +3,7 @@
 Input everywhere: id, reference, hypothesis. Rows with a null text are dropped.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,22 +44,44 @@ def rouge_n(df: DataFrame, orders=(1, 2), stem: bool = False, keep: tuple = ())
     return rows.select("id", *keep, *[_order_n(F.col("ref"), F.col("hyp"), n).alias(f"rouge{n}") for n in orders])
 
 
-def _common_rows(ref: list[str], hyp: list[str]) -> list[int]:
-    """Bit rows of the longest-common-subsequence table, one per reference token.
+class _CommonRows:
+    """Bit rows of the longest-common-subsequence table, one per reference token, asked for from the last to the first.
 
-    Bit j of row i is 0 exactly where the table grows between columns j and j+1, so a whole row is
-    one big-integer step however long the hypothesis is.
+    Bit j of row i is 0 exactly where the table grows between columns j and j+1, so a whole row is one big-integer step
+    however long the hypothesis is. Only every sqrt(n)-th row is kept; the rows between two kept ones are computed
+    again when the first of them is asked for, so the table takes sqrt(n) rows of memory and twice the steps.
     """
-    where: dict[str, int] = {}
-    for j, token in enumerate(hyp):
-        where[token] = where.get(token, 0) | (1 << j)
-    full = (1 << len(hyp)) - 1
-    row, rows = full, []
-    for token in ref:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    return rows
+
+    def __init__(self, ref: list[str], hyp: list[str]):
+        self.ref, self.full, self.where = ref, (1 << len(hyp)) - 1, {}
+        for j, token in enumerate(hyp):
+            self.where[token] = self.where.get(token, 0) | (1 << j)
+        self.stride = max(1, math.isqrt(len(ref)))
+        row, self.kept = self.full, []
+        for i in range(len(ref)):
+            if i % self.stride == 0:
+                self.kept.append(row)  # the row before token i
+            row = self._next(row, i)
+        self.stretch, self.rows = -1, []
+
+    def _next(self, row: int, i: int) -> int:
+        hit = row & self.where.get(self.ref[i], 0)
+        return ((row + hit) | (row - hit)) & self.full
+
+    def __getitem__(self, i: int) -> int:
+        stretch, place = divmod(i, self.stride)
+        if stretch != self.stretch:
+            row, self.stretch, self.rows = self.kept[stretch], stretch, []
+            for k in range(stretch * self.stride, min((stretch + 1) * self.stride, len(self.ref))):
+                row = self._next(row, k)
+                self.rows.append(row)
+        return self.rows[place]
+
+
+def score_tokens(df: DataFrame, ref: str, hyp: Column, orders=(1,), keep: tuple = ()) -> DataFrame:
+    """``keep`` columns and rouge<n> of a text against reference tokens that are there already, as when many texts share them."""
+    rows = df.select(*keep, F.col(ref).alias("ref"), T.rouge_tokens(hyp).alias("hyp"))
+    return rows.select(*keep, *[_order_n(F.col("ref"), F.col("hyp"), n).alias(f"rouge{n}") for n in orders])
 
 
 def _common_length(ref: list[str], hyp: list[str]) -> int:
@@ -90,7 +113,7 @@ def rouge_l(df: DataFrame, stem: bool = False) -> DataFrame:
 
 def _hit_positions(ref: list[str], hyp: list[str]) -> list[int]:
     """Reference positions on one longest common subsequence, traced from the end."""
-    rows = _common_rows(ref, hyp)
+    rows = _CommonRows(ref, hyp)
 
     def cell(i: int, j: int) -> int:
         return 0 if i == 0 else j - (rows[i - 1] & ((1 << j) - 1)).bit_count()

@@ -71,22 +71,28 @@ def flagship(pairs: DataFrame, low: int = 256, high: int = 512) -> DataFrame:
 
     Everything up to the means is one narrow stage; only partial means are shuffled.
     """
-    banded = filters.length_band(corpus.add_lengths(pairs), low, high)
-    made = shorten_all(banded, keep=("summary",)).where(F.col("quantity").isin(*BUDGETS))
-    scored = rouge.rouge_n(_as_pairs(made), keep=("method", "quantity"))
+    banded = _with_reference(filters.length_band(corpus.add_lengths(pairs), low, high))
+    made = shorten_all(banded, keep=("_ref",)).where(F.col("quantity").isin(*BUDGETS) & F.col("_ref").isNotNull())
+    scored = _summaries_scored(made, (1, 2))
     return scored.groupBy("method", "quantity").agg(
         F.count("*").alias("n_rows"), F.round(F.avg("rouge1"), 6).alias("rouge1"), F.round(F.avg("rouge2"), 6).alias("rouge2")
     )
 
 
-def _as_pairs(shortened: DataFrame) -> DataFrame:
-    """Baseline summary of each shortened text against the document's own summary."""
-    made = shorten.lead_summary(shortened)
-    return made.withColumnsRenamed({"summary": "reference", "generated_summary": "hypothesis"})
+def _with_reference(pairs: DataFrame) -> DataFrame:
+    """The summary's tokens, cut once per document and not once per variant of it."""
+    return pairs.withColumn("_ref", T.rouge_tokens(F.col("summary")))
+
+
+def _summaries_scored(shortened: DataFrame, orders: tuple) -> DataFrame:
+    """Baseline summary of each shortened text against the document's own summary; null texts have no score."""
+    lead = T.lead(F.col("shortened_document"), K.TARGET_LIMIT)
+    usable = shortened.where(F.col("shortened_document").isNotNull())
+    return rouge.score_tokens(usable, "_ref", lead, orders, ("method", "quantity"))
 
 
 def grid_scores(pairs: DataFrame) -> DataFrame:
     """method, quantity, score (ROUGE-1 of the baseline summary) for every row of the full grid."""
-    made = shorten_all(pairs, keep=("summary",))
-    scored = rouge.rouge_n(_as_pairs(made), (1,), keep=("method", "quantity"))
+    made = shorten_all(_with_reference(pairs), keep=("_ref",)).where(F.col("_ref").isNotNull())
+    scored = _summaries_scored(made, (1,))
     return scored.select("method", "quantity", F.col("rouge1").alias("score"))

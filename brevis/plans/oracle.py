@@ -219,6 +219,20 @@ TAILS = f"""{CHAT_SCORE}, cuts AS (SELECT quantile_cont(score, 0.1) AS lo, quant
 tails AS (SELECT id, score, 'bad' AS tail FROM scores, cuts WHERE score <= lo
   UNION ALL SELECT id, score, 'good' FROM scores, cuts WHERE score >= hi)"""
 
+# CTEs ending in embedded(id, emb_p, emb_r, emb_f1) over sides(id, r, h).
+EMBEDDED = f"""tr AS (SELECT id, 'r' AS side, unnest(r) AS token FROM sides UNION ALL SELECT id, 'h', unnest(h) FROM sides),
+      tc AS (SELECT id, side, token, count(*) AS n FROM tr GROUP BY ALL),
+      tv AS (SELECT id, side, token, n, embedding::DOUBLE[] AS v FROM tc JOIN embeddings ON vec_id = {hex_mod('token', 8, '(SELECT count(*) FROM embeddings)')}),
+      kinds AS MATERIALIZED (SELECT DISTINCT token, v FROM tv),
+      sims AS (SELECT a.id, a.token AS x, any_value(a.n) AS nx, b.token AS y, any_value(b.n) AS ny, any_value(list_cosine_similarity(a.v, b.v)) AS s
+        FROM tv a JOIN tv b ON a.id = b.id AND a.side = 'r' AND b.side = 'h' GROUP BY ALL),
+      br AS (SELECT id, x, any_value(nx) AS n, max(s) AS s FROM sims GROUP BY id, x),
+      bh AS (SELECT id, y, any_value(ny) AS n, max(s) AS s FROM sims GROUP BY id, y),
+      rr AS (SELECT id, sum(n * s) / sum(n) AS r FROM br GROUP BY id), pp AS (SELECT id, sum(n * s) / sum(n) AS p FROM bh GROUP BY id),
+      embedded AS (SELECT id, round((coalesce(pp.p, 0) - 0.1) / 0.9, 6) AS emb_p, round((coalesce(rr.r, 0) - 0.1) / 0.9, 6) AS emb_r,
+        round((coalesce(2 * pp.p * rr.r / (pp.p + rr.r), 0) - 0.1) / 0.9, 6) AS emb_f1
+      FROM sides LEFT JOIN rr USING (id) LEFT JOIN pp USING (id))"""
+
 LCS = """WITH RECURSIVE {tokens}, cells AS (
   SELECT id, 0 AS i, j, 0 AS v, len(r) AS n, len(h) AS m FROM sides, unnest(range(0, len(h) + 1)) u(j)
   UNION ALL
@@ -308,6 +322,12 @@ def statements() -> dict[str, str]:
     q["read_shortened"] = f"""WITH {TOKED} SELECT id, document, {head_sql(373)[0]} AS shortened_document, summary
       FROM toked WHERE {SPLIT} = 'train'"""
     q["write_shortened"] = f"WITH {TOKED} {grid_sql(f'id, {SPLIT} AS split, {ntok(DOC)}::BIGINT AS document_len')}"
+    lead = joined("(" + toks("shortened_document") + ")[1:36]")
+    q["prediction_table"] = f"""WITH {TOKED}, made AS (SELECT id, document, summary, {head_sql(373)[0]} AS shortened_document FROM toked),
+      led AS (SELECT *, {lead} AS generated_summary FROM made)
+      SELECT id, document, shortened_document, summary AS reference_summary, generated_summary, {ntok('document')}::BIGINT AS document_len,
+      {ntok('shortened_document')}::BIGINT AS shortened_len, {ntok('summary')}::BIGINT AS reference_len,
+      {ntok('generated_summary')}::BIGINT AS generated_len, 'head' AS run, {hex_mod('id', 4, 5)} AS epoch FROM led"""
     q["read_predictions"] = f"""WITH {CHATS} SELECT 'replies' AS run, {hex_mod('id', 4, 5)} AS epoch, id,
       reference AS reference_summary, hypothesis AS generated_summary FROM chats"""
     q["write_predictions"] = f"""WITH {CHATS} SELECT id, 'replies' AS run, {hex_mod('id', 4, 5)} AS epoch,
@@ -401,6 +421,8 @@ def statements() -> dict[str, str]:
       ((373 * {marks['combo']}) // {ntok('document')})::BIGINT AS combo FROM pairs"""
     q["shorten_luhn"] = ranked(luhn_sql)
     q["shorten_lsa"] = ranked(lsa_sql)
+    q["shorten_lsa_1024"] = f"""WITH {PROFILE}, banded AS (SELECT id, document, summary FROM profile WHERE doc_len BETWEEN 972 AND 1024
+      AND sum_len <= 36), {lsa_sql('banded')}, {cut_sql('banded', {"512": 512})} SELECT * FROM cut"""
     q["shorten_textrank"] = ranked(textrank_sql)
     for name, scorer in (("luhn_scores", luhn_sql), ("lsa_scores", lsa_sql), ("textrank_scores", textrank_sql)):
         q[name] = f"""WITH {PAIRS}, {scorer('pairs')} SELECT id, pos, coalesce(score, 0) AS score
@@ -463,19 +485,32 @@ def statements() -> dict[str, str]:
         f"round(avg(value) FILTER (WHERE run = '{n}'), 6) AS {n}" for n in ("click", "purchase", "view")
     ) + " FROM log GROUP BY epoch"
     q["gen_len"] = f"WITH {CHATS} SELECT round(avg(len({toks('hypothesis')})), 4) AS gen_len FROM chats"
-    q["embedding_score"] = f"""WITH {CHAT_TOKENS},
-      tr AS (SELECT id, 'r' AS side, unnest(r) AS token FROM sides UNION ALL SELECT id, 'h', unnest(h) FROM sides),
-      tc AS (SELECT id, side, token, count(*) AS n FROM tr GROUP BY ALL),
-      tv AS (SELECT id, side, token, n, embedding::DOUBLE[] AS v FROM tc JOIN embeddings ON vec_id = {hex_mod('token', 8, '(SELECT count(*) FROM embeddings)')}),
-      kinds AS MATERIALIZED (SELECT DISTINCT token, v FROM tv),
-      sims AS (SELECT a.id, a.token AS x, any_value(a.n) AS nx, b.token AS y, any_value(b.n) AS ny, any_value(list_cosine_similarity(a.v, b.v)) AS s
-        FROM tv a JOIN tv b ON a.id = b.id AND a.side = 'r' AND b.side = 'h' GROUP BY ALL),
-      br AS (SELECT id, x, any_value(nx) AS n, max(s) AS s FROM sims GROUP BY id, x),
-      bh AS (SELECT id, y, any_value(ny) AS n, max(s) AS s FROM sims GROUP BY id, y),
-      rr AS (SELECT id, sum(n * s) / sum(n) AS r FROM br GROUP BY id), pp AS (SELECT id, sum(n * s) / sum(n) AS p FROM bh GROUP BY id)
-      SELECT id, round((coalesce(pp.p, 0) - 0.1) / 0.9, 6) AS emb_p, round((coalesce(rr.r, 0) - 0.1) / 0.9, 6) AS emb_r,
-        round((coalesce(2 * pp.p * rr.r / (pp.p + rr.r), 0) - 0.1) / 0.9, 6) AS emb_f1
-      FROM sides LEFT JOIN rr USING (id) LEFT JOIN pp USING (id)"""
+    q["embedding_score"] = f"""WITH {CHAT_TOKENS}, {EMBEDDED} SELECT * FROM embedded"""
+    all_scored = f"""{CHAT_ROUGE}, longest AS ({q["rougeL"]}), vectors AS ({q["embedding_score"]}),
+      alls AS (SELECT id, 'replies' AS run, epoch, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, "rougeL", "rougeL" AS "rougeLsum",
+        emb_p, emb_r, emb_f1 FROM scored JOIN longest USING (id) JOIN vectors USING (id))"""
+    names = ("rouge1", "rouge2", '"rougeL"', '"rougeLsum"', "emb_p", "emb_r", "emb_f1")
+    q["scored_predictions"] = f"WITH {all_scored} SELECT * FROM alls"
+    q["epoch_score_means"] = f"""WITH {all_scored} SELECT run, epoch, {', '.join(f'round(avg({n}), 6) AS {n}' for n in names)} FROM alls GROUP BY run, epoch"""
+    metric_rows = " UNION ALL ".join(
+        f"SELECT run, epoch, {lit(n.strip(chr(34)))} AS metric, round(avg({n}), 6) AS value FROM gens GROUP BY run, epoch" for n in (*names[:4], "gen_len"))
+    gens = f"gens AS (SELECT alls.*, len({toks('hypothesis')})::DOUBLE AS gen_len FROM alls JOIN chats USING (id))"
+    q["metric_log"] = f"WITH {all_scored}, {gens} {metric_rows}"
+    q["full_run_summary"] = f"""WITH {all_scored}, {gens}, metrics AS ({metric_rows}),
+      losses AS (SELECT day(ts)::BIGINT % 5 AS epoch, event_type, round(avg(value), 6) AS loss FROM events
+        WHERE event_type IN ('click', 'view') GROUP BY ALL),
+      best AS (SELECT epoch, loss FROM losses WHERE event_type = 'view' ORDER BY loss, epoch LIMIT 1)
+      SELECT 'replies' AS run, best.epoch AS best_epoch, any_value(l.loss) AS best_train_loss, any_value(best.loss) AS best_val_loss,
+        {', '.join(f'max(value) FILTER (WHERE metric = {lit(n)}) AS "test_{n}"' for n in ('rouge1', 'rouge2', 'rougeL', 'rougeLsum', 'gen_len'))}
+      FROM best JOIN losses l ON l.epoch = best.epoch AND l.event_type = 'click' LEFT JOIN metrics m ON m.epoch = best.epoch GROUP BY best.epoch"""
+    grid_rows = grid_sql("id, summary") + f" UNION ALL SELECT id, summary, 'full', '512', {head_sql(512)[0]}, 0 FROM toked"
+    q["embedding_grid"] = f"""WITH {TOKED}, allrows AS ({grid_rows}),
+      named AS (SELECT method || '/' || quantity || '/' || id AS id, method, quantity, {rtoks('summary')} AS r, {rtoks(lead)} AS h FROM allrows),
+      sides AS (SELECT min(id) AS id, r, h FROM named GROUP BY r, h), {EMBEDDED},
+      g AS (SELECT method, quantity, emb_f1 AS f FROM named JOIN sides USING (r, h) JOIN embedded ON embedded.id = sides.id),
+      base AS (SELECT avg(f) AS full_text FROM g WHERE method = 'full'),
+      means AS (SELECT method, quantity, avg(f) AS score FROM g WHERE method <> 'full' GROUP BY method, quantity)
+      SELECT method, quantity, round(score, 6) AS score, round(full_text, 6) AS full_text, round(score - full_text, 6) AS delta FROM means, base"""
     q["split_counts"] = f"""WITH {PROFILE} SELECT split, count(*) AS n_rows,
       count(*) FILTER (WHERE doc_len BETWEEN 256 AND 512 AND sum_len <= 36) AS n_kept FROM profile GROUP BY split"""
     band = f"{PROFILE}, band AS (SELECT * FROM profile WHERE doc_len BETWEEN 256 AND 512 AND sum_len <= 36)"

@@ -11,7 +11,7 @@ from brevis.operators import (
     coherence, embedding, extractive, filters, headlines, mining, quality, rouge, runlog, shorten, tokens, topics,
 )
 from brevis.plans import grid
-from brevis.sources import corpus, tables
+from brevis.sources import corpus, tables, versions
 from brevis.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,75 @@ def write_predictions(spark, sf):
     return longs(back, "epoch", "reference_len", "generated_len")
 
 
+@query
+def prediction_table(spark, sf):
+    """All nine columns, written by run and epoch and read back: 373 tokens of the head, summarised by the 36-token baseline."""
+    made = shorten.lead_summary(shorten.shorten_head(pairs(spark, sf), 373))
+    path = fresh_dir(spark, "predictions")
+    tables.write_predictions(tables.predictions(made, F.lit("head"), _epoch_of("id")), path)
+    back = spark.read.parquet(path).select(*tables.PREDICTION_COLUMNS, "run", "epoch")
+    return longs(back, *[c for c in tables.PREDICTION_COLUMNS if c.endswith("_len")], "epoch")
+
+
+def _epoch_of(column: str):
+    """Five epochs, by the id."""
+    return F.conv(F.substring(F.md5(column), 1, 4), 16, 10).cast("long") % 5
+
+
+ALL_SCORES = ("rouge1", "rouge2", "rougeL", "rougeLsum", "emb_p", "emb_r", "emb_f1")
+
+
+def _flat_chats(spark, sf) -> DataFrame:
+    """One-line texts, on which rougeLsum has an SQL counterpart as well."""
+    return chats(spark, sf).select("id", *[F.translate(c, "\n", " ").alias(c) for c in ("reference", "hypothesis")])
+
+
+def _scored_predictions(spark, sf) -> DataFrame:
+    flat = _flat_chats(spark, sf)
+    vectors = _chat_vectors(spark, sf, flat)
+    made = rounded(rouge.rouge_all(flat).join(vectors, "id"), *ALL_SCORES)
+    return made.select("id", F.lit("replies").alias("run"), _epoch_of("id").alias("epoch"), *ALL_SCORES)
+
+
+@query
+def scored_predictions(spark, sf):
+    """Every score column of every prediction."""
+    return _scored_predictions(spark, sf)
+
+
+@query
+def epoch_score_means(spark, sf):
+    """All score columns, averaged per epoch."""
+    return rounded(rouge.mean_scores(_scored_predictions(spark, sf), list(ALL_SCORES)), *ALL_SCORES)
+
+
+def _metric_log(spark, sf) -> DataFrame:
+    scored = rouge.rouge_all(_flat_chats(spark, sf), keep=("hypothesis",))
+    names = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
+    each = rounded(scored, *names).select(
+        F.lit("replies").alias("run"), _epoch_of("id").alias("epoch"), *names,
+        F.size(T.tokens(F.col("hypothesis"))).cast("double").alias("gen_len"))
+    return rounded(tables.epoch_metrics(rouge.mean_scores(each, [*names, "gen_len"]), [*names, "gen_len"]), "value")
+
+
+@query
+def metric_log(spark, sf):
+    """The four scores and the mean generated length of every epoch, written as rows and read back."""
+    path = fresh_dir(spark, "metrics")
+    versions.write_version(_metric_log(spark, sf), path, 1)
+    return versions.read_version(spark, path)
+
+
+@query
+def full_run_summary(spark, sf):
+    """Best epoch by validation loss, its losses and test scores; clicks stand in for training losses, views for validation losses."""
+    kind = F.when(F.col("event_type") == "click", "train").when(F.col("event_type") == "view", "validation")
+    losses = table(spark, sf, "events").where("event_type IN ('click', 'view')").groupBy(
+        F.lit("replies").alias("run"), (F.dayofmonth("ts").cast("long") % 5).alias("epoch"), kind.alias("split")).agg(F.avg("value").alias("loss"))
+    out = tables.full_run_summary(_metric_log(spark, sf), rounded(losses, "loss"))
+    return rounded(out, *[c for c in out.columns if c not in ("run", "best_epoch")])
+
+
 def _scored_chats(spark, sf) -> DataFrame:
     c = chats(spark, sf)
     scored = rouge.rouge_n(c)
@@ -177,9 +246,8 @@ def steps_per_split(spark, sf):
 def combine_steps(spark, sf):
     path = fresh_dir(spark, "steps")
     rows = corpus.split_assign(pairs(spark, sf)).select("id", "split", "summary")
-    stepped = tables.step_number(filters.shuffle_seeded(rows)).drop("position")
-    stepped.write.partitionBy("split", "step").parquet(path)
-    merged = spark.read.schema("id string, summary string, split string, step long").parquet(path)
+    tables.write_steps(tables.step_number(filters.shuffle_seeded(rows)).drop("position"), path)
+    merged = tables.read_steps(spark, path).select("id", "summary", "split", "step")
     return tables.combine_steps(merged, rows.groupBy("split").agg(F.count("*").alias("n_rows")))
 
 
@@ -500,6 +568,13 @@ def shorten_lsa(spark, sf):
     return _short(extractive.shorten_ranked(pairs(spark, sf), "lsa", grid.BUDGETS))
 
 
+@query
+def shorten_lsa_1024(spark, sf):
+    """The long class: documents of its length band, cut to 512 tokens."""
+    banded = filters.length_band(corpus.add_lengths(pairs(spark, sf)), high=1024).select("id", "document", "summary")
+    return _short(extractive.shorten_ranked(banded, "lsa", {"512": 512}))
+
+
 @query
 def shorten_textrank(spark, sf):
     return _short(extractive.shorten_ranked(pairs(spark, sf), "textrank", grid.BUDGETS))
@@ -689,18 +764,35 @@ def gen_len(spark, sf):
     return rouge.gen_len(chats(spark, sf))
 
 
-@query
-def embedding_score(spark, sf):
+def _chat_vectors(spark, sf, c: DataFrame) -> DataFrame:
+    """id with the vector scores of reference and hypothesis; tokens are bound to the given vectors."""
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     n_vectors = vectors.agg(F.count("*")).scalar()
-    c = chats(spark, sf).select(
-        "id", T.rouge_tokens(F.col("reference")).alias("ref"), T.rouge_tokens(F.col("hypothesis")).alias("hyp")
-    )
+    c = c.select("id", T.rouge_tokens(F.col("reference")).alias("ref"), T.rouge_tokens(F.col("hypothesis")).alias("hyp"))
     kinds = values_of(c, [], F.array_union("ref", "hyp"), "token").distinct().withColumn("_n", n_vectors)
     bound = kinds.select("token", corpus.vectors_for_tokens(F.col("_n"), F.col("token")))
     lookup = bound.join(vectors, "vec_id").select("token", "vector")
-    scored = embedding.embedding_score(embedding.token_bags(c, "ref", "hyp", lookup), baseline=0.1)
-    return rounded(scored, "emb_p", "emb_r", "emb_f1")
+    return embedding.embedding_score(embedding.token_bags(c, "ref", "hyp", lookup), baseline=0.1)
+
+
+@query
+def embedding_score(spark, sf):
+    return rounded(_chat_vectors(spark, sf, chats(spark, sf)), "emb_p", "emb_r", "emb_f1")
+
+
+@query
+def embedding_grid(spark, sf):
+    """The comparison of token strategies and budgets by vector score; the whole text is the baseline."""
+    made = shorten.token_grid(pairs(spark, sf).select("id", "document", "summary"))
+    whole = shorten.shorten_full(pairs(spark, sf)).select(
+        "id", "summary", F.lit("full").alias("method"), F.lit("512").alias("quantity"), "shortened_document")
+    rows = made.select(whole.columns).unionByName(whole)
+    key = F.concat_ws("/", "method", "quantity", "id").alias("id")
+    sides = rows.select(key, F.col("summary").alias("reference"), T.lead(F.col("shortened_document"), K.TARGET_LIMIT).alias("hypothesis"))
+    scored = rounded(_chat_vectors(spark, sf, sides), "emb_f1")
+    cut = F.split("id", "/")
+    named = scored.select(cut[0].alias("method"), cut[1].alias("quantity"), F.col("emb_f1").alias("score"))
+    return rounded(runlog.strategy_grid(named), "score", "full_text", "delta")
 
 
 @query
@@ -1037,7 +1129,7 @@ def parse_timestamp_faithful(spark, sf):
 @query
 def stream_shorten(spark, sf):
     schema = table(spark, sf, "documents").schema
-    source = jobs.file_stream(spark, sf, schema, "documents.parquet")
+    source = jobs.once(jobs.file_stream(spark, sf, schema, "documents.parquet"), ("doc_id", "text"))
     path = fresh_dir(spark, "stream")
 
     def strategy(df: DataFrame) -> DataFrame:
@@ -1058,7 +1150,7 @@ def stream_ranked(spark, sf):
         return extractive.shorten_ranked(corpus.pairs_from_texts(df, "doc_id", "text"), "luhn", {"25": 373})
 
     jobs.stream_ranked(source, strategy, path, path + "-state").awaitTermination()
-    return _short(spark.read.parquet(path)).drop("quantity")
+    return _short(versions.read_every_version(spark, path)).drop("quantity")
 
 
 @query
@@ -1067,7 +1159,7 @@ def stream_metrics(spark, sf):
     source = corpus.run_log(jobs.file_stream(spark, sf, schema, "events.parquet"))
     path = fresh_dir(spark, "means")
     jobs.write_running(jobs.running_means(source), path, path + "-state").awaitTermination()
-    return rounded(longs(spark.read.parquet(path), "epoch"), "mean_value")
+    return rounded(longs(versions.read_version(spark, path), "epoch"), "mean_value")
 
 
 @query

@@ -1,7 +1,7 @@
 """Tables on disk: length profiles, shortened corpora, predictions, metric logs, id lists."""
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from brevis import constants as K
 from brevis.functions import text as T
@@ -179,9 +179,9 @@ def epoch_metrics(df: DataFrame, metrics: list) -> DataFrame:
 
 
 def scores_from_metrics(df: DataFrame, metrics=METRIC_NAMES) -> DataFrame:
-    """Metric rows back to one row per run and epoch, picked by metric name."""
+    """Metric rows back to one row per run and epoch, picked by metric name; a metric logged several times counts with its mean."""
     return df.where(F.col("metric").isin(list(metrics))).groupBy("run", "epoch").pivot("metric", list(metrics)).agg(
-        F.first("value")
+        F.avg("value")
     )
 
 
@@ -194,6 +194,26 @@ def steps_per_split(df: DataFrame, rows: int = K.STEP_ROWS) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n_rows"), F.ceil(F.count("*") / rows).alias("n_steps"))
 
 
+def write_steps(df: DataFrame, path: str, parts: int | None = None, row_group: int | None = None) -> None:
+    """Rows with their write step, a folder per split, few files each, sorted by step.
+
+    A step is found by the statistics of the files' row groups; there is no folder per step. ``row_group`` is their size in bytes.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, "split", "step").sortWithinPartitions("split", "step")
+    writer = ordered.write.mode("append").partitionBy("split")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
+
+
+def read_steps(spark: SparkSession, path: str, split: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows of the chosen split and range of steps (both ends included); other row groups are skipped."""
+    df = spark.read.parquet(path)
+    for wanted, condition in ((split, F.col("split") == split), (first, F.col("step") >= first), (last, F.col("step") <= last)):
+        if wanted is not None:
+            df = df.where(condition)
+    return df
+
+
 def combine_steps(df: DataFrame, expected: DataFrame) -> DataFrame:
     """The union of all step files; a split whose row count differs from the contract raises.
 
@@ -243,6 +263,37 @@ def run_summary(log: DataFrame) -> DataFrame:
     )
 
 
+PREDICTION_COLUMNS = (
+    "id", "document", "shortened_document", "reference_summary", "generated_summary", "document_len", "shortened_len",
+    "reference_len", "generated_len",
+)
+
+
+def predictions(shortened: DataFrame, run: Column, epoch: Column) -> DataFrame:
+    """The nine columns of a prediction table, with its run and epoch, from shortened documents and their summaries."""
+    length = lambda c: T.token_count(F.col(c)).cast("int")
+    return shortened.select(
+        "id", "document", "shortened_document", F.col("summary").alias("reference_summary"), "generated_summary",
+        length("document").alias("document_len"), length("shortened_document").alias("shortened_len"),
+        length("summary").alias("reference_len"), length("generated_summary").alias("generated_len"), run.alias("run"), epoch.alias("epoch"))
+
+
+def full_run_summary(metrics: DataFrame, losses: DataFrame) -> DataFrame:
+    """One row per run: its best epoch (smallest validation loss, the earliest on ties), the losses and test scores of that epoch.
+
+    ``metrics`` has run, epoch, metric, value, ``losses`` run, epoch, split, loss. A metric the best epoch lacks is null. Null runs are runs.
+    """
+    of = lambda split: F.avg(F.when(F.col("split") == split, F.col("loss")))
+    per_epoch = losses.groupBy("run", "epoch").agg(of("train").alias("train"), of("validation").alias("validation"))
+    valid = per_epoch.where(F.col("validation").isNotNull())
+    best = valid.groupBy("run").agg(F.min_by(F.struct("epoch", "train", "validation"), F.struct("validation", "epoch")).alias("b")).select(
+        F.col("run").alias("_run"), F.col("b.epoch").alias("best_epoch"), F.col("b.train").alias("best_train_loss"), F.col("b.validation").alias("best_val_loss"))
+    named = {m: f"test_{m}" for m in (*METRIC_NAMES, "gen_len")}
+    wide = scores_from_metrics(metrics, tuple(named)).withColumnsRenamed(named)
+    met = best.join(wide, F.col("run").eqNullSafe(F.col("_run")) & (F.col("epoch") == F.col("best_epoch")), "left")
+    return met.select(F.col("_run").alias("run"), "best_epoch", "best_train_loss", "best_val_loss", *named.values())
+
+
 def columns_reshape(df: DataFrame, renames: dict, first: list, drop: list = ()) -> DataFrame:
     """Rename, drop and move columns to the front in one projection."""
     df = df.drop(*drop).withColumnsRenamed(renames)

@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from brevis.sources import versions
+
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -13,6 +15,18 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return reader.parquet(folder)
 
 
+def once(source: DataFrame, keys: tuple, delay: str = "7 days", time: str | None = None) -> DataFrame:
+    """Rows that repeat ``keys`` within ``delay`` come once; the watermark lets older keys leave the state.
+
+    ``time`` is an event time column; without it a row's time is the modification time of its file (the source must be a
+    file stream then). Null keys equal each other, so name enough columns to tell rows apart.
+    """
+    if time is None:
+        timed = source.select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
+        return timed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
+    return source.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def stream_shorten(
     source: DataFrame, strategy: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, partition_by: tuple = ()
 ) -> StreamingQuery:
@@ -31,11 +45,12 @@ def stream_shorten(
 def stream_ranked(source: DataFrame, strategy: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Ranking strategies need within-document grouping, so each batch is shortened as a batch.
 
-    The batch number names the output folder, so a batch replayed after a failure overwrites itself.
+    The batch number names a version, so a batch replayed after a failure replaces itself, and readers
+    (``versions.read_every_version``) do not see a batch that was not finished.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        strategy(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        versions.write_version(strategy(batch), path, number, keep=None)
 
     return (
         source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -77,10 +92,10 @@ def every_window(log: DataFrame, time: str = "ts", delay: str = "1 day", width:
 
 
 def write_every_window(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the windows that each batch changed, open ones included; a replayed batch overwrites itself."""
+    """Write the windows that each batch changed, open ones included; a replayed batch replaces itself."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        versions.write_version(batch, path, number, keep=None)
 
     return (
         means.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint)
@@ -90,18 +105,18 @@ def write_every_window(means: DataFrame, path: str, checkpoint: str) -> Streamin
 
 def read_every_window(spark: SparkSession, path: str, delay: str = "1 day") -> DataFrame:
     """Newest state of every window, and whether the watermark has closed it."""
-    rows = spark.read.parquet(path)
+    rows = versions.read_every_version(spark, path)
     newest = rows.agg(F.max("newest").alias("seen"))  # one row
-    last = rows.groupBy("run", "window_start", "window_end").agg(F.max_by(F.struct("mean_value", "n_rows"), "batch").alias("m"))
+    last = rows.groupBy("run", "window_start", "window_end").agg(F.max_by(F.struct("mean_value", "n_rows"), "version").alias("m"))
     closed = F.col("window_end") <= F.col("seen") - F.expr(f"INTERVAL {delay}")
     return last.crossJoin(newest).select("run", "window_start", "m.mean_value", "m.n_rows", closed.alias("closed"))
 
 
 def write_running(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest full result: every batch replaces the table of running means."""
+    """Keep the newest full result: every batch is a new version of the table of running means (``versions.read_version``)."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        versions.write_version(batch, path, number)
 
     return (
         means.writeStream.foreachBatch(run).outputMode("complete").option("checkpointLocation", checkpoint)
