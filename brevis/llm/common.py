@@ -7,14 +7,23 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brevis.functions.scale import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of a few MB unless the session sets their size: workers hold several batches of whole texts at a time."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -24,6 +33,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage and lets several readers share one computation; unlike ``checkpoint`` it
     does not compute the rows twice, and it keeps column pruning for the readers.
     """
+    lean(df.sparkSession)
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -68,10 +78,10 @@ def raw_texts(column: pa.Array) -> list:
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most_bytes`` of text each; one long text is one slice."""
-    sizes = batch.column(column).cast(pa.binary()).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
-    for i, text in enumerate(sizes):
-        held += len(text or b"")
+    for i, size in enumerate(sizes):
+        held += size
         if held >= most_bytes:
             yield batch.slice(start, i + 1 - start)
             start, held = i + 1, 0

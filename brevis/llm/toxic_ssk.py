@@ -40,7 +40,7 @@ WINDOW = 20  # letters; longer words are judged by overlapping windows of this s
 SPAN = WINDOW  # subsequences of a window may stretch over all of it
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~^+=`"
 _SLOTS = 1 << 21  # remembered words of a task
-SLICE = 2048  # units whose kernels are computed at once
+SLICE, CELLS = 2048, 1 << 19  # units whose kernels are computed at once, and letter triples of them
 DENSE = 100  # so many times as few shared triples as cells: from there on a dense product is cheaper
 CHANCE = 0.2  # share of landmarks that may speak for a class by chance
 CLEAN_SHARE = 0.01  # of the clean training documents may lie above the line between the classes
@@ -161,8 +161,9 @@ class Landmarks:
                 if len(part) >= 3:
                     sized.setdefault(len(part), []).append((i, part))
         for size, group in sized.items():
-            for at in range(0, len(group), SLICE):
-                some = group[at : at + SLICE]
+            step = max(64, min(SLICE, CELLS // len(_places(size)[0])))
+            for at in range(0, len(group), step):
+                some = group[at : at + step]
                 codes = _matrix([p for _, p in some])
                 ids, decay = _triples(codes)
                 rows = np.ascontiguousarray(self.rows[ids].T)
@@ -324,7 +325,7 @@ def apply(docs: DataFrame, model: Model, keep: list, text: str = "text") -> Data
             _SCORERS[name] = Scorer(own) if own.fallback is None else None
         scorer = _SCORERS[name]
         for b in batches:
-            for part in pieces(b, "_text", 2 << 20):
+            for part in pieces(b, "_text", 1 << 20):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 found = np.full(len(texts), own.fallback) if scorer is None else scorer.scores(texts)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, pa.float64())], [*keep, "score"])
