@@ -209,3 +209,12 @@ def test_ownership_counts_values_of_base_spans(spark):
 def test_redaction_merges_overlaps():
     assert secrets.redact("aXXXXb", [(1, 0, 4), (2, 2, 5)]) == "a[assign]b"
     assert hashlib.sha256(secrets.redact("plain", []).encode()).hexdigest() == hashlib.sha256(b"plain").hexdigest()
+
+
+def test_secret_query_counts_kinds_anywhere_in_the_list(spark, tmp_path):
+    from brevis.llm.queries import QUERIES
+
+    texts = ["password=abcdefgh1 token: abcdefgh2", "deadbeef" * 4 + " then AKIA" + "A1" * 6, "AKIA" + "A1" * 6 + " " + "0f" * 16, None, ""]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op10_secret_ownership"](spark, str(tmp_path)).orderBy("doc_id")
+    assert [(r["n_assign"], r["n_access"], r["n_hex"]) for r in out.collect()] == [(2, 0, 0), (0, 1, 1), (0, 1, 1), (0, 0, 0), (0, 0, 0)]
