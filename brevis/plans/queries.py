@@ -1128,8 +1128,7 @@ def parse_timestamp_faithful(spark, sf):
 
 @query
 def stream_shorten(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    source = jobs.once(jobs.file_stream(spark, sf, schema, "documents.parquet"), ("doc_id", "text"))
+    source = jobs.once(jobs.table_stream(spark, f"{sf}/documents.parquet"), ("doc_id", "text"))
     path = fresh_dir(spark, "stream")
 
     def strategy(df: DataFrame) -> DataFrame:
@@ -1142,8 +1141,7 @@ def stream_shorten(spark, sf):
 
 @query
 def stream_ranked(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    source = jobs.file_stream(spark, sf, schema, "documents.parquet")
+    source = jobs.table_stream(spark, f"{sf}/documents.parquet")
     path = fresh_dir(spark, "stream")
 
     def strategy(df: DataFrame) -> DataFrame:
@@ -1155,8 +1153,7 @@ def stream_ranked(spark, sf):
 
 @query
 def stream_metrics(spark, sf):
-    schema = table(spark, sf, "events").schema
-    source = corpus.run_log(jobs.file_stream(spark, sf, schema, "events.parquet"))
+    source = corpus.run_log(jobs.table_stream(spark, f"{sf}/events.parquet"))
     path = fresh_dir(spark, "means")
     jobs.write_running(jobs.running_means(source), path, path + "-state").awaitTermination()
     return rounded(longs(versions.read_version(spark, path), "epoch"), "mean_value")
@@ -1165,8 +1162,7 @@ def stream_metrics(spark, sf):
 @query
 def stream_windows(spark, sf):
     """Daily means, each appended once its day is closed by the watermark."""
-    schema = table(spark, sf, "events").schema
-    source = jobs.file_stream(spark, sf, schema, "events.parquet").select(
+    source = jobs.table_stream(spark, f"{sf}/events.parquet").select(
         F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
     path = fresh_dir(spark, "windows")
@@ -1178,8 +1174,7 @@ def stream_windows(spark, sf):
 @query
 def stream_windows_all(spark, sf):
     """Daily means over all events; days that the watermark has not closed are there as well, and flagged."""
-    schema = table(spark, sf, "events").schema
-    source = jobs.file_stream(spark, sf, schema, "events.parquet").select(
+    source = jobs.table_stream(spark, f"{sf}/events.parquet").select(
         F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
     path = fresh_dir(spark, "windows")

@@ -9,12 +9,25 @@ from brevis.sources import versions
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
+    """Rows of the files in a folder whose names fit ``glob``."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
+    """Rows of a stored table, be its path one file or a folder of part files.
+
+    The last letter of the path is written as a pattern: Spark takes a plain path for a folder, a pattern for either.
+    """
+    path = path.rstrip("/")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def once(source: DataFrame, keys: tuple, delay: str = "7 days", time: str | None = None) -> DataFrame:
     """Rows that repeat ``keys`` within ``delay`` come once; the watermark lets older keys leave the state.
 

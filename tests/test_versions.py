@@ -135,3 +135,12 @@ def test_parts_deal_rows_out_when_asked(spark):
         assert dealt.rdd.getNumPartitions() == 5 and dealt.count() == 100
     finally:
         spark.conf.unset("brevis.parts")
+
+
+@pytest.mark.parametrize("name", ["stream_ranked", "stream_shorten", "stream_metrics"])
+def test_streams_read_tables_of_several_files(spark, tmp_path, name):
+    for t in ("documents", "events"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        rows.repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    run = queries.REGISTRY[name]
+    assert run(spark, str(tmp_path)).count() == run(spark, "/root/testdata/sf0.001").count() > 0
