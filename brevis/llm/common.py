@@ -10,16 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brevis.functions.scale import fresh_dir
+from brevis.functions.scale import fresh_dir, lean
 
 Query = Callable[[SparkSession, str], DataFrame]
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
-
-
-def lean(spark: SparkSession) -> None:
-    """Arrow batches of a few MB unless the session sets their size: workers hold several batches of whole texts at a time."""
-    if spark.conf.get(BATCH_KEY, None) is None:
-        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -126,3 +126,13 @@ def test_closed_windows_are_appended(spark):
     jobs.write_windows(means, out, out + "-state").awaitTermination()
     got = spark.read.schema("run string, window_start timestamp, mean_value double, n_rows long").parquet(out)
     assert [r["mean_value"] for r in got.orderBy("window_start").collect()] == [0.0, 1.0]
+
+
+def test_registered_queries_send_small_batches(spark):
+    from brevis.plans import queries
+
+    queries.table(spark, "/root/testdata/sf0.001", "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == scale.BATCH_BYTES
+    rows = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "long")
+    wide = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("t"))  # 20 MB
+    assert wide.select(rows("t").alias("n")).agg(F.max("n")).first()[0] < 1000
