@@ -15,28 +15,36 @@ def _joined(toks: Column) -> Column:
     return F.array_join(toks, " ")
 
 
+def spaced(text: Column) -> Column:
+    """(text, n): the tokens with one space between them, and how many there are. Strategies cut this text at its spaces."""
+    return T.let(T.tokens(text), lambda toks: F.when(toks.isNotNull(), F.struct(_joined(toks).alias("text"), F.size(toks).alias("n"))))
+
+
+def _front(toks: Column, n) -> Column:
+    return F.substring_index(toks["text"], " ", n)
+
+
 def head(toks: Column, budget) -> tuple[Column, Column]:
-    """The first ``budget`` ids of tokens + end mark; decoded without the mark."""
-    return _joined(F.slice(toks, 1, budget)), F.least(F.size(toks) + 1, F.lit(budget))
+    """The first ``budget`` ids of tokens + end mark; decoded without the mark. ``toks`` is ``spaced`` text, as in all strategies."""
+    return _front(toks, budget), F.least(toks["n"] + 1, F.lit(budget))
 
 
 def tail(toks: Column, budget) -> tuple[Column, Column]:
     """The last ``budget`` ids including the end mark; a shorter document is kept whole."""
-    kept = F.least(F.size(toks), F.lit(budget) - 1)
-    return _joined(F.slice(toks, F.size(toks) - kept + 1, kept)), kept + 1
+    return _front(toks, 1 - budget), F.least(toks["n"], F.lit(budget) - 1) + 1
 
 
 def headtail(toks: Column, budget: int, tenths: int) -> tuple[Column, Column]:
     """floor(r*B)+1 ids from the front and floor((1-r)*B) from the back, r in whole tenths."""
     front = tenths * budget // 10 + 1
     back = (10 - tenths) * budget // 10
-    whole = F.size(toks) + 1 <= front + back
+    whole = toks["n"] + 1 <= front + back
     words = max(back - 1, 0)
     # With no ids from the back the end mark is cut off as well.
-    ends = F.concat(F.slice(toks, 1, front), F.slice(toks, F.greatest(F.size(toks) - words, F.lit(0)) + 1, words))
+    ends = F.concat(_front(toks, front), F.lit(" "), _front(toks, -words)) if words else _front(toks, front)
     return (
-        _joined(F.when(whole, toks).otherwise(ends)),
-        F.when(whole, F.size(toks) + 1).otherwise(F.lit(front + back)),
+        F.when(whole, toks["text"]).otherwise(ends),
+        F.when(whole, toks["n"] + 1).otherwise(F.lit(front + back)),
     )
 
 
@@ -52,7 +60,7 @@ def _with(df: DataFrame, made: tuple[Column, Column]) -> DataFrame:
 
 
 def _tokenised(df: DataFrame) -> DataFrame:
-    return df.withColumn("_toks", T.tokens(F.col("document")))
+    return df.withColumn("_toks", spaced(F.col("document")))
 
 
 def shorten_head(df: DataFrame, budget: int) -> DataFrame:

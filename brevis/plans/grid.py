@@ -23,7 +23,7 @@ def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=ALL_RANK
     document = F.col("document")
     made = pairs.select("id", "document", *keep).withColumns({
         "document_len": T.token_count(document).cast("int"),
-        "_toks": T.tokens(document),
+        "_toks": shorten.spaced(document),
         "_marks": extractive.marks(document, False),
         "_words": T.words(document),
         **{f"_{m}": extractive.laid_out(document, extractive.RANKINGS[m](document)) for m in rankings},
@@ -39,7 +39,7 @@ def shorten_all(pairs: DataFrame, budgets: dict | None = None, rankings=ALL_RANK
         variants.append(shorten.variant(method, quantity, text, T.token_count(text)))
     first = F.col("_stop.text")
     made = made.withColumns({
-        "_first_toks": T.tokens(first), "_first_marks": extractive.marks(first, True), "_first_len": T.token_count(first),
+        "_first_toks": shorten.spaced(first), "_first_marks": extractive.marks(first, True), "_first_len": T.token_count(first),
         **{f"_first_{m}": extractive.laid_out(first, extractive.RANKINGS[m](first)) for m in combos},
     })
     picked = {}
@@ -67,7 +67,7 @@ def token_leads(pairs: DataFrame, budgets: dict | None = None) -> DataFrame:
 
     distinct = lambda every: F.array_distinct(F.transform(every, lambda v: v["lead"]))
     bound = T.let(named, lambda every: T.let(distinct(every), lambda leads: placed(every, leads)))
-    rows = pairs.withColumn("_toks", T.tokens(F.col("document"))).withColumn("_leads", bound)
+    rows = pairs.withColumn("_toks", shorten.spaced(F.col("document"))).withColumn("_leads", bound)
     return rows.select("id", "document", "summary", "_leads.leads", "_leads.at")
 
 
