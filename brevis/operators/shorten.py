@@ -119,8 +119,13 @@ TOKEN_METHODS = {
 }
 
 
+def token_cuts(toks: Column, budgets: dict, methods=tuple(TOKEN_METHODS)) -> dict:
+    """(method, quantity) -> text and size."""
+    return {(m, q): TOKEN_METHODS[m](toks, b) for q, b in budgets.items() for m in methods}
+
+
 def token_variants(toks: Column, budgets: dict, methods=tuple(TOKEN_METHODS)) -> list[Column]:
-    return [variant(m, q, *TOKEN_METHODS[m](toks, b)) for q, b in budgets.items() for m in methods]
+    return [variant(m, q, *made) for (m, q), made in token_cuts(toks, budgets, methods).items()]
 
 
 def one_row_each(df: DataFrame, keep: list, variants: list[Column]) -> DataFrame:

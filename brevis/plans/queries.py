@@ -95,24 +95,23 @@ def read_length_profile(spark, sf):
     return longs(tables.read_length_profile(spark, path), "doc_len", "sum_len")
 
 
-def _shortened(spark, sf) -> DataFrame:
-    made = shorten.token_grid(corpus.split_assign(pairs(spark, sf)))
-    return made.withColumn("document_len", T.token_count(F.col("document")).cast("int"))
+def _write_shortened(spark, sf) -> str:
+    rows = corpus.split_assign(pairs(spark, sf)).withColumn("document_len", T.token_count(F.col("document")).cast("int"))
+    path = fresh_dir(spark, "shortened")
+    made = rows.withColumn("_toks", shorten.spaced(F.col("document")))
+    tables.write_shortened(made, path, shorten.token_cuts(F.col("_toks"), grid.BUDGETS))
+    return path
 
 
 @query
 def read_shortened(spark, sf):
-    path = fresh_dir(spark, "shortened")
-    tables.write_shortened(_shortened(spark, sf), path)
-    found = tables.read_shortened(spark, path, method="head", quantity="25", split="train")
+    found = tables.read_shortened(spark, _write_shortened(spark, sf), method="head", quantity="25", split="train")
     return found.select("id", "document", "shortened_document", "summary")
 
 
 @query
 def write_shortened(spark, sf):
-    path = fresh_dir(spark, "shortened")
-    tables.write_shortened(_shortened(spark, sf), path)
-    back = tables.read_shortened(spark, path)
+    back = tables.read_shortened(spark, _write_shortened(spark, sf))
     return longs(back.select("id", "method", "quantity", "split", "shortened_document", "shortened_len", "document_len"),
                  "shortened_len", "document_len")
 
