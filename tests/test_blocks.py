@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brevis.functions import blocks
-from brevis.operators import embedding
+from brevis.operators import embedding, mining
 from brevis.plans import grid
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -59,3 +59,21 @@ def test_equal_summaries_are_scored_once(spark):
     assert {place[m, q] for m, q in place if m != "tail"} == {0}
     assert long["leads"][place["tail", "45"]] == " ".join(f"t{i}" for i in range(600 - 272, 600 - 272 + 36))
     assert "Generate" not in grid.token_leads(pairs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", (None, 6))
+def test_weights_of_blocks_are_those_of_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    rows, _ = token_rows(spark, 50)
+    texts = [(str(i), " ".join(ref * 2)) for i, (_, ref, _) in enumerate(rows)] + [("null", None), ("empty", "")]
+    df = spark.createDataFrame(texts, "id string, document string")
+    counts, n_docs = mining.term_counts(df), mining.document_count(df)
+    want = mining.tfidf(mining.max_features(counts, limit) if limit else counts, n_docs)
+    got = mining.tfidf_of_texts(mining.term_blocks(df), n_docs, limit)
+    found = {(r["id"], r["term"]): r["weight"] for r in got.collect()}
+    assert found == pytest.approx({(r["id"], r["term"]): r["weight"] for r in want.collect()}) and found
+    if not limit:
+        top = [(r["term"], r["score"]) for r in mining.mask_list(df, limit=5).orderBy("rank").collect()]
+        old = [(r["term"], r["score"]) for r in mining.topk_terms(want, n_docs, 5).orderBy("rank").collect()]
+        assert top == old
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
