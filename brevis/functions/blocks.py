@@ -94,3 +94,25 @@ def meet(packed: DataFrame, lookup: DataFrame, use, schema: str) -> DataFrame:
     # The number of tasks is named, so that small blocks, which are much work, are not put together by size.
     dealt = packed.repartition(parts, "block").groupBy("block").cogroup(sent.repartition(parts, "key").groupBy("key"))
     return dealt.applyInArrow(use, schema)  # a key is always that of a block
+
+
+def replaced(packed: DataFrame, lookup: DataFrame, unknown=None) -> DataFrame:
+    """id and texts with every word replaced by its ``value`` in ``lookup`` (word, value); words it lacks become ``unknown``, or are left out without one."""
+    kind, value = packed.schema["ids"].dataType.elementType.simpleString(), lookup.schema["value"].dataType.simpleString()
+
+    def use(block: pa.Table, found: pa.Table) -> pa.Table:
+        row_at, text_at, ix = (numbers(block, c) for c in ("row_at", "text_at", "ix"))
+        values = found.column("value").combine_chunks()
+        at = np.full(len(flat(block, "words")), -1)
+        at[found.column("place").to_numpy()] = np.arange(len(values))
+        places = at[ix]
+        if unknown is None:
+            text_at = np.concatenate([[0], np.cumsum(places >= 0)])[text_at]
+            places = places[places >= 0]
+        else:
+            places[places < 0] = len(values)
+            values = pa.concat_arrays([values, pa.array([unknown], values.type)])
+        lists = pa.ListArray.from_arrays(pa.array(text_at, pa.int32()), values.take(pa.array(places)))
+        return pa.table({"id": flat(block, "ids"), "texts": pa.ListArray.from_arrays(pa.array(row_at, pa.int32()), lists)})
+
+    return meet(packed, lookup.select("word", "value"), use, f"id {kind}, texts array<array<{value}>>")

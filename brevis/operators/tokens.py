@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from brevis import constants as K
-from brevis.functions import text as T
-from brevis.functions.scale import number_rows, pin, spread_join, values_of
+from brevis.functions import blocks, text as T
+from brevis.functions.scale import number_rows, values_of
 from brevis.functions.snowball import snowball_stem
 
 
@@ -28,25 +28,15 @@ def id_vocab(df: DataFrame, toks: Column) -> DataFrame:
 def encode_columns(df: DataFrame, vocab: DataFrame, limits: dict, keep: tuple = ("id",), unknown: int | None = None) -> DataFrame:
     """``keep`` columns and for each text column (column -> limit) its word ids, cut at the limit with the end mark last.
 
-    Only the distinct words of a row travel to the vocabulary and back, for all its columns at once; the order of the
-    words stays in the row. The words that can be needed are stored once with a row number, so null and repeated ids
-    keep their rows. Unknown words get the id ``unknown``, or are dropped without one.
+    Rows are put into blocks, and a block is sent the ids of its distinct words once; null and repeated ids keep their rows.
+    Unknown words get the id ``unknown``, or are dropped without one.
     """
-    cut = {c: F.slice(T.tokens(F.col(c)), 1, limit - 1).alias(f"_{i}") for i, (c, limit) in enumerate(limits.items())}
-    rows = pin(df.select(*keep, *cut.values()).withColumn("_row", F.monotonically_increasing_id()))
     none = F.array().cast("array<string>")
-    every = F.array_distinct(F.concat(*[F.coalesce(f"_{i}", none) for i in range(len(cut))]))
-    kinds = values_of(rows, ["_row"], every, "term")
-    known = spread_join(kinds, vocab.select("term", "word_id", "freq"), ["term"], held="freq")
-    maps = known.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "word_id"))).alias("_m"))
-    end, missing = F.array(F.lit(K.EOS_ID)), F.lit(unknown).cast("int")
-
-    def looked(words: str) -> Column:
-        found = F.transform(words, lambda t: F.coalesce(F.try_element_at("_m", t), missing))
-        return F.concat(F.array_compact(F.coalesce(found, F.array().cast("array<int>"))), end)
-
-    met = rows.join(maps, "_row", "left")
-    return met.select(*keep, *[looked(f"_{i}").alias(c) for i, c in enumerate(limits)])
+    cut = [F.coalesce(F.slice(T.tokens(F.col(c)), 1, limit - 1), none) for c, limit in limits.items()]
+    packed = blocks.pack(df.select(F.struct(*keep).alias("id"), F.array(*cut).alias("texts")))
+    found = blocks.replaced(packed, vocab.select(F.col("term").alias("word"), F.col("word_id").alias("value")), unknown)
+    ended = lambda i: F.concat(F.get("texts", F.lit(i)), F.array(F.lit(K.EOS_ID)))
+    return found.select(*[F.col("id")[c].alias(c) for c in keep], *[ended(i).alias(c) for i, c in enumerate(limits)])
 
 
 def encode_ids(df: DataFrame, vocab: DataFrame, column: str = "document", limit: int = 512, unknown: int | None = None) -> DataFrame:
@@ -55,13 +45,11 @@ def encode_ids(df: DataFrame, vocab: DataFrame, column: str = "document", limit:
 
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """id, text: ids back to words, special ids skipped. Rows are stored once under a number, so ids may repeat or be null."""
-    rows = pin(encoded.select("id", "ids").withColumn("_row", F.monotonically_increasing_id()))
-    kinds = values_of(rows, ["_row"], F.array_distinct("ids"), "word_id")
-    known = spread_join(kinds, vocab.select("word_id", "term", "freq"), ["word_id"], held="freq")
-    maps = known.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word_id", "term"))).alias("_m"))
-    words = F.array_compact(F.transform("ids", lambda i: F.try_element_at("_m", i)))
-    return rows.join(maps, "_row", "left").select("id", F.coalesce(F.array_join(words, " "), F.lit("")).alias("text"))
+    """id, text: ids back to words, special ids skipped. A block of rows is sent the words of its distinct ids, so ids of rows may repeat or be null."""
+    held = F.coalesce(F.array_compact("ids"), F.array().cast("array<int>"))
+    packed = blocks.pack(encoded.select("id", F.array(held).alias("texts")))
+    found = blocks.replaced(packed, vocab.select(F.col("word_id").alias("word"), F.col("term").alias("value")))
+    return found.select("id", F.array_join(F.get("texts", F.lit(0)), " ").alias("text"))
 
 
 def train_head(ids: Column, budget: int) -> Column:

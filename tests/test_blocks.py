@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brevis.functions import blocks
-from brevis.operators import embedding, mining
+from brevis.operators import embedding, mining, tokens
 from brevis.plans import grid
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -77,3 +77,21 @@ def test_weights_of_blocks_are_those_of_rows(spark, monkeypatch, limit):
         old = [(r["term"], r["score"]) for r in mining.topk_terms(want, n_docs, 5).orderBy("rank").collect()]
         assert top == old
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", (1, 30))
+def test_ids_of_blocks(spark, monkeypatch, limit):
+    """Rows of many words share a block's look-up; every repeat of a word gets its id, in place."""
+    monkeypatch.setattr(blocks, "BLOCK", limit)
+    rows, _ = token_rows(spark, 40)
+    df = spark.createDataFrame([(i, " ".join(ref), " ".join(ref[:2])) for i, ref, _ in rows], "id string, document string, summary string")
+    vocab = spark.createDataFrame([(w, 1, i + 2) for i, w in enumerate(WORDS[:30])], "term string, freq long, word_id int")
+    ids = {w: i + 2 for i, w in enumerate(WORDS[:30])}
+    key = lambda r: (r[0] or "", *r[1:])
+    for unknown in (None, 99):
+        cut = lambda ws: [ids.get(w, unknown) for w in ws if w in ids or unknown] + [1]  # noqa: B023, E731
+        got = tokens.encode_columns(df, vocab, {"document": 6, "summary": 2}, unknown=unknown)
+        assert sorted(map(key, got.collect())) == sorted((i or "", cut(ref[:5]), cut(ref[:1])) for i, ref, _ in rows)
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    back = tokens.decode_ids(tokens.encode_ids(df, vocab), vocab).collect()
+    assert sorted(map(key, back)) == sorted((i or "", " ".join(w for w in ref if w in ids)) for i, ref, _ in rows)
