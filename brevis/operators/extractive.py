@@ -5,6 +5,7 @@ expression over the document: no word is exploded and no text is shuffled, whate
 """
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -199,6 +200,19 @@ def word_lines(document: Column) -> Column:
     return F.transform(T.sentences(document), lambda s: F.array_join(T.rank_words(s), " "))
 
 
+def sentence_text(document: Column) -> Column:
+    """The sentences, one a line: none of them holds a line feed."""
+    return F.array_join(T.sentences(document), "\n")
+
+
+def word_text(lines: Column) -> Column:
+    """The ranking words of every line, parted by spaces: what lies between words is cut out in one pass, no word is a value of its own.
+
+    A line without words is kept as a space, so that only a text without lines is empty.
+    """
+    return F.regexp_replace(F.lower(lines), K.RANK_GAP, " ")
+
+
 def textrank_array(document: Column) -> Column:
     """The rank of every sentence, in sentence order."""
     return F.transform(_textrank(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
@@ -221,10 +235,11 @@ def rankings_of(document: Column, methods: tuple) -> Column:
 
 
 def _terms_by_line(lines: list[str]) -> tuple:
-    """Sparse term counts of sentences: line, term and count of each entry, number of terms; words by first appearance."""
-    codes: dict[str, int] = {}
-    split = [[codes.setdefault(w, len(codes)) for w in line.split()] for line in lines]
-    word = np.array([c for row in split for c in row], dtype=np.int64)
+    """Sparse term counts of sentences: line, term and count of each entry, ordered by line; number of terms; words by first appearance."""
+    split = [line.split() for line in lines]
+    flat = list(chain.from_iterable(split))
+    codes = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    word = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
     owner = np.repeat(np.arange(len(lines)), [len(row) for row in split]).astype(np.int64)
     entries, counts = np.unique(owner * max(len(codes), 1) + word, return_counts=True)
     line, term = np.divmod(entries, max(len(codes), 1))
@@ -391,6 +406,10 @@ def topk_sentences(df: DataFrame, ranking, k: int) -> DataFrame:
     )
 
 
+#: Pairs of sentences times words up to which the cosines of all pairs are made.
+PAIRS = 1 << 25
+
+
 def _line_rows(lines: list[str]) -> tuple:
     """Sparse tf-idf rows of the sentences, length 1 each, inverse frequencies taken within the document: line, term, weight, number of terms."""
     line, term, counts, words = _terms_by_line(lines)
@@ -403,10 +422,12 @@ def _line_rows(lines: list[str]) -> tuple:
 def _cosines(rows: tuple, size: int, centres: np.ndarray, entries: int = 1 << 20) -> np.ndarray:
     """Cosine of every sentence with every centre, over the entries there are; rounded, so that ties are ties."""
     line, term, weight, _ = rows
-    out = np.zeros((size, len(centres)))
+    out, columns = np.zeros((size, len(centres))), np.ascontiguousarray(centres.T)
     step = max(1, entries // max(len(centres), 1))
     for at in range(0, len(line), step):
-        np.add.at(out, line[at : at + step], weight[at : at + step, None] * centres[:, term[at : at + step]].T)
+        own = line[at : at + step]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))  # entries are ordered by line: a line is one run of them
+        out[own[first]] += np.add.reduceat(weight[at : at + step, None] * columns[term[at : at + step]], first, axis=0)
     return np.round(out, SCORE_PLACES)
 
 
@@ -415,65 +436,115 @@ def _unit(centres: np.ndarray) -> np.ndarray:
     return centres / np.where(length == 0, 1, length)
 
 
-def _dense(rows: tuple, picks: list) -> np.ndarray:
+def _by_pairs(rows: tuple, size: int) -> tuple:
+    """Cosines and distances of all sentences from one, and the step of the clustering, for a short document: from all its pairs of sentences."""
     line, term, weight, words = rows
-    out = np.zeros((len(picks), words))
-    for i, p in enumerate(picks):
-        own = line == p
-        out[i, term[own]] = weight[own]
-    return out
-
-
-def _seeds(rows: tuple, size: int, k: int, rng: np.random.Generator) -> list[int]:
-    """k-means++: the first centre by chance, each further one with a chance that grows with its distance from the others."""
-    picks = [int(rng.integers(size))]
-    far = 1 - _cosines(rows, size, _dense(rows, picks))[:, 0]
-    while len(picks) < k:
-        chance = np.maximum(far, 0)
-        chance[picks] = 0
-        total = chance.sum()
-        if total <= 0:  # the others all equal a centre: the first ones left
-            picks.append(next(i for i in range(size) if i not in picks))
-        else:
-            picks.append(min(int(np.searchsorted(np.cumsum(chance), rng.random() * total, side="right")), size - 1))
-        far = np.minimum(far, 1 - _cosines(rows, size, _dense(rows, picks[-1:]))[:, 0])
-    return picks
+    filled = np.zeros((size, words))
+    filled[line, term] = weight
+    pairs, places = filled @ filled.T, np.arange(size)
+    rounded = np.round(pairs, SCORE_PLACES)
+
+    def moved(member: np.ndarray, near: np.ndarray) -> np.ndarray:
+        held = np.zeros(near.shape)
+        held[places, member] = 1.0
+        sums = pairs @ held
+        length = np.sqrt(np.bincount(member, sums[places, member], near.shape[1]))
+        cosines = np.round(sums / np.where(length == 0, 1, length), SCORE_PLACES)
+        return np.where(np.bincount(member, minlength=near.shape[1]) > 0, cosines, near)
 
+    return rounded.__getitem__, np.maximum(1 - rounded, 0).__getitem__, moved
 
-def _cluster_picks(rows: tuple, size: int, k: int, rounds: int, seed: int) -> list[int]:
-    """Sentence positions nearest to the centroids of spherical k-means; no sentence stands for two of them."""
-    k = min(k, size)
+
+def _by_entries(rows: tuple, size: int) -> tuple:
+    """The same for a document of any length, from its sparse rows."""
     line, term, weight, words = rows
-    centres, member = _dense(rows, _seeds(rows, size, k, np.random.default_rng(seed))), None
+    begins = np.searchsorted(line, np.arange(size + 1))
+
+    def likeness(pick: int) -> np.ndarray:
+        own = slice(begins[pick], begins[pick + 1])
+        centre = np.zeros(words)
+        centre[term[own]] = weight[own]
+        return np.round(np.bincount(line, weight * centre[term], size), SCORE_PLACES)
+
+    def moved(member: np.ndarray, near: np.ndarray) -> np.ndarray:
+        k = near.shape[1]
+        sums = np.bincount(member[line] * max(words, 1) + term, weight, k * max(words, 1))[: k * words].reshape(k, words)
+        return np.where(np.bincount(member, minlength=k) > 0, _cosines(rows, size, _unit(sums)), near)
+
+    return likeness, lambda pick: np.maximum(1 - likeness(pick), 0), moved
+
+
+def _seeds(distance, size: int, k: int, rng: np.random.Generator) -> list[int]:
+    """k-means++: the first centre by chance, each further one with a chance that grows with its distance from the others.
+
+    A pick depends on those before it only: the seeds of fewer centres are the first of these.
+    """
+    picks, far = [int(rng.integers(size))], np.full(size, np.inf)
+    for chance in rng.random(k - 1).tolist():
+        np.minimum(far, distance(picks[-1]), out=far)
+        far[picks[-1]] = 0
+        chances = far.cumsum()
+        if chances[-1] <= 0:  # the others all equal a centre: the first ones left
+            held = set(picks)
+            return picks + [i for i in range(size) if i not in held][: k - len(picks)]
+        picks.append(min(int(chances.searchsorted(chance * chances[-1], side="right")), size - 1))
+    return picks
+
+
+def _cluster_picks(near: np.ndarray, moved, rounds: int) -> list[int]:
+    """Sentence positions nearest to the centroids of spherical k-means; no sentence stands for two of them.
+
+    ``near`` has the cosine of every sentence with every centre, ``moved`` renews it for centres moved to the mean of their members;
+    a centre without members stays.
+    """
+    member = None
     for _ in range(rounds):
-        nearest = _cosines(rows, size, centres).argmax(axis=1)
+        nearest = near.argmax(axis=1)
         if member is not None and (nearest == member).all():
             break
         member = nearest
-        sums = np.bincount(member[line] * max(words, 1) + term, weight, k * max(words, 1))[: k * words].reshape(k, words)
-        filled = np.bincount(member, minlength=k)[:, None] > 0
-        centres = np.where(filled, _unit(sums), centres)
-    near = _cosines(rows, size, centres)
-    taken = np.zeros(size, dtype=bool)
-    for c in range(k):
-        taken[np.where(taken, -np.inf, near[:, c]).argmax()] = True
-    return np.flatnonzero(taken).tolist()
-
-
-def _centroid_offers(rounds: int):
-    """Positions kept for one sentence less than wanted, the wanted number, and one more."""
-
-    def offers(rows, n):
-        lines = list(rows)
-        if not lines:
-            return []
-        seed = zlib.crc32("\n".join(lines).encode())  # by the text: the same wherever the row is
-        sparse = _line_rows(lines)
-        return [_cluster_picks(sparse, len(lines), max(n + step, 1), rounds, seed) for step in (-1, 0, 1)]
-
-    @F.pandas_udf(Y.ArrayType(Y.ArrayType(Y.IntegerType())))
-    def of(lines: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([offers(rows, n) for rows, n in zip(lines, wanted)])
+        near = moved(member, near)
+    first = near.argmax(axis=0).tolist()
+    if len(set(first)) == len(first):
+        return sorted(first)
+    left, picks = near.T.copy(), []
+    for own in left:
+        picks.append(int(own.argmax()))
+        left[:, picks[-1]] = -np.inf
+    return sorted(picks)
+
+
+def _centroid_text(document: str, sentences: str, words: str, budget: int, rounds: int) -> tuple[str, int]:
+    """Text and size of the best cut among one sentence less than wanted, the wanted number, and one more.
+
+    Sentences and their words come one a line. Tokens are counted in bytes, which are split where the pattern for spaces matches.
+    """
+    lines = [row.strip(" ") for row in words.split("\n")]
+    seed = zlib.crc32("\n".join(lines).encode())  # by the text: the same wherever the row is
+    wanted = budget * (document.count("\n") + 1) // (len(document.encode().split()) + 1)
+    rows, lens = _line_rows(lines), [len(s.split()) for s in sentences.encode().split(b"\n")]
+    steps = _by_pairs if len(lines) ** 2 * rows[3] <= PAIRS else _by_entries
+    likeness, distance, moved = steps(rows, len(lines))
+    counts = sorted({min(max(wanted + step, 1), len(lines)) for step in (-1, 0, 1)})
+    seeds = _seeds(distance, len(lines), counts[-1], np.random.default_rng(seed))
+    near = np.array([likeness(p) for p in seeds]).T
+    offers = []
+    for k in counts:
+        picks = _cluster_picks(near[:, :k], moved, rounds)
+        kept = sum(lens[p] for p in picks) + 1
+        offers.append((kept % budget, k, kept, picks))
+    _, _, kept, picks = min(offers)
+    texts = sentences.split("\n")
+    return " ".join(texts[p] for p in picks), kept
+
+
+def _centroid_cut(budget: int, rounds: int):
+    @F.pandas_udf(Y.StructType([Y.StructField("text", Y.StringType()), Y.StructField("size", Y.LongType())]))
+    def of(document: pd.Series, sentences: pd.Series, words: pd.Series) -> pd.DataFrame:
+        made = [
+            _centroid_text(d, s, w, budget, rounds) if s else ("", 1) for d, s, w in zip(document, sentences, words)
+        ]
+        return pd.DataFrame(made, columns=["text", "size"])
 
     return of
 
@@ -483,17 +554,8 @@ def shorten_centroid(df: DataFrame, budget: int, rounds: int = 10) -> DataFrame:
 
     Sentences are sparse tf-idf rows over the document's whole vocabulary, clustered by cosine in at most ``rounds`` rounds.
     """
-    document = F.col("document")
-    wanted = _wanted(marks(document, False), T.token_count(document), F.lit(budget))
-    offered = df.withColumn("_s", T.sentences(document)).withColumn("_offers", _centroid_offers(rounds)(word_lines(document), wanted))
-
-    def weigh(picks: Column) -> Column:
-        texts = F.array_join(F.transform(picks, lambda p: F.element_at("_s", p + 1)), " ")
-        size = T.token_count(texts)
-        return F.struct((size % budget).alias("miss"), F.size(picks).alias("k"), size.alias("size"), texts.alias("text"))
-
-    best = offered.withColumn("_best", F.array_min(F.transform("_offers", weigh)))
-    return best.withColumns({
-        "shortened_document": F.coalesce("_best.text", F.lit("")),
-        "shortened_len": F.coalesce("_best.size", F.lit(1)).cast("int"),
-    }).drop("_s", "_offers", "_best")
+    lined = df.withColumn("_lines", sentence_text(F.col("document")))
+    cut = lined.withColumn("_cut", _centroid_cut(budget, rounds)(F.col("document"), F.col("_lines"), word_text(F.col("_lines"))))
+    return cut.withColumns({
+        "shortened_document": F.col("_cut.text"), "shortened_len": F.col("_cut.size").cast("int"),
+    }).drop("_lines", "_cut")

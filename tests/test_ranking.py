@@ -114,3 +114,46 @@ def test_rankings_do_not_shuffle(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit("A cat. The cat ran.").alias("document"))
     plan = extractive.shorten_ranked(df, "luhn", {"45": 273})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+ODD = TEXTS + [
+    "'tis o'clock - 'a-b' \u00e9t\u00e9-- 3rd x2y\tz. --- \n\n  '  \n\u0130stanbul \u03a3\u03a3. a\u0301b \u6f22\u5b57\u3002\u00a0c\r\u2028d!",
+    "\n \n", " . ! ", "..", "one word\n" * 40,
+]
+
+
+def test_words_cut_out_of_whole_texts_are_the_words_of_each_sentence(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "id int, document string")
+    document = F.col("document")
+    made = df.select(extractive.word_lines(document).alias("a"), extractive.word_text(extractive.sentence_text(document)).alias("b"))
+    for r in made.collect():
+        assert (r["a"] is None) == (r["b"] is None)
+        if r["a"] is not None:
+            assert r["a"] == ([line.strip(" ") for line in r["b"].split("\n")] if r["b"] else [])
+
+
+def test_centroids_from_pairs_and_from_entries_pick_alike():
+    rng = np.random.default_rng(5)
+    for size, words in ((1, 3), (7, 4), (60, 30), (90, 400)):
+        rows = [" ".join(f"w{w}" for w in rng.integers(words, size=rng.integers(0, 12))) for _ in range(size)]
+        rows[0] = rows[-1]
+        sparse = extractive._line_rows(rows)
+        for k in {1, min(3, size), size}:
+            got = []
+            for steps in (extractive._by_pairs, extractive._by_entries):
+                likeness, distance, moved = steps(sparse, size)
+                seeds = extractive._seeds(distance, size, k, np.random.default_rng(2))
+                assert len(set(seeds)) == k
+                assert seeds[: k // 2 + 1] == extractive._seeds(distance, size, k // 2 + 1, np.random.default_rng(2))[:k]
+                got.append(extractive._cluster_picks(np.array([likeness(p) for p in seeds]).T, moved, 10))
+            assert got[0] == got[1] and len(set(got[0])) == k
+
+
+def test_centroid_cut_reads_a_text_once_and_takes_null(spark):
+    df = spark.createDataFrame([("1", None), ("2", ".."), ("3", "A b. C d.\nE f g.")], "id string, document string")
+    made = extractive.shorten_centroid(df, 4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "S+" not in plan  # one pass for the sentences, none for tokens
+    rows = {r["id"]: (r["shortened_document"], r["shortened_len"]) for r in made.collect()}
+    assert rows["1"] == ("", 1) and rows["2"] == ("", 1)
+    assert rows["3"][1] == len(rows["3"][0].split()) + 1
