@@ -246,6 +246,11 @@ def _terms_by_line(lines: list[str]) -> tuple:
     return line, term, counts.astype(float), len(codes)
 
 
+#: Pairs of sentences times words up to which the products of all pairs are made; sentences up to which these are solved at once;
+#: strengths that differ by so little of the largest one count as equal.
+PAIRS, FEW, TIED = 1 << 25, 192, 1e-7
+
+
 def _krylov(apply, size: int, keep: int, tolerance: float = 1e-13, most: int = 60) -> tuple:
     """The ``keep`` largest eigenvalues and eigenvectors of a symmetric positive map, by block Lanczos.
 
@@ -274,9 +279,10 @@ def _krylov(apply, size: int, keep: int, tolerance: float = 1e-13, most: int = 6
 
 
 def _reduced(lines: list[str], keep: int) -> np.ndarray:
-    """Salience from the strongest singular directions of the smoothed term matrix, which is never filled in.
+    """Salience from the strongest singular directions of the smoothed term matrix.
 
-    The matrix is the smoothing constant everywhere plus a sparse part, so its products take the sparse entries and sums only.
+    Few sentences are solved at once, from the products of all their pairs. The matrix of a long document is never filled in: it is
+    the smoothing constant everywhere plus a sparse part, so its products take the sparse entries and sums only.
     """
     line, term, counts, words = _terms_by_line(lines)
     if not words:
@@ -294,6 +300,14 @@ def _reduced(lines: list[str], keep: int) -> np.ndarray:
             out[:, c] = K.LSA_SMOOTH * low[:, c].sum() + np.bincount(line, value * low[term, c], len(lines))
         return out
 
+    if len(lines) <= FEW and len(lines) ** 2 * words <= PAIRS:
+        filled = np.full((len(lines), words), K.LSA_SMOOTH)
+        filled[line, term] += value
+        power, right = np.linalg.eigh(filled @ filled.T)
+        least = TIED * power[-1]
+        if len(lines) <= keep or power[-keep] <= least or power[-keep] - power[-keep - 1] > least:
+            return np.sqrt((np.maximum(power[-keep:], 0) * right[:, -keep:] ** 2).sum(axis=1))
+    # Many sentences, or equal strengths on both sides of the cut, which leave a choice: it stays that of the iteration.
     power, right = _krylov(product, len(lines), min(keep, len(lines)))
     return np.sqrt((np.maximum(power, 0) * right**2).sum(axis=1))
 
@@ -302,10 +316,10 @@ def lsa_reduced_array(keep: int = 3):
     """A ranking from the ``keep`` strongest latent topics of each document."""
 
     @F.pandas_udf(DOUBLES)
-    def salience(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda rows: _reduced(list(rows), keep) if rows is not None and len(rows) else [])
+    def salience(words: pd.Series) -> pd.Series:
+        return words.map(lambda text: _reduced(text.split("\n"), keep) if text else [])
 
-    return lambda document: F.transform(salience(word_lines(document)), lambda r: F.round(r, SCORE_PLACES))
+    return lambda document: F.transform(salience(word_text(sentence_text(document))), lambda r: F.round(r, SCORE_PLACES))
 
 
 # Document column -> array with the score of every sentence, in sentence order.
@@ -406,10 +420,6 @@ def topk_sentences(df: DataFrame, ranking, k: int) -> DataFrame:
     )
 
 
-#: Pairs of sentences times words up to which the cosines of all pairs are made.
-PAIRS = 1 << 25
-
-
 def _line_rows(lines: list[str]) -> tuple:
     """Sparse tf-idf rows of the sentences, length 1 each, inverse frequencies taken within the document: line, term, weight, number of terms."""
     line, term, counts, words = _terms_by_line(lines)

@@ -157,3 +157,25 @@ def test_centroid_cut_reads_a_text_once_and_takes_null(spark):
     rows = {r["id"]: (r["shortened_document"], r["shortened_len"]) for r in made.collect()}
     assert rows["1"] == ("", 1) and rows["2"] == ("", 1)
     assert rows["3"][1] == len(rows["3"][0].split()) + 1
+
+
+def test_reduced_rank_of_few_sentences_is_solved_at_once(spark, monkeypatch):
+    def filled_in(rows, keep):
+        vocab = sorted({w for r in rows for w in r})
+        counts = np.array([[r.count(w) for w in vocab] for r in rows], dtype=float)
+        matrix = 0.4 + 0.6 * counts / np.maximum(counts.max(axis=1, keepdims=True), 1)
+        left, strength, _ = np.linalg.svd(matrix, full_matrices=False)
+        return np.sqrt(((left * strength)[:, :keep] ** 2).sum(axis=1))
+
+    rng = np.random.default_rng(3)
+    long = [[f"w{w}" for w in rng.integers(50, size=rng.integers(1, 15))] for _ in range(230)]
+    iterated, krylov = [], extractive._krylov
+    monkeypatch.setattr(extractive, "_krylov", lambda apply, size, keep: iterated.append(size) or krylov(apply, size, keep))
+    for size in (1, 2, 3, 4, 40, 190, 230):
+        rows = long[:size]
+        assert extractive._reduced([" ".join(r) for r in rows], 3) == pytest.approx(filled_in(rows, 3), abs=1e-7)
+    assert iterated == [230]
+    alike = [f"a{i}" for i in range(6)]  # five equal strengths, two of them kept: the choice is the iteration's
+    assert np.isfinite(extractive._reduced(alike, 3)).all() and iterated == [230, 6]
+    plan = extractive.sentence_scores(spark.createDataFrame([("1", "A b.")], "id string, document string"), extractive.lsa_reduced_array())
+    assert plan._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1  # no pass that makes words
