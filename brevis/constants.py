@@ -4,7 +4,7 @@
 SENTENCE = r"[^.!?\n]+[.!?]*"
 WORD = r"[\p{L}\p{N}_']+|[^\s\p{L}\p{N}_']"
 RANK_WORD = r"[\p{L}][\p{L}'-]*"
-#: What lies between ranking words, and before the first of a line: all but these words and line feeds.
+#: What lies between ranking words, and before the first of a line: all but these words and line feeds (Java only).
 RANK_GAP = r"(?<![^\n])[^\p{L}\n]+|[^\p{L}\n'-][^\p{L}\n]*"
 TERM = r"[\p{L}\p{N}_]{2,}"
 ALPHA = r"\p{L}+"
