@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from brevis.functions.scale import fresh_dir
+from brevis.functions.scale import fresh_dir, written
 
 #: Words of a block, repeats included. A longer row is a block of its own.
 BLOCK = 1_000_000
@@ -72,8 +72,7 @@ def pack(rows: DataFrame) -> DataFrame:
     schema = (f"block string, ids array<{kind}>, words array<{word}>, held array<bigint>, docs array<bigint>, "
               "row_at array<int>, text_at array<int>, ix array<int>")
     path = fresh_dir(spark, "blocks")
-    rows.select("id", "texts").mapInArrow(run, schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return written(rows.select("id", "texts").mapInArrow(run, schema), path)
 
 
 def word_counts(packed: DataFrame) -> DataFrame:
