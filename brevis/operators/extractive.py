@@ -501,12 +501,22 @@ def _seeds(distance, size: int, k: int, rng: np.random.Generator) -> list[int]:
     return picks
 
 
-def _cluster_picks(near: np.ndarray, moved, rounds: int) -> list[int]:
+def _started(rows: tuple, size: int, k: int, seed: int) -> tuple:
+    """Cosines of all sentences with ``k`` seeds, and the step of the clustering."""
+    steps = _by_pairs if size**2 * rows[3] <= PAIRS else _by_entries
+    likeness, distance, moved = steps(rows, size)
+    return np.array([likeness(p) for p in _seeds(distance, size, k, np.random.default_rng(seed))]).T, moved
+
+
+def _cluster_picks(near, moved, rounds: int, *drawn: int) -> list[int]:
     """Sentence positions nearest to the centroids of spherical k-means; no sentence stands for two of them.
 
     ``near`` has the cosine of every sentence with every centre, ``moved`` renews it for centres moved to the mean of their members;
-    a centre without members stays.
+    a centre without members stays. Sparse rows may be given instead, with their number, the centres, the rounds and the seed.
     """
+    if drawn:
+        rows, size, k, (rounds, seed) = near, moved, rounds, drawn
+        near, moved = _started(rows, size, min(k, size), seed)
     member = None
     for _ in range(rounds):
         nearest = near.argmax(axis=1)
@@ -533,11 +543,8 @@ def _centroid_text(document: str, sentences: str, words: str, budget: int, round
     seed = zlib.crc32("\n".join(lines).encode())  # by the text: the same wherever the row is
     wanted = budget * (document.count("\n") + 1) // (len(document.encode().split()) + 1)
     rows, lens = _line_rows(lines), [len(s.split()) for s in sentences.encode().split(b"\n")]
-    steps = _by_pairs if len(lines) ** 2 * rows[3] <= PAIRS else _by_entries
-    likeness, distance, moved = steps(rows, len(lines))
     counts = sorted({min(max(wanted + step, 1), len(lines)) for step in (-1, 0, 1)})
-    seeds = _seeds(distance, len(lines), counts[-1], np.random.default_rng(seed))
-    near = np.array([likeness(p) for p in seeds]).T
+    near, moved = _started(rows, len(lines), counts[-1], seed)
     offers = []
     for k in counts:
         picks = _cluster_picks(near[:, :k], moved, rounds)
